@@ -113,19 +113,23 @@ def global_median(df: DataFrame, value: str) -> Column:
 
 
 def benjamini_hochberg(
-    df: DataFrame, p: str, scope: list[str] | None = None, out: str = "q_value"
+    df: DataFrame, p: str, scope: list[str] | None = None, out: str = "q_value",
+    n_tests: Column | None = None,
 ) -> DataFrame:
     """Step-up q values ``min_{j>=i} p_j * n / j`` inside each scope.
 
     Ties share one row of the pre-aggregate, later buckets contribute through
     their minimum, so a scope of any size is split over all tasks.
+    ``n_tests`` gives the number of tests when only the smallest p values
+    were kept; ranks among those are still true ranks.
     """
     scope = scope or []
     group = scope or ["_all"]
     df = settle(df)
-    cc = cumulative_counts(df, scope, p).withColumn(
-        "_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("cnt"))
-    )
+    cc = cumulative_counts(df, scope, p)
+    if n_tests is not None:
+        cc = cc.withColumn("total", n_tests)
+    cc = cc.withColumn("_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("cnt")))
     later = W.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     tails = (
         cc.groupBy(*group, "_bucket")
