@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from omiclattice.plans import matrix_queries, network_queries  # noqa: F401
+from omiclattice.plans import matrix_queries, network_queries, spectra_queries  # noqa: F401
 from omiclattice.plans.registry import ORACLES, QUERIES  # noqa: F401
