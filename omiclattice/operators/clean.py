@@ -386,9 +386,9 @@ def impute_zero(df: DataFrame) -> DataFrame:
 
 
 def log2_transform(df: DataFrame, pseudo_count: float = 1.0) -> DataFrame:
-    return df.withColumn(
-        "value", F.round(F.log2(F.greatest("value", F.lit(0.0)) + pseudo_count), 6)
-    )
+    # greatest() would turn a missing cell into 0
+    v = F.when(F.col("value").isNotNull(), F.greatest("value", F.lit(0.0)))
+    return df.withColumn("value", F.round(F.log2(v + pseudo_count), 6))
 
 
 def z_score(df: DataFrame) -> DataFrame:
