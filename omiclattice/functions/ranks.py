@@ -1,10 +1,11 @@
-"""Exact order statistics that never gather one group into one task.
+"""Exact order statistics that never gather one big group into one task.
 
 A group (a sample, a test family, the whole table) may hold a third of all
-rows, so ranks, quantiles and Benjamini-Hochberg values are computed from
-pre-aggregated ``(keys, value) -> count`` rows that are split by value range.
-Only the per-bucket totals (at most ``buckets`` rows per group) see a window
-over the whole group.
+rows, so ranks, quantiles and Benjamini-Hochberg values work on pre-aggregated
+``(keys, value) -> count`` rows. Where the largest group is small (its size is
+checked) one window per group does; beyond that the groups are split by value
+range, and only the per-bucket totals (at most ``buckets`` rows per group) see
+a window over the whole group.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from omiclattice.functions.materialise import settle
 
 _MIN_BUCKETS = 8
+SMALL_GROUP = 200_000  # distinct values one task may sort in one window
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -35,15 +37,8 @@ def _locate(bounds: Column, value: Column, n: int) -> Column:
     )
 
 
-def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, buckets: int | None = None
-) -> DataFrame:
-    """Distinct values per group with their counts and exact positions.
-
-    Returns ``keys, value, cnt, below, total, _bucket`` where ``below`` is the
-    number of rows of the group with a smaller value. NULL values are skipped.
-    """
-    n = buckets or _bucket_count(df)
+def _positions(df: DataFrame, keys: list[str], value: str, buckets: int | None,
+               small_group: int) -> tuple[DataFrame, list[str], bool]:
     group = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
     distinct = settle(
@@ -51,6 +46,14 @@ def cumulative_counts(
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    largest = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ordered = W.partitionBy(*group).orderBy(value)
+    if buckets is None and largest <= small_group:
+        out = distinct.withColumn(
+            "below", F.coalesce(F.sum("cnt").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ).withColumn("total", F.sum("cnt").over(W.partitionBy(*group)))
+        return out.withColumn("_bucket", F.lit(0)), group, False
+    n = buckets or _bucket_count(df)
     bounds = distinct.agg(
         F.percentile_approx(value, [i / n for i in range(1, n)], 100 * n).alias("b")
     ).scalar()
@@ -69,11 +72,25 @@ def cumulative_counts(
     inside = (
         W.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
-    return (
+    out = (
         placed.join(offsets, group + ["_bucket"])
         .withColumn("below", F.col("_off") + F.sum("cnt").over(inside) - F.col("cnt"))
         .drop("_off")
     )
+    return out, group, True
+
+
+def cumulative_counts(
+    df: DataFrame, keys: list[str], value: str, buckets: int | None = None,
+    small_group: int = SMALL_GROUP,
+) -> DataFrame:
+    """Distinct values per group with their counts and exact positions.
+
+    Returns ``keys, value, cnt, below, total, _bucket`` where ``below`` is the
+    number of rows of the group with a smaller value. NULL values are skipped.
+    Giving ``buckets`` forces the range-split form.
+    """
+    return _positions(df, keys, value, buckets, small_group)[0]
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rnk") -> DataFrame:
@@ -114,7 +131,7 @@ def global_median(df: DataFrame, value: str) -> Column:
 
 def benjamini_hochberg(
     df: DataFrame, p: str, scope: list[str] | None = None, out: str = "q_value",
-    n_tests: Column | None = None,
+    n_tests: Column | None = None, buckets: int | None = None, small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Step-up q values ``min_{j>=i} p_j * n / j`` inside each scope.
 
@@ -124,29 +141,25 @@ def benjamini_hochberg(
     were kept; ranks among those are still true ranks.
     """
     scope = scope or []
-    group = scope or ["_all"]
     df = settle(df)
-    cc = cumulative_counts(df, scope, p)
+    cc, group, split = _positions(df, scope, p, buckets, small_group)
     if n_tests is not None:
         cc = cc.withColumn("total", n_tests)
     cc = cc.withColumn("_raw", F.col(p) * F.col("total") / (F.col("below") + F.col("cnt")))
-    later = W.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    tails = (
-        cc.groupBy(*group, "_bucket")
-        .agg(F.min("_raw").alias("_bmin"))
-        .withColumn("_after", F.min("_bmin").over(later))
-        .drop("_bmin")
-    )
-    desc = (
-        W.partitionBy(*group, "_bucket")
-        .orderBy(F.desc(p))
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
-    q = (
-        cc.join(tails, group + ["_bucket"])
-        .withColumn(
-            out, F.least(F.lit(1.0), F.min("_raw").over(desc), F.col("_after"))
+    part = group + ["_bucket"] if split else group
+    desc = W.partitionBy(*part).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    if split:
+        later = W.partitionBy(*group).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+        tails = (
+            cc.groupBy(*group, "_bucket")
+            .agg(F.min("_raw").alias("_bmin"))
+            .withColumn("_after", F.min("_bmin").over(later))
+            .drop("_bmin")
         )
-        .select(*scope, p, out)
-    )
+        cc = cc.join(tails, group + ["_bucket"])
+    else:
+        cc = cc.withColumn("_after", F.lit(1.0))
+    q = cc.withColumn(
+        out, F.least(F.lit(1.0), F.min("_raw").over(desc), F.col("_after"))
+    ).select(*scope, p, out)
     return df.join(q, scope + [p], "left")

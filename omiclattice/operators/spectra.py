@@ -186,6 +186,25 @@ def rank_formulas(cands: DataFrame, mass: str, top_k: int = 20) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
+def clean_masses(masses: DataFrame, ppm: float, **limits) -> DataFrame:
+    """The masses (column ``neutral``) that have a formula without hard violations.
+
+    The rules do not depend on the observed mass, so broken compositions are
+    dropped first; a semi join then stops at the first fitting one.
+    """
+    distinct = settle(masses.where("neutral > 0").distinct())
+    top = distinct.agg(F.max("neutral") * (1 + 2e-6 * ppm)).scalar()
+    low = distinct.agg(F.min("neutral") * (1 - 2e-6 * ppm)).scalar()
+    table = compositions(masses.sparkSession, top, **limits).withColumn("_low", low)
+    table = table.where((F.col("mass") >= F.col("_low")) & (F.size(hard_violations()) == 0))
+    table = table.select("mass").distinct().withColumn("_bkt", mass_bucket(F.col("mass"), ppm))
+    near = distinct.withColumn("_c", mass_bucket(F.col("neutral"), ppm)).select(
+        "neutral", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_bkt")
+    )
+    fits = (near["_bkt"] == table["_bkt"]) & (F.abs(table["mass"] - near["neutral"]) / near["neutral"] * 1e6 <= ppm)
+    return near.join(table, fits, "left_semi").select("neutral").distinct()
+
+
 def infer_adducts(spectra: DataFrame, ppm: float = 10.0, **limits) -> DataFrame:
     """Adduct and neutral mass per scan, and whether a clean formula exists.
 
@@ -201,10 +220,7 @@ def infer_adducts(spectra: DataFrame, ppm: float = 10.0, **limits) -> DataFrame:
         "scan_id", "precursor_mz", pol.alias("pol"), F.posexplode("_o").alias("pos", "try")
     ).withColumn("neutral", neutral_mass(F.col("precursor_mz"), F.col("try")))
     tries = settle(tries)
-    ok = (
-        formula_candidates(tries, "neutral", ppm, **limits).where(F.size("hard") == 0)
-        .select("neutral").distinct().withColumn("ok", F.lit(True))
-    )
+    ok = clean_masses(tries.select("neutral"), ppm, **limits).withColumn("ok", F.lit(True))
     tried = tries.join(ok, "neutral", "left")
     best = tried.groupBy("scan_id").agg(
         F.first("precursor_mz").alias("precursor_mz"), F.first("pol").alias("pol"),
@@ -232,14 +248,17 @@ def class_losses(cands: DataFrame, fragments: DataFrame, losses: DataFrame, tol:
     Losses are measured from the class's reference fragments, or from the
     observed peaks when ``observed`` (scan_id, mz) is given.
     """
-    if observed is None:
-        rows = cands.select("scan_id", "class", "precursor_mz").join(fragments, "class")
-        rows = rows.withColumn("frag", F.col("ref_mz"))
-    else:
-        rows = cands.select("scan_id", "class", "precursor_mz").join(observed, "scan_id").withColumn("frag", F.col("mz"))
-    rows = rows.select("scan_id", "class", "frag", (F.col("precursor_mz") - F.col("frag")).alias("gap"))
-    hit = ppm_join(rows, losses, "gap", "delta", tol, on=["class"])
-    return hit.groupBy("scan_id", "class").agg(F.count_distinct("frag").alias("n_losses"))
+    if observed is not None:
+        rows = cands.select("scan_id", "class", "precursor_mz").join(observed, "scan_id")
+        rows = rows.select("scan_id", "class", F.col("mz").alias("frag"), (F.col("precursor_mz") - F.col("mz")).alias("gap"))
+        hit = ppm_join(rows, losses, "gap", "delta", tol, on=["class"])
+        return hit.groupBy("scan_id", "class").agg(F.count_distinct("frag").alias("n_losses"))
+    # fragment + loss per rule is a fixed table of precursor masses to look for;
+    # an error within tol of the loss is within tol of the larger sum
+    sums = fragments.join(losses, "class").select("class", "ref_mz", "delta", (F.col("ref_mz") + F.col("delta")).alias("expected"))
+    near = ppm_join(cands.select("scan_id", "class", "precursor_mz"), sums, "precursor_mz", "expected", tol, on=["class"])
+    hit = near.where(ppm_error(F.col("precursor_mz") - F.col("ref_mz"), F.col("delta"), tol).isNotNull())
+    return hit.groupBy("scan_id", "class").agg(F.count_distinct("ref_mz").alias("n_losses"))
 
 
 def marker_hits(ions: DataFrame, markers: DataFrame, tol: float = 10.0) -> DataFrame:

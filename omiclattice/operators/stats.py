@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from omiclattice.functions.materialise import settle
-from omiclattice.functions.ranks import average_ranks, benjamini_hochberg, global_median
+from omiclattice.functions.ranks import benjamini_hochberg, cumulative_counts, global_median
 from omiclattice.functions.tails import P_FLOOR, chi2_tail, f_tail, t_two_sided
 
 
@@ -110,7 +110,7 @@ def group_pairs(moments: DataFrame) -> DataFrame:
     )
 
 
-def kruskal_wallis(df: DataFrame, groups: DataFrame, rank_scope: str = "feature_id") -> DataFrame:
+def kruskal_wallis(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Tie-corrected H and p per feature (NULL-safe; needs two groups).
 
     The tie sum comes from the same value counts as the ranks.
@@ -118,11 +118,12 @@ def kruskal_wallis(df: DataFrame, groups: DataFrame, rank_scope: str = "feature_
     cells = settle(df.join(groups, "sample_id").where(F.col("value").isNotNull()))
     sizes = cells.groupBy("feature_id", "grp").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     cells = cells.join(sizes.select("feature_id", "grp"), ["feature_id", "grp"], "left_semi")
-    ties = (
-        cells.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("t"))
-        .groupBy("feature_id").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
-    )
-    ranked = average_ranks(cells, ["feature_id"], "value", "rnk")
+    # one set of value counts gives the ranks and the tie sums
+    cc = settle(cumulative_counts(cells, ["feature_id"], "value"))
+    t = F.col("cnt")
+    ties = cc.groupBy("feature_id").agg(F.sum(t * t * t - t).alias("tie"))
+    ranks = cc.select("feature_id", "value", (F.col("below") + (t + 1) / 2.0).alias("rnk"))
+    ranked = cells.join(ranks, ["feature_id", "value"])
     rank_sums = ranked.groupBy("feature_id", "grp").agg(
         F.sum("rnk").alias("r"), F.count(F.lit(1)).alias("n")
     )

@@ -8,7 +8,7 @@ from omiclattice.functions.materialise import settle
 from omiclattice.operators import enrich, motifs as mo, stats
 from omiclattice.plans.matrix_queries import R, _AOV, _BASE, _logged
 from omiclattice.plans.registry import query
-from omiclattice.plans.views import EXPR, METAB, expr, groups, metab, sql_bh, sql_hypergeom, table
+from omiclattice.plans.views import EXPR, METAB, expr, groups, metab, sql_bh, sql_hypergeom, table, texts
 from omiclattice.sources import sequences as sq
 
 _AZ, _NT = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -18,7 +18,7 @@ _SEQ = f"""sq AS (SELECT 'D' || doc_id AS seq_id, doc_id, translate(regexp_repla
 
 def seqs_view(spark, sf, alphabet=_NT):
     """Letters of each whole text mapped to nucleotides (or amino acids)."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("seq_id"), "doc_id",
         F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _AZ, alphabet).alias("sequence"),
     )
@@ -237,7 +237,7 @@ _TERMS_SQL = " UNION ALL ".join(f"SELECT '{w}' AS word" for w in _WORDS)
   t AS (SELECT *, {sql_hypergeom('in_set', 'in_set + in_background', 'n_set', 'n_set + n_back')} AS p FROM c), q AS ({sql_bh('t', 'p')})
   SELECT word, in_set, in_background, round(p, 6) AS p_value, round(q_raw, 6) AS q_value FROM q WHERE q_raw < 0.9999""")
 def term_enrichment(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     hits = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("feature_id"))
     ann = d.select(F.col("doc_id").alias("feature_id"), F.col("text").alias("term"))
     res = enrich.term_enrichment(hits, d.select(F.col("doc_id").alias("feature_id")), ann, _WORDS, alpha=0.9999)

@@ -11,7 +11,7 @@ from omiclattice.operators import evidence as ev, text as tx
 from omiclattice.plans.evidence_queries import candidates, _fuse_sql
 from omiclattice.plans.matrix_queries import R
 from omiclattice.plans.registry import query
-from omiclattice.plans.views import METAB, metab, table
+from omiclattice.plans.views import METAB, metab, table, texts
 from omiclattice.sources import matrices, sequences as sq, sinks
 from omiclattice.streaming import ingest
 
@@ -21,13 +21,13 @@ _STOP = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 
 @query("tokenise", f"""WITH t AS (SELECT doc_id, {_TOK('text')} AS tk FROM documents) SELECT doc_id, len(tk)::INT AS n, md5(array_to_string(tk, ' ')) AS tokens_md5 FROM t""")
 def tokenise(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tk"))
+    t = texts(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("tk"))
     return t.select("doc_id", F.size("tk").alias("n"), F.md5(F.array_join("tk", " ")).alias("tokens_md5"))
 
 
 @query("script_detection", "SELECT doc_id, regexp_matches(text, '[㐀-鿿]') AS has_cjk FROM documents")
 def script_detection(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.has_cjk(F.col("text")).alias("has_cjk"))
+    return texts(spark, sf).select("doc_id", tx.has_cjk(F.col("text")).alias("has_cjk"))
 
 
 @query("cas_extraction", r"""WITH n AS (SELECT p_partkey, [p_name, CASE WHEN p_partkey % 3 = 0 THEN '50' || p_size || '-78-' || (p_partkey % 10) ELSE '1-2' END, '64-17-5'] AS names FROM part)
@@ -52,7 +52,7 @@ def recency_decay(spark, sf):
 @query("wording_lint", """WITH w AS (SELECT unnest(['the', 'copyright', 'confirmed', 'license', 'und ', 'proved']) AS p) SELECT doc_id, count(p) AS n_issues FROM documents LEFT JOIN w ON contains(lower(text), p) GROUP BY 1""")
 def wording_lint(spark, sf):
     words = ["the", "copyright", "confirmed", "license", "und ", "proved"]
-    return table(spark, sf, "documents").select("doc_id", F.size(tx.wording_issues(F.col("text"), words)).alias("n_issues"))
+    return texts(spark, sf).select("doc_id", F.size(tx.wording_issues(F.col("text"), words)).alias("n_issues"))
 
 
 @query("level_labels", _fuse_sql() + """ SELECT label, count(*) AS n FROM (SELECT CASE level WHEN 'Gold' THEN 'plausible' WHEN 'Silver' THEN 'weakly supported' ELSE 'insufficient evidence' END AS label FROM fz) GROUP BY 1""")
@@ -99,13 +99,13 @@ _Q = "and the oneren of ention que eau der"
 
 @query("tfidf_index", f"WITH {_tfidf('documents', 'doc_id', 'text', 2000, tx.STOPWORDS)} SELECT id AS doc_id, count(*) AS n, round(sum(weight), 4) AS total FROM ix GROUP BY 1")
 def tfidf_index(spark, sf):
-    ix = tx.tfidf_index(table(spark, sf, "documents"), "doc_id")
+    ix = tx.tfidf_index(texts(spark, sf), "doc_id")
     return ix.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), R(F.sum("weight"), 4).alias("total"))
 
 
 @query("retrieval_top_k", f"WITH {_tfidf('documents', 'doc_id', 'text', 2000, tx.STOPWORDS)}, {_QV(_Q)} SELECT id AS doc_id, round(score, 6) AS score FROM rel WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT 8")
 def retrieval_top_k(spark, sf):
-    ix = settle(tx.tfidf_index(table(spark, sf, "documents"), "doc_id"))
+    ix = settle(tx.tfidf_index(texts(spark, sf), "doc_id"))
     return tx.search(ix, _Q, "doc_id").select("doc_id", R("score").alias("score"))
 
 
@@ -164,7 +164,7 @@ _MENT = f"""fm AS (SELECT DISTINCT doc_id, f AS family FROM documents, (SELECT u
 
 
 def _mentions(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     return tx.family_mentions(d, "doc_id", families=_FAMS), tx.metabolite_mentions(d, "doc_id", names=_METS)
 
 

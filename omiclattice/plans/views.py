@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of few files over all cores before heavy text work.
+
+    Tables with at least one file per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def texts(spark, sf, name: str = "documents") -> DataFrame:
+    return spread(table(spark, sf, name))
+
+
 def _lines(spark, sf, *cols) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", *cols)
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
