@@ -473,3 +473,9 @@ def preprocess(expr: DataFrame, method: str = "log2", fill: str = "mean",
     kept = filled.transform(filter_low_expression, min_mean)
     steps = {"log2": log2_transform, "zscore": z_score, "minmax": min_max, "none": lambda d: d}
     return kept.transform(steps[method])
+
+
+def heatmap_values(df: DataFrame, top: int = 60) -> DataFrame:
+    """Row z-scores of the most variable features: the cells of a heat map."""
+    chosen = top_variance(df, top).select("feature_id")
+    return z_score(df.join(chosen, "feature_id", "left_semi"))

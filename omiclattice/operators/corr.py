@@ -141,7 +141,7 @@ def correlated_pairs(
     same = b is None
     placed = block_pairs(a, b, size)
 
-    def multiply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"feature_a": [], "feature_b": [], "r": [], "p_value": []})
         # one row order per block, whatever order the shuffle delivered
         pdf = pdf.sort_values("feature_id", kind="stable")
@@ -241,7 +241,7 @@ def spearman_pairwise(
         eq = (x[:, :, None] == x[:, None, :]) & ok[:, None, :]
         return gt.sum(axis=2) + (eq.sum(axis=2) + 1) / 2.0
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pa, pb = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out = []
         if len(pa) and len(pb):
@@ -360,3 +360,17 @@ def mean_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
             F.zip_with("z", F.col("_c.v"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v
         ).alias("mean_r"),
     )
+
+
+def expressologs(a: DataFrame, b: DataFrame, orthologs: DataFrame, top: int = 10) -> DataFrame:
+    """Best co-expressed orthologs of each gene across two species.
+
+    ``a`` and ``b``: long tables over comparable tissues; ``orthologs``:
+    gene_a, gene_b. Only ortholog pairs are compared, cell by cell.
+    """
+    from omiclattice.operators.network import top_per_group
+
+    left = orthologs.join(a.select(F.col("feature_id").alias("gene_a"), "sample_id", F.col("value").alias("x")), "gene_a")
+    both = left.join(b.select(F.col("feature_id").alias("gene_b"), "sample_id", F.col("value").alias("y")), ["gene_b", "sample_id"])
+    r = both.groupBy("gene_a", "gene_b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).where("n >= 3 AND r IS NOT NULL AND NOT isnan(r)")
+    return top_per_group(r, ["gene_a"], [F.desc(F.round("r", 9)), F.col("gene_b")], top)

@@ -35,7 +35,7 @@ def connectivity(unit: DataFrame, powers: list[int], labels: DataFrame | None =
     placed = block_pairs(rows, None, size)
     by_module = labels is not None
 
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pa, pb = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out = []
         if len(pa) and len(pb):
@@ -118,7 +118,7 @@ def tom_edges(unit: DataFrame, power: float, min_tom: float, size: int = 256) ->
                 F.lit(2).alias("role"), "feature_id", "z")
     )
 
-    def partial(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("feature_id", kind="stable")
         part = [pdf[pdf["role"] == r] for r in (0, 1, 2)]
         if not all(len(p) for p in part):
@@ -145,7 +145,7 @@ def tom_edges(unit: DataFrame, power: float, min_tom: float, size: int = 256) ->
     ).select("ba", "bb", "role", "feature_id", "z", "k", "seg")
     both = cols.where("role = 1").unionByName(segs)
 
-    def finish(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("feature_id", kind="stable")
         pa, pb = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
         if not len(pa) or not len(pb):
@@ -591,3 +591,39 @@ def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
             break
         out = out.unionByName(level)
     return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+# --- whole co-expression run ---------------------------------------------------------
+def coexpression(expr: DataFrame, traits: DataFrame | None = None, min_present: float = 0.8,
+                 min_tom: float = 0.0, min_size: int = 10, deep_split: int = 2) -> dict[str, DataFrame]:
+    """Modules of an expression block and their traits, all features at once.
+
+    Steps: features present in enough samples, mean fill, scale by content
+    (counts are size-factor normalised), soft threshold, overlap, modules,
+    eigengenes, hubs, trait correlation. ``traits`` is a long table over the
+    same samples.
+    """
+    from omiclattice.operators import clean
+
+    expr = settle(expr)
+    kept = settle(clean.filter_na_ratio(expr, 1.0 - min_present).transform(clean.impute_mean))
+    scale = clean.infer_scale(kept).first()["scale"]
+    steps = {
+        "count": clean.log_counts, "already_log": lambda d: d,
+        "linear": lambda d: clean.log2_transform(d, 1.0),
+    }
+    axis = clean.sample_list(expr)
+    vecs = settle(clean.to_vectors(steps[scale](kept), axis))
+    unit = settle(unit_vectors(vecs))
+    fit = settle(scale_free_fit(settle(connectivity(unit, POWERS))))
+    power = pick_power(fit).first()["power"]
+    modules = settle(tom_modules(unit, power, min_tom, min_size, deep_split))
+    eigen = settle(eigengenes(vecs, modules))
+    out = {
+        "fit": fit, "modules": modules, "eigengenes": eigen, "hubs": hub_genes(unit, modules, power),
+        "membership": membership(vecs, modules, eigen),
+    }
+    if traits is not None:
+        filled = clean.impute_mean(traits)
+        out["traits"] = module_traits(eigen, clean.to_vectors(filled, axis))
+    return out

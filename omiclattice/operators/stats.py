@@ -315,3 +315,27 @@ def expressed_overlap(df: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(F.array_join(F.sort_array(F.collect_set("grp")), "+").alias("region"))
     )
     return per.groupBy("region").agg(F.count(F.lit(1)).alias("n_features"))
+
+
+def tissue_prior(queries: DataFrame, bias: DataFrame) -> DataFrame:
+    """Score of a gene's tissue for a metabolite from known accumulation sites.
+
+    ``queries``: query_id, metabolite, tissue (may be NULL); ``bias``:
+    tissue, word. Unknown metabolite 0.30, no tissue 0.50, match 0.85, else
+    0.25. Words and names match by containment either way.
+    """
+    from omiclattice.functions.scalars import contained_in
+
+    q = settle(queries.select("query_id", F.lower("metabolite").alias("name"), F.lower("tissue").alias("own")))
+    names = q.select("name").distinct()
+    b = settle(bias.select(F.lower("tissue").alias("site"), F.lower("word").alias("word")).distinct())
+    sites = (
+        contained_in(b, "word", names, "name").select("name", "site")
+        .unionByName(contained_in(names, "name", b, "word").select("name", "site")).distinct()
+    )
+    known = sites.select("name").distinct().withColumn("_k", F.lit(True))
+    hit = sites.select("name", F.col("site").alias("own"), F.lit(True).alias("_m"))
+    return q.join(known, "name", "left").join(hit, ["name", "own"], "left").select(
+        "query_id",
+        F.when(F.col("_k").isNull(), 0.30).when(F.col("own").isNull(), 0.50).when(F.col("_m"), 0.85).otherwise(0.25).alias("score"),
+    )
