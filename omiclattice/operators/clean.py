@@ -407,13 +407,18 @@ def quantile_normalise(df: DataFrame) -> DataFrame:
     """Give every sample the same distribution: mean over samples per rank.
 
     Ties take the mean of the reference values they cover. A sample holds all
-    features, so positions come from the range-split counts.
+    features, so positions come from the range-split counts; a value shared
+    by very many features is cut into pieces that go to different tasks.
     """
+    piece = 100_000
     cc = cumulative_counts(df, ["sample_id"], "value")
-    spots = cc.select(
-        "sample_id", "value", "cnt",
-        F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("cnt"))).alias("pos"),
-    )
+    cut = cc.select(
+        "sample_id", "value", "below", "cnt",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("cnt") - 1) / piece))).alias("part"),
+    ).repartition("sample_id", "value", "part")
+    start = F.col("below") + F.col("part") * piece
+    stop = F.least(start + piece, F.col("below") + F.col("cnt"))
+    spots = cut.select("sample_id", "value", F.explode(F.sequence(start + 1, stop)).alias("pos"))
     reference = spots.groupBy("pos").agg(F.avg("value").alias("ref"))
     mapped = (
         spots.join(reference, "pos").groupBy("sample_id", "value").agg(F.avg("ref").alias("normalised"))

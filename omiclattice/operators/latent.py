@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from omiclattice.operators.corr import _matrix, gram
 
-MAX_SAMPLES = 4096  # side of the sample matrix the driver may hold (128 MB)
+MAX_SAMPLES = 2048  # side of the sample matrix the driver may hold (32 MB)
 
 
 def sample_matrix(vectors: DataFrame, centre: bool = True) -> np.ndarray:
@@ -22,9 +22,9 @@ def sample_matrix(vectors: DataFrame, centre: bool = True) -> np.ndarray:
     n = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
     if n > MAX_SAMPLES:
         raise ValueError(f"{n} samples exceed the sample-matrix limit of {MAX_SAMPLES}")
+    cells = gram(vectors, centre=centre).select("i", "j", "g").toPandas()
     out = np.zeros((n, n))
-    for i, j, g in gram(vectors, centre=centre).select("i", "j", "g").collect():
-        out[i, j] = g
+    out[cells["i"], cells["j"]] = cells["g"]
     return (out + out.T) / 2.0
 
 

@@ -117,7 +117,7 @@ def markdown_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     head = F.split("chunk", "\n")[0]
     return parts.select(
         key, "pos", F.when(F.col("chunk").startswith("## "), F.trim(F.trim(head, F.lit("# ")))).otherwise("概述").alias("section"),
-        F.regexp_replace("chunk", r"^\s+|\s+$", "").alias("chunk"),
+        F.regexp_replace("chunk", r"^\s+|\s+$", "").alias("chunk"), F.length("chunk").alias("n_raw"),
     )
 
 

@@ -205,22 +205,21 @@ def marker_anchors(spark, sf):
     return sp.marker_hits(ions, markers, TOL).withColumn("ppm", R("ppm", 4))
 
 
-# --- text formats: records are written as text columns and parsed back -------------
+# --- text formats: one record per line item, written as text and parsed back ------
 def _record_lines(spark, sf, sep):
-    """Peak lines per scan joined in order; an order has at most seven lines."""
-    li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.concat_ws(sep, F.format_string("%.4f", F.round(50 + (F.col("l_extendedprice") * 3) % 250, 4)),
-        F.format_string("%.1f", F.col("l_quantity"))).alias("t"),
+    """Header fields and two peak lines per record."""
+    li = table(spark, sf, "lineitem")
+    mz = F.round(50 + (F.col("l_extendedprice") * 3) % 250, 4)
+    line = lambda m, i: F.concat(F.format_string("%.4f", m), F.lit(sep), F.format_string("%.1f", i))
+    return li.select(
+        F.concat_ws("-", F.lit("S"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("title"),
+        F.format_string("%.4f", F.round(120 + (F.col("l_extendedprice") * 7) % 300, 4)).alias("pm"), "l_returnflag",
+        F.concat(line(mz, F.col("l_quantity")), F.lit("\n"), line(mz + 1.5, F.lit(7.0))).alias("body"),
     )
-    packed = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("a"))
-    return packed.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
-        "body", F.array_join(F.transform("a", lambda x: x["t"]), "\n")
-    ).withColumn("pm", F.format_string("%.4f", F.round(120 + (F.col("o_totalprice") * 7) % 300, 4)))
 
 
-_PARSED = """SELECT 'S' || o_orderkey AS scan_id, round(120 + (o_totalprice * 7) % 300, 4) AS precursor_mz, count(*)::INT AS n_peaks,
-  round(sum(round(50 + (l_extendedprice * 3) % 250, 4)), 3) AS sum_mz, sum(l_quantity) AS sum_intensity, {extra}
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice, o_orderstatus"""
+_PARSED = """SELECT concat_ws('-', 'S', l_orderkey, l_linenumber, l_partkey) AS scan_id, round(120 + (l_extendedprice * 7) % 300, 4) AS precursor_mz, 2 AS n_peaks,
+  round(round(50 + (l_extendedprice * 3) % 250, 4) * 2 + 1.5, 3) AS sum_mz, l_quantity + 7 AS sum_intensity, {extra} FROM lineitem"""
 
 
 def _parsed(df, *extra):
@@ -231,24 +230,23 @@ def _parsed(df, *extra):
     )
 
 
-@query("parse_mgf", _PARSED.format(extra="CASE o_orderstatus WHEN 'F' THEN 'positive' ELSE 'negative' END AS polarity, CASE o_orderstatus WHEN 'F' THEN NULL ELSE NULL END::INT AS precursor_charge"))
+@query("parse_mgf", _PARSED.format(extra="CASE l_returnflag WHEN 'A' THEN 'positive' ELSE 'negative' END AS polarity, CASE l_returnflag WHEN 'R' THEN 2 END AS precursor_charge"))
 def parse_mgf(spark, sf):
     r = _record_lines(spark, sf, " ")
-    charge = F.when(F.col("o_orderstatus") == "F", "1+").otherwise("1-")
+    charge = F.when(F.col("l_returnflag") == "A", "1+").when(F.col("l_returnflag") == "R", "2").otherwise("1-")
     text = F.concat(
-        F.lit("\nBEGIN IONS\nTITLE=S"), F.col("o_orderkey").cast("string"), F.lit("\nPEPMASS="), F.col("pm"), F.lit(" 100.0\nCHARGE="),
-        charge, F.lit("\n"), F.col("body"), F.lit("\n"),
+        F.lit("\nBEGIN IONS\nTITLE="), "title", F.lit("\nPEPMASS="), "pm", F.lit(" 100.0\nCHARGE="), charge, F.lit("\n"), "body", F.lit("\n"),
     )
-    return _parsed(src.parse_mgf(r.select(text.alias("value"))), "polarity", "precursor_charge")
+    got = src.parse_mgf(r.select(text.alias("value")))
+    return _parsed(got, F.coalesce("polarity", F.lit("negative")).alias("polarity"), "precursor_charge")
 
 
-@query("parse_msp", _PARSED.format(extra="CASE o_orderstatus WHEN 'F' THEN 'positive' ELSE 'negative' END AS polarity, '[M+H]+' AS adduct"))
+@query("parse_msp", _PARSED.format(extra="CASE l_returnflag WHEN 'A' THEN 'positive' ELSE 'negative' END AS polarity, '[M+H]+' AS adduct"))
 def parse_msp(spark, sf):
     r = _record_lines(spark, sf, "\t")
     text = F.concat(
-        F.lit("Name: S"), F.col("o_orderkey").cast("string"), F.lit("\nPrecursorMZ: "), F.col("pm"),
-        F.lit("\nPrecursor_type: '[M+H]+'\nIon_mode: "), F.when(F.col("o_orderstatus") == "F", "P").otherwise("N"),
-        F.lit("\nNum Peaks: "), F.size("a").cast("string"), F.lit("\n"), F.col("body"),
+        F.lit("Name: "), "title", F.lit("\nPrecursorMZ: "), "pm", F.lit("\nPrecursor_type: '[M+H]+'\nIon_mode: "),
+        F.when(F.col("l_returnflag") == "A", "P").otherwise("N"), F.lit("\nNum Peaks: 2\n"), "body",
     )
     return _parsed(src.parse_msp(r.select(text.alias("value"))), "polarity", "adduct")
 
@@ -270,7 +268,7 @@ def parse_fragment_rows(spark, sf):
 
 
 def _library_text(spark, sf):
-    """One payload per customer: an array of order records, every third one cut off."""
+    """One payload per order: an array of its record, every third one cut off."""
     o = table(spark, sf, "orders")
     rec = F.to_json(F.struct(
         F.concat(F.lit("A"), (F.col("o_orderkey") % 9000).cast("string")).alias("accession"),
@@ -279,9 +277,8 @@ def _library_text(spark, sf):
                  F.array(F.struct(F.lit("KEGG").alias("database"), F.col("o_custkey").cast("string").alias("identifier"))).alias("link")).alias("compound"),
         F.struct(F.struct(F.array(F.struct(F.col("o_totalprice").alias("mz"), F.lit(5.0).alias("intensity"))).alias("values")).alias("peak")).alias("peak"),
     ))
-    packed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", rec.alias("j")))).alias("a"))
-    body = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ", "))
-    return packed.select(F.when(F.col("o_custkey") % 3 == 0, F.concat(body, F.lit(', {"accession": "cut'))).otherwise(F.concat(body, F.lit("]"))).alias("value"))
+    cut = F.concat(F.lit("["), rec, F.lit(', {"accession": "cut'))
+    return o.select(F.when(F.col("o_custkey") % 3 == 0, cut).otherwise(F.concat(F.lit("["), rec, F.lit("]"))).alias("value"))
 
 
 @query("parse_library_json", """SELECT 'A' || (o_orderkey % 9000) AS accession, printf('T%09d', o_orderkey) AS title, o_totalprice AS mass, 1 AS n_peaks,

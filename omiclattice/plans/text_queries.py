@@ -67,16 +67,13 @@ def json_fields(spark, sf):
 
 
 # --- chunks -----------------------------------------------------------------
-@query("markdown_chunks", """WITH m AS (SELECT conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1),
-  c AS (SELECT conv_id, unnest(string_split(text, chr(10) || '## ')) AS ch FROM m) SELECT conv_id, count(*) AS n_chunks, sum(length(trim(ch, chr(10) || ' ' || chr(9) || chr(13))))::BIGINT + 3 * (count(*) - 1) AS n_chars FROM c GROUP BY 1""")
+@query("markdown_chunks", """WITH m AS (SELECT doc_id, lang || chr(10) || replace(text, chr(10), chr(10) || '## ') AS text FROM documents), c AS (SELECT doc_id, unnest(string_split(text, chr(10) || '## ')) AS ch FROM m)
+  SELECT doc_id, count(*) AS n_chunks, sum(length(ch))::BIGINT + 3 * (count(*) - 1) AS n_chars FROM c GROUP BY 1""")
 def markdown_chunks(spark, sf):
-    conv = table(spark, sf, "conversations")
-    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text")
-    docs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("t")))).alias("a")).select(
-        "conv_id", F.array_join(F.transform("a", lambda x: x["t"]), "\n").alias("text")
-    )
-    c = tx.markdown_chunks(docs, "conv_id")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"))
+    """Every line of a text after the first becomes a section."""
+    d = texts(spark, sf).select("doc_id", F.concat("lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("text"))
+    c = tx.markdown_chunks(d, "doc_id")
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_raw").alias("n_chars"))
 
 
 @query("column_chunks", """WITH l AS (SELECT p_partkey AS o, unnest(['p_name', 'p_brand', 'p_type']) AS "column", unnest([p_name, p_brand, p_type]) AS v FROM part), f AS (SELECT "column", v, min(o) AS o FROM l GROUP BY 1, 2),
@@ -263,7 +260,7 @@ def tf_list_scan(spark, sf):
     k = F.col("p_partkey").cast("string")
     fam = F.upper(F.split("p_name", " ")[1])
     lines = p.select(F.col("p_brand").alias("species"), F.concat_ws("\t", F.concat(F.lit("T"), k), F.concat(F.lit("G"), k), fam).alias("value"))
-    known = [r[0] for r in p.select(fam).distinct().limit(50).collect()]
+    known = [r[0] for r in p.select(fam).distinct().collect()]  # the nouns of the part names
     return sq.parse_tf_list(lines, known, min_rows=3)
 
 
