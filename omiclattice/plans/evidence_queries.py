@@ -505,7 +505,7 @@ def ortholog_map(spark, sf):
 
 
 @query("species_fallback", """WITH q AS (SELECT DISTINCT c_nationkey AS species, c_mktsegment AS metabolite FROM customer), pf AS (SELECT c_nationkey AS species, c_mktsegment AS metabolite, 'p' || min(c_custkey) AS answer FROM customer WHERE c_nationkey < 8 AND c_custkey % 3 = 0 GROUP BY 1, 2)
-  SELECT species, metabolite, CASE WHEN species < 8 THEN answer WHEN metabolite < 'F' THEN 'rule' END AS answer, CASE WHEN species < 8 THEN 'profile' WHEN metabolite < 'F' THEN 'ortholog' ELSE 'gap' END AS level FROM q LEFT JOIN pf USING (species, metabolite)""")
+  SELECT species, metabolite, CASE WHEN species IN (SELECT species FROM pf) THEN answer WHEN metabolite < 'F' THEN 'rule' END AS answer, CASE WHEN species IN (SELECT species FROM pf) THEN 'profile' WHEN metabolite < 'F' THEN 'ortholog' ELSE 'gap' END AS level FROM q LEFT JOIN pf USING (species, metabolite)""")
 def species_fallback(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("species"), F.col("c_mktsegment").alias("metabolite"), "c_custkey")
     pf = c.where("species < 8 AND c_custkey % 3 = 0").groupBy("species", "metabolite").agg(F.concat(F.lit("p"), F.min("c_custkey").cast("string")).alias("answer"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from omiclattice.functions.materialise import settle
+from omiclattice.functions.scalars import round_half_up
 from omiclattice.operators import enrich, motifs as mo, stats
 from omiclattice.plans.matrix_queries import R, _AOV, _BASE, _logged
 from omiclattice.plans.registry import query
@@ -50,9 +51,9 @@ def motif_hit_counts(spark, sf):
 
 @query("motif_rollup", f"""WITH {_SEQ}, m AS ({_MOTS(mo.SCORED_MOTIFS)}), h AS (SELECT seq_id, family, motif, len(regexp_extract_all(sequence, rx)) AS n,
     sc * greatest(0, 1 - (strpos(sequence, regexp_extract(sequence, rx)) - 1) / length(sequence) * 0.5) AS s FROM sq, m WHERE length(sequence) >= 10 AND regexp_matches(sequence, rx))
-  SELECT seq_id, sum(n)::INT AS n_hits, round(max(s), 4) AS best_score, count(DISTINCT family)::INT AS n_families FROM h GROUP BY 1""")
+  SELECT seq_id, sum(n)::INT AS n_hits, round(max(s) + 1e-9, 4) AS best_score, count(DISTINCT family)::INT AS n_families FROM h GROUP BY 1""")
 def motif_rollup(spark, sf):
-    return mo.motif_rollup(seqs_view(spark, sf)).select("seq_id", "n_hits", R("best_score", 4).alias("best_score"), "n_families")
+    return mo.motif_rollup(seqs_view(spark, sf)).select("seq_id", "n_hits", round_half_up(F.col("best_score"), 4).alias("best_score"), "n_families")
 
 
 _CONS = " UNION ALL ".join(f"SELECT '{f}' AS family, '{mo.iupac_regex(p)}' AS rx" for _, p, f in mo.CONSENSUS_MOTIFS)
