@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import packing, token_files
+from omiclattice.llm import near_join, packing, token_files
 
 QUERIES = {
     "op3_token_files": token_files.query,
+    "op6_near_join": near_join.query,
     "op10_best_fit_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
