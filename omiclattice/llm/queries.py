@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import near_join, packing, token_files
+from omiclattice.llm import decontaminate, lm_scores, near_join, packing, token_files, wordpiece
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op2_token_counts": wordpiece.query,
     "op3_token_files": token_files.query,
     "op6_near_join": near_join.query,
+    "op9_lm_scores": lm_scores.query,
     "op10_best_fit_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_lm_scores": lm_scores.SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
 import uuid
 
@@ -36,3 +37,8 @@ def picked(df: DataFrame, *columns: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker; module globals are sent anew with each task."""
+    return sys.__dict__.setdefault(f"_cache_{name}", {})

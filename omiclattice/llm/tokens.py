@@ -13,6 +13,9 @@ from __future__ import annotations
 import array
 import os
 import re
+from itertools import filterfalse
+
+from omiclattice.llm.storage import process_cache
 
 REMEMBER = 600_000
 _ODD = re.compile(r"\s\s")
@@ -42,16 +45,18 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > REMEMBER:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
+        known, older, parts = self.known, self.older, set()
+        for t in texts:
+            parts.update(filterfalse(known.__contains__, t))
+        new = []
         for x in parts:
-            if x not in known:
-                if x in older:
-                    known[x] = older[x]
-                else:
-                    new.append(x)
+            if x in older:
+                known[x] = older[x]
+            else:
+                new.append(x)
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             known.update(zip(part, self._plain([" " + x for x in part])))
@@ -69,19 +74,17 @@ class Encoder:
                 if len(p) > 1 and not p[-1]:  # and may end with one
                     p[-2:] = [p[-2] + " "]
                 cut.append((p[0], p[1:]))
-        self._learn(set().union(*(rest for _, rest in cut)))
+        self._learn([rest for _, rest in cut])
         first, known = self._plain([f for f, _ in cut]), self.known
         return [f + b"".join(map(known.__getitem__, rest)) for f, (_, rest) in zip(first, cut)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file; a reused worker keeps its words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    cache = process_cache("encoders")
+    if path not in cache:
+        cache[path] = Encoder(path)
+    return cache[path]
 
 
 def runs(rows, text: str, limit: int = 1 << 20):

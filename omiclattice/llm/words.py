@@ -13,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from omiclattice.llm.storage import process_cache
+
 #: Bytes of text handled at once; one longer text is a chunk by itself.
 CHUNK = 256 << 10
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,13 +44,15 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _tables(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        for name, base in (("_powers", _P), ("_inverse", _INV)):
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First ``n`` powers of the base and of its inverse."""
+    cache = process_cache("powers")
+    if len(cache.get("p", ())) < n:
+        for name, base in (("p", _P), ("q", _INV)):
             x = np.full(n, base, np.uint64)
             x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
+            cache[name] = np.multiply.accumulate(x)
+    return cache["p"], cache["q"]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +94,10 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True, separators: np.
     after[-1], after[:-1] = True, gap[1:]
     after[edge[edge > 0] - 1] = True
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    _tables(len(buf) + 1)
+    powers, inverse = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTES)[buf] * _powers[:len(buf)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * _inverse[starts])
+    np.cumsum((_LOWER if lower else _BYTES)[buf] * powers[:len(buf)], out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * inverse[starts])
     return h, np.searchsorted(offs, starts, "right") - 1, starts, ends
 
 
