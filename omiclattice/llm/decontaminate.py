@@ -1,16 +1,16 @@
 """Benchmark decontamination: item-sized windows, CGK embedding, bit-sampling LSH, exact edit verification.
 
 Items and documents are word sequences (A-Z lower-cased, ASCII punctuation
-dropped). A document is contaminated by an item of ``n`` words if a window of
-``n`` words is within ``k = floor(n * (1 - similarity))`` word edits of it.
+dropped). A document is contaminated by an item of ``n`` words if a passage is
+within ``k = floor(n * (1 - similarity))`` word edits of it.
 
-1. A window that close shares at least ``n - 1 - 2k`` word pairs with the
-   item, so windows with fewer are passed over: counted first over the pairs of
+1. The window of ``n`` words where such a passage begins shares at least
+   ``n - 1 - 2k`` word pairs with the item, so windows with fewer are passed over: counted first over the pairs of
    all items, then item by item. This loses nothing and leaves few windows.
 2. The CGK random walk maps windows and items to strings whose Hamming distance
    follows the edit distance; several walks and several bit samples of each
    give LSH keys, and equal keys give candidates. ``lsh_recall`` sets their number.
-3. Candidates are verified by the exact edit distance.
+3. Candidates are verified by the exact edit distance, with the passage's end left free.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def samples_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - KEPT**SAMPLE) / WALKS)
 
 
-def edit_distances(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of an item to each row of ``windows`` (the first ``lengths`` symbols count), a row at a time."""
+def edit_distances(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least Levenshtein distance of an item to a beginning of each row of ``windows``, of at most ``lengths`` symbols, and its length."""
     m, n = windows.shape
     step = np.arange(n + 1)
     row, new = np.tile(step, (m, 1)), np.empty((m, n + 1), np.int64)
@@ -49,7 +49,9 @@ def edit_distances(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -
         new -= step
         np.minimum.accumulate(new, axis=1, out=row)
         row += step
-    return row[np.arange(m), lengths]
+    row[step[None] > lengths[:, None]] = len(item) + n
+    end = row.argmin(1)
+    return row[np.arange(m), end], end
 
 
 def embed(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -176,8 +178,10 @@ class Items:
                 same = (window[mine, :self.sizes[i]] == self.symbols[i]).all(1)
                 done = set(row[at[mine[same]]].tolist())  # an exact window leaves nothing to look for in its row
                 mine = mine[same | ~np.isin(row[at[mine]], list(done))]
-                lengths = held[mine].sum(1)
-                for c, d, w in zip(mine, edit_distances(self.symbols[i], window[mine, :self.sizes[i]], lengths), lengths):
+                longer = at[mine][:, None] + np.arange(self.sizes[i] + self.edits[i])  # insertions push an item beyond its window
+                inside = (longer < len(h)) & (row[np.minimum(longer, len(h) - 1)] == row[at[mine]][:, None])
+                symbols = np.where(inside, sym[np.minimum(longer, len(h) - 1)], -1)
+                for c, d, w in zip(mine, *edit_distances(self.symbols[i], symbols, inside.sum(1))):
                     name = int(row[at[c]]), int(i)
                     if d <= self.edits[i] and (name not in best or (d, int(at[c])) < best[name][:2]):
                         best[name] = int(d), int(at[c]), int(w)

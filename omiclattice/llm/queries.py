@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import decontaminate, lm_scores, near_join, packing, token_files, wordpiece
+from omiclattice.llm import decontaminate, lm_scores, near_join, packing, quality, token_files, topk, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_token_counts": wordpiece.query,
     "op3_token_files": token_files.query,
+    "op4_toxicity": toxicity.query,
     "op6_near_join": near_join.query,
+    "op7_quality": quality.query,
+    "op8_top_k": topk.query,
     "op9_lm_scores": lm_scores.query,
     "op10_best_fit_packing": packing.query,
 }
-ORACLES = {"op9_lm_scores": lm_scores.SQL}
+ORACLES = {"op8_top_k": topk.SQL, "op9_lm_scores": lm_scores.SQL}
