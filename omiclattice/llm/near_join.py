@@ -34,8 +34,6 @@ GROUPS = 16
 LEAF = 16
 #: Shingles in a tile, on average.
 TILE = 1 << 18
-#: Up to this many shingles sets meet by leaving one out, beyond by equal groups.
-FEW = 13
 
 _K = words.mix(np.arange(1, 65, dtype=np.uint64))  # factors of the hashes below
 
@@ -58,9 +56,14 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.nd
             yield np.zeros(0, np.uint64)
 
 
+def few(percent: int) -> int:
+    """Up to this size, linked sets differ in at most one shingle on either side."""
+    return -(-200 // (100 - percent)) - 1
+
+
 def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """Lower bounds of the classes of the smaller set's size, and the most shingles a linked pair may differ in."""
-    low = [FEW - 1]
+    low = [-(-percent * (few(percent) + 1) // 100)]  # the smallest partner of a set above ``few``
     while low[-1] < top:
         low.append(low[-1] + max(2, int(low[-1] * (0.15 if low[-1] < 40 else 0.6))))
     hi = np.array(low[1:], np.int64) - 1
@@ -69,19 +72,22 @@ def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
 
 
 def meeting_keys(s: np.ndarray, percent: int, classes: tuple[np.ndarray, np.ndarray], bounds: dict[int, np.ndarray]) -> np.ndarray:
-    """Keys such that two sets at the threshold have one in common."""
+    """Keys such that two sets at the threshold have one in common.
+
+    Small sets meet by the set less one shingle, larger ones by equal groups of their size class.
+    """
     n, out = len(s), []
     if not n:
         return s
     mixed = words.mix(s)
-    if n <= FEW:
+    if n <= few(percent):
         whole = mixed.sum(dtype=np.uint64)
         out.append(words.mix(np.r_[whole, whole - mixed] + _K[60]))
     low, differ = classes
-    if n >= FEW - 1:
+    if n >= low[0]:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed, out=sums[1:])
-        first = np.searchsorted(low, max(FEW - 1, -(-n * percent // 100)), "right") - 1
+        first = np.searchsorted(low, max(low[0], -(-n * percent // 100)), "right") - 1
         for k in range(first, np.searchsorted(low, n, "right")):
             groups = int(differ[k]) + 1
             groups += -(-groups // 50)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import decontaminate, lm_scores, near_join, packing, quality, token_files, topk, toxicity, wordpiece
+from omiclattice.llm import decontaminate, lm_scores, near_join, packing, pii, quality, token_files, topk, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_token_counts": wordpiece.query,
     "op3_token_files": token_files.query,
     "op4_toxicity": toxicity.query,
+    "op5_pii": pii.query,
     "op6_near_join": near_join.query,
     "op7_quality": quality.query,
     "op8_top_k": topk.query,
