@@ -19,7 +19,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows of one doc_id are one document. Rows with a null doc_id stay.
     """
-    found = near_join.classes_of(docs, size=5, percent=80)
+    found = near_join.classes_of(docs, settle(near_join.signatures(docs, size=5)), size=5, percent=80)
     gone = found.where("node <> component").select(F.col("node").alias("__gone"))
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 

@@ -208,18 +208,18 @@ def links_of(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tu
     return out
 
 
-def _search(tiles: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) inside each tile; ``label`` says what is linked already."""
+def _search(tiles: DataFrame, keys: list[str], size: int, percent: int) -> DataFrame:
+    """Links (a, b) inside each tile of (keys, doc, label, text); ``label`` says what is linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(rows):
-            sets = [np.frombuffer(x, "<u8") for x in rows["set"]]
-            docs = np.array(rows["doc"])
-            found = links_of(sets, np.unique(rows["label"], return_inverse=True)[1], percent)
+        def tile(held):
+            buf, offs = words.buffers(pa.array(held["text"], pa.large_string()))
+            docs, sets = np.array(held["doc"]), list(shingle_sets(buf, offs, size))
+            found = links_of(sets, np.unique(held["label"], return_inverse=True)[1], percent)
             a, b = (docs[[p[i] for p in found]].astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
             return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-        held, name = {"doc": [], "label": [], "set": []}, None
+        held, name = {"doc": [], "label": [], "text": []}, None
         for batch in batches:
             cols = {k: batch.column(k).to_pylist() for k in held}
             for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
@@ -232,54 +232,51 @@ def _search(tiles: DataFrame, keys: list[str], percent: int) -> DataFrame:
         if len(held["doc"]) > 1:
             yield tile(held)
 
-    dealt = tiles.select(*keys, "doc", "label", "set").repartition(*keys).sortWithinPartitions(*keys, "doc")
+    dealt = tiles.select(*keys, "doc", "label", "text").repartition(*keys).sortWithinPartitions(*keys, "doc")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def shingle_counts(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles) of every row."""
+def signatures(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, sig) of every row; equal signatures (128 bits) mean equal sets."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in words.chunks(batches, text):
-            n = [len(s) for s in shingle_sets(buf, offs, size)]
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64())})
-
-    return picked(docs, doc_id, text).mapInArrow(count, "doc_id long, n_shingles long")
+            n, sig = [], []
+            for s in shingle_sets(buf, offs, size):
+                m = words.mix(s)
+                n.append(len(s))
+                sig.append(np.array([m.sum(dtype=np.uint64), words.mix(m).sum(dtype=np.uint64)], "<u8").tobytes())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
+    return picked(docs, doc_id, text).mapInArrow(sign, "doc_id long, n_shingles long, sig binary")
 
-def classes_of(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, component) for every document with a possible partner; the smallest doc_id names a component."""
-    blocks = settle(components(meetings(docs, size, percent, doc_id, text)))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in words.chunks(batches, text):
-            sets = list(shingle_sets(buf, offs, size))
-            both = [words.mix(s) for s in sets]
-            sig = [np.array([x.sum(dtype=np.uint64), (words.mix(x)).sum(dtype=np.uint64)], "<u8").tobytes() for x in both]
-            yield pa.RecordBatch.from_pydict({
-                "doc": rows.column(doc_id).cast(pa.int64()), "block": rows.column("component"), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "sig": pa.array(sig, pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    named = picked(docs, doc_id, text)
-    met = named.join(blocks, F.col(f"`{doc_id}`") == F.col("node")).drop("node")
-    sets = settle(met.mapInArrow(make, "doc long, block long, n long, sig binary, set binary"))
-    same = sets.groupBy("block", "sig").agg(F.min("doc").alias("rep"))
-    copies = sets.join(same, ["block", "sig"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    reps = sets.join(same.select("block", "sig", F.col("rep").alias("doc")), ["block", "sig", "doc"], "left_semi").dropDuplicates(["block", "sig", "doc"])
-    total = reps.groupBy("block").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.min("doc").alias("pivot"), F.count("*").alias("docs"))
-    reps = settle(reps.join(total.where("docs > 1"), "block").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles"))).withColumn("label", F.col("doc")))
+def classes_of(docs: DataFrame, signed: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, component) for every document with a link; the smallest doc_id names a component. ``signed``: its :func:`signatures`."""
+    blocks = components(meetings(docs, size, percent, doc_id, text)).withColumnRenamed("component", "block")
+    known = signed.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig").distinct()
+    members = settle(known.join(blocks, F.col("doc") == F.col("node")).drop("node"))
+    same = members.groupBy("block", "sig").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
+    copies = members.join(same.drop("n"), ["block", "sig"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
+    total = same.groupBy("block").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.min("rep").alias("pivot"), F.count("*").alias("sets"))
+    reps = same.select("block", F.col("rep").alias("doc")).distinct().join(total.where("sets > 1"), "block")
+    reps = settle(reps.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("label", F.col("doc")))
     pivots = reps.where("tiles > 1 and doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     firsts = reps.where("tiles = 1 or doc <> pivot").unionByName(pivots)
-    links = settle(_search(firsts, ["block", "tile"], percent).union(copies.distinct()))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    links = settle(_search(firsts.join(texts, "doc"), ["block", "tile"], size, percent).union(copies))
     found = settle(components(links))
     large = reps.where("tiles > 1")
     if large.limit(1).count():
-        labelled = large.drop("label").join(found.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        open_ = labelled.groupBy("block").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("block")
-        rest = settle(labelled.join(open_, "block", "left_semi"))
+        # tiles that still hold parts not linked with one another meet two by two
+        labels = found.select(F.col("node").alias("doc"), F.col("component").alias("label"))
+        labelled = large.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        apart = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
+        rest = settle(labelled.join(apart, "block", "left_semi"))
         pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
         pairs = pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        found = settle(components(links.union(_search(pairs, ["block", "i", "j"], percent))))
+        found = settle(components(links.union(_search(pairs.join(texts, "doc"), ["block", "i", "j"], size, percent))))
     return found
 
 
@@ -291,9 +288,10 @@ def near_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "
     shingle. Rows of one doc_id are one document for linking. A row with a null
     doc_id links with nothing and has a null component. An empty table gives none.
     """
-    found = classes_of(docs, size, percent, doc_id, text)
-    counts = shingle_counts(docs, size, doc_id, text)
-    return counts.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    signed = settle(signatures(docs, size, doc_id, text))
+    found = classes_of(docs, signed, size, percent, doc_id, text)
+    out = signed.join(found, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -165,7 +165,8 @@ def _shards(cut: DataFrame, per_shard: int) -> DataFrame:
             got = {k: (doc if k == "doc" else cols[k].to_numpy())[rows].astype(f).tobytes() for k, f in FIELDS.items()}
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(shard[a])], pa.int64()), "none": [none[rows].tobytes()]} | {k: [v] for k, v in got.items()})
 
-    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    # the row's place in the stored table parts rows that repeat
+    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
     schema = "shard long, none binary, " + ", ".join(f"{k} binary" for k in FIELDS)
     return settle(keyed.repartition(n, "shard").mapInArrow(pack, schema))
 

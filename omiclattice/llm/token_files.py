@@ -65,8 +65,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: s
             "shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": pa.array([len(ids)], pa.int64()),
             "n_tokens": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32())})
 
-    keys = [F.col(f"`{doc_id}`").asc_nulls_first(), F.xxhash64(F.col(f"`{text}`"))]
-    ordered = picked(docs, doc_id, text).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the row's place in the input parts rows that repeat, so that no range is larger than the others
+    keys = [F.col(f"`{doc_id}`").asc_nulls_first(), F.xxhash64(F.col(f"`{text}`")), F.col("__place")]
+    ordered = picked(docs, doc_id, text).withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
     shards = settle(ordered.mapInArrow(write, SHARDS))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
