@@ -4,13 +4,14 @@ A word after another scores ``(c(v w) - own) / c(v)`` where other documents
 also hold the pair (``own``: its count in this document), else ``0.4 c(w) / N``;
 a document's first word scores ``c(w) / N``.
 
-Count tables are partitioned by the hash of the scored word. Every document's
-pairs go to those partitions once, packed as arrays: one row for each run of
-documents and partition. There, one sort gives the pair counts, the word
-counts and each pair's other documents. A word with more than ``1 / HOT`` of
-all words (so at most ``HOT`` words) is spread over partitions by its
-predecessor; counts of those few words come from a table of bounded size. The
-counts of rarer predecessors are joined. Sums meet per document.
+Count tables are partitioned by hash. Every document's pairs go to those
+partitions once, packed as arrays: one row for each run of documents and
+partition. There, one sort gives the pair counts, the word counts and each
+pair's other documents. A pair belongs to the partition of its second word.
+Words with more than ``1 / HOT`` of all words (so at most ``HOT``) are a table in every
+task; a pair that ends in one belongs to its first word's partition, or to its own
+if that is frequent too, so no frequent word gathers in one place. Counts of rare first words
+that their pair's partition doesn't hold are joined. Sums meet per document.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from omiclattice.llm import words
 from omiclattice.llm.storage import picked, settle
 
 #: At most so many words are held as a table in every task.
-HOT = 50_000
+HOT = 200_000
 BACKOFF = 0.4
-#: Bytes of text whose pairs are packed together.
-RUN = 8 << 20
+#: Bytes of text whose pairs are packed together, and pairs that a partition sorts at once.
+RUN, SLICE = 8 << 20, 400_000
 
 _START = np.uint64(0)
 
@@ -62,13 +63,18 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _lookup(table: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
-    """Counts of hot words; 0 for others."""
-    names, n = table
+def _find(table: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the table of frequent words, whether it is there)."""
+    names = table[0]
     if not len(names):
-        return np.zeros(len(w), np.int64)
+        return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
     at = np.minimum(np.searchsorted(names, w), len(names) - 1)
-    return np.where(names[at] == w, n[at], 0)
+    return at, names[at] == w
+
+
+def _home(v: np.ndarray, w: np.ndarray, v_hot: np.ndarray, w_hot: np.ndarray) -> np.ndarray:
+    """Hash that decides where a pair belongs: its second word, or its first where that is rarer, or both."""
+    return words.mix(np.where(~w_hot, w, np.where(~v_hot & (v != _START), v, words.mix(v) ^ w)))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -77,6 +83,11 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(next((t for t in ("<u1", "<u2", "<u4") if top <= np.iinfo(t).max), "<u8"))
 
 
+#: Arrays of a packed row: steps between document ids; words and how often each follows; for every pair the document's rank,
+#: whether its first word is frequent, and then its place in the table (low and high part), else its hash.
+PACKED = ("step", "word", "times", "rank", "hot", "low", "high", "rare")
+
+
 def pair_rows(docs: DataFrame, key: str, text: str, hot, parts: int) -> DataFrame:
     """Packed (predecessor, word, document) occurrences by partition of the scored word."""
 
@@ -87,56 +98,74 @@ def pair_rows(docs: DataFrame, key: str, text: str, hot, parts: int) -> DataFram
                 continue
             before = np.r_[_START, h[:-1]]
             before[np.r_[True, row[1:] != row[:-1]]] = _START
-            spread = np.where(_lookup(table, h) > 0, words.mix(before) ^ h, h)
-            part = (words.mix(spread) % np.uint64(parts)).astype(np.int64)
+            (place, v_hot), (_, w_hot) = _find(table, before), _find(table, h)
+            part = (_home(before, h, v_hot, w_hot) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((before, h, part))
-            part, v, w, row = part[order], before[order], h[order], row[order]
+            part, v, w, row, place, v_hot = part[order], before[order], h[order], row[order], place[order], v_hot[order]
             edges = np.r_[np.flatnonzero(np.r_[True, np.diff(part) != 0]), len(part)]
             out = []
             for a, b in zip(edges[:-1], edges[1:]):
                 own, at = np.unique(row[a:b], return_inverse=True)
                 names = np.argsort(ids[own], kind="stable")
-                place = np.empty(len(own), np.int64)
-                place[names] = np.arange(len(own))
+                rank = np.empty(len(own), np.int64)
+                rank[names] = np.arange(len(own))
                 step = np.diff(ids[own][names])
                 first = np.r_[True, w[a + 1:b] != w[a:b - 1]]
-                out.append((int(part[a]), int(ids[own][names][0]), _small(step), w[a:b][first], _small(np.diff(np.r_[np.flatnonzero(first), b - a])), v[a:b], _small(place[at])))
+                out.append((int(part[a]), int(ids[own][names][0]), _small(step), w[a:b][first], _small(np.diff(np.r_[np.flatnonzero(first), b - a])), _small(rank[at]),
+                            np.packbits(v_hot[a:b]), (place[a:b][v_hot[a:b]] & 0xFFFF).astype("<u2"), (place[a:b][v_hot[a:b]] >> 16).astype("u1"), v[a:b][~v_hot[a:b]]))
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([x[0] for x in out], pa.int32()), "base": pa.array([x[1] for x in out], pa.int64()),
-                "widths": pa.array([1000 * x[2].itemsize + 100 * x[4].itemsize + x[6].itemsize for x in out], pa.int32()),
-                **{n: pa.array([x[i].tobytes() for x in out], pa.binary()) for n, i in (("step", 2), ("word", 3), ("times", 4), ("before", 5), ("place", 6))}})
+                "widths": pa.array([1000 * x[2].itemsize + 100 * x[4].itemsize + x[5].itemsize for x in out], pa.int32()),
+                **{n: pa.array([x[i].tobytes() for x in out], pa.binary()) for i, n in enumerate(PACKED, 2)}})
 
-    return docs.mapInArrow(pack, "part int, base long, widths int, step binary, word binary, times binary, before binary, place binary")
+    return docs.mapInArrow(pack, "part int, base long, widths int, " + ", ".join(f"{n} binary" for n in PACKED))
 
 
-def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(predecessors, words, document ids) of one packed row."""
+def _unpack(r: dict, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, second words, document ids) of one packed row."""
     a, b, c = r["widths"] // 1000, r["widths"] // 100 % 10, r["widths"] % 10
     ids = r["base"] + np.r_[0, np.cumsum(np.frombuffer(r["step"], f"<u{a}").astype(np.int64))]
     w = np.repeat(np.frombuffer(r["word"], "<u8"), np.frombuffer(r["times"], f"<u{b}").astype(np.int64))
-    return np.frombuffer(r["before"], "<u8"), w, ids[np.frombuffer(r["place"], f"<u{c}")]
+    hot, v = np.unpackbits(np.frombuffer(r["hot"], "u1"), count=len(w)).astype(bool), np.empty(len(w), np.uint64)
+    v[hot] = names[np.frombuffer(r["low"], "<u2") + (np.frombuffer(r["high"], "u1").astype(np.int64) << 16)]
+    v[~hot] = np.frombuffer(r["rare"], "<u8")
+    return v, w, ids[np.frombuffer(r["rank"], f"<u{c}")]
+
+
+def _slices(rows: list[dict], hot) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of a partition in slices that keep together what belongs together."""
+    v, w, doc = (np.concatenate(x) for x in zip(*(_unpack(r, hot[0]) for r in rows)))
+    rows.clear()
+    n = max(1, len(v) // SLICE)
+    part = (_home(v, w, _find(hot, v)[1], _find(hot, w)[1]) >> np.uint64(40)) % np.uint64(n)
+    for k in range(n):
+        own = np.flatnonzero(part == k)
+        yield v[own], w[own], doc[own]
 
 
-def _partition(rows: list[dict], hot, total: int):
-    """Of one partition: (document, sum) and (rare predecessor, document, times) still to be divided by."""
-    v, w, doc = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
+def _score_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray, hot, total: int):
+    """Per document the sum and the number of pairs; and (first word, document, times) where the first word's count is elsewhere."""
     order = np.lexsort((doc, v, w))
     v, w, doc = v[order], w[order], doc[order]
     new_w = np.r_[True, w[1:] != w[:-1]]
     new_p = new_w | np.r_[True, v[1:] != v[:-1]]
-    new_d = new_p | np.r_[True, doc[1:] != doc[:-1]]
-    runs = np.flatnonzero(new_d)
+    runs = np.flatnonzero(new_p | np.r_[True, doc[1:] != doc[:-1]])
     own = np.diff(np.r_[runs, len(w)])
-    pair_of = (np.cumsum(new_p) - 1)[runs]
-    pair = np.bincount(pair_of, own)[pair_of].astype(np.int64)
-    word_of = (np.cumsum(new_w) - 1)[runs]
-    known = _lookup(hot, w[runs])
-    word = np.where(known > 0, known, np.bincount(word_of, own)[word_of].astype(np.int64))
+    pair_of, word_of = (np.cumsum(new_p) - 1)[runs], (np.cumsum(new_w) - 1)[runs]
+    pair = np.bincount(pair_of, own)[pair_of]
+    here, here_n = w[new_w], np.bincount(word_of, own)  # whole counts of the rare words among them
+    rare = ~_find(hot, here)[1]
+    local = here[rare], here_n[rare].astype(np.int64)
+    (at, known), word = _find(hot, w[runs]), here_n[word_of]
+    word[known] = hot[1][at[known]]
     v, doc = v[runs], doc[runs]
     others, start = pair - own, v == _START
     seen = (others > 0) & ~start
+    below = np.zeros(len(v))
+    for table in (hot, local):
+        at, known = _find(table, v)
+        below[known] = table[1][at[known]]
     score = np.where(seen, np.log(np.maximum(others, 1)), np.log(word / total) + np.where(start, 0.0, np.log(BACKOFF)))
-    below = _lookup(hot, v)
     score -= np.where(seen & (below > 0), np.log(np.maximum(below, 1)), 0.0)
     ids, at = np.unique(doc, return_inverse=True)
     late = seen & (below == 0)
@@ -167,12 +196,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for r in b.to_pylist():
                 held.setdefault(r["part"], []).append(r)
         while held:
-            ids, sums, n, (v, doc, own) = _partition(held.popitem()[1], hot.value, total)
-            low, at = np.unique(np.stack([v.view(np.int64), doc]), axis=1, return_inverse=True) if len(v) else (np.zeros((2, 0), np.int64), [])
-            k = np.bincount(at, own).astype(np.int64) if len(v) else own
+            rows, ids, sums, n = held.popitem()[1], [], [], []
+            for part in _slices(rows, hot.value):
+                a, x, k, (v, doc, own) = _score_pairs(*part, hot.value, total)
+                ids, sums, n = [*ids, a], [*sums, x], [*n, k]
+                if len(v):
+                    low, at = np.unique(np.stack([v.view(np.int64), doc]), axis=1, return_inverse=True)
+                    yield pa.RecordBatch.from_pydict({"before": low[0], "doc": low[1], "n": np.bincount(at, own).astype(np.int64), "score": np.zeros(low.shape[1])})
+            ids, at = np.unique(np.concatenate(ids), return_inverse=True)
             yield pa.RecordBatch.from_pydict({
-                "before": pa.array(np.r_[np.zeros(len(ids), np.int64), low[0]], mask=np.r_[np.ones(len(ids), bool), np.zeros(len(k), bool)]),
-                "doc": np.r_[ids, low[1]], "n": np.r_[n, k], "score": np.r_[sums, np.zeros(len(k))]})
+                "before": pa.array([None] * len(ids), pa.int64()), "doc": ids, "n": np.bincount(at, np.concatenate(n)).astype(np.int64), "score": np.bincount(at, np.concatenate(sums))})
 
     packed = pair_rows(named, "doc", text, hot, parts)
     rows = settle(packed.repartition(parts, "part").mapInArrow(reduce, "before long, doc long, n long, score double"))
