@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from omiclattice.llm import words
-from omiclattice.llm.learning import fit_linear, pairs_of, sigmoid
+from omiclattice.llm.learning import pairs_of, sigmoid
 from omiclattice.llm.storage import picked
 
 #: Hashed words.
@@ -46,32 +46,41 @@ def grades(row: np.ndarray, slot: np.ndarray, value: np.ndarray, toxic: np.ndarr
     return out
 
 
-def fit_grades(row, slot, value, grade: np.ndarray, levels: int, rounds: int = 60) -> dict:
-    """Weights and ordered thresholds that maximise the ordinal likelihood."""
-    share = np.array([(grade <= j).mean() for j in range(levels - 1)]) if len(grade) else np.full(levels - 1, 0.5)
-    cut = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-    cut = np.maximum.accumulate(cut + 1e-3 * np.arange(levels - 1))
+def lean(row: np.ndarray, slot: np.ndarray, toxic: np.ndarray, prior: float = 20.0, least: float = 0.4) -> np.ndarray:
+    """How far each word speaks for or against toxic rows: log odds shrunk by ``prior`` rows at the base rate, 0 below ``least``.
 
-    seen = np.full(levels - 1, 1e-4)
-
-    def slope(s):
+    Features are scaled by it, so that words met in a few rows can't be learnt by heart.
+    """
+    base = toxic.mean() if len(toxic) else 0.5
+    if base in (0, 1):
+        return np.zeros(WIDTH)
+    one, n = np.bincount(slot[toxic[row]], minlength=WIDTH), np.bincount(slot, minlength=WIDTH)
+    out = np.log((one + prior * base) / (n + prior)) - np.log(base)
+    return np.where(np.abs(out) < least, 0, out)
+
+
+def fit_grades(row, slot, value, grade: np.ndarray, levels: int, rounds: int = 150, rate: float = 1.0, decay: float = 1e-5) -> dict:
+    """Weights and ordered thresholds that maximise the ordinal likelihood, by gradient ascent with momentum; both classes weigh alike."""
+    scale = 10 * lean(row, slot, grade > 0)
+    n, keep = len(grade), scale[slot] != 0
+    row, slot, value = row[keep], slot[keep], value[keep] * scale[slot[keep]]
+    share = np.clip([(grade <= j).mean() for j in range(levels - 1)] if n else [0.5] * (levels - 1), 1e-3, 1 - 1e-3)
+    cut, w, step = np.maximum.accumulate(np.log(share / (1 - share))), np.zeros(WIDTH), np.zeros(WIDTH)
+    importance = np.where(grade > 0, 0.5 / max(1e-9, (grade > 0).mean()), 0.5 / max(1e-9, (grade == 0).mean())) if n else np.zeros(0)
+    for _ in range(rounds if len(row) else 0):
+        s = np.bincount(row, value * w[slot], n)
         below = sigmoid(cut[None] - s[:, None])  # P(grade <= j)
-        padded = np.c_[np.zeros(len(s)), below, np.ones(len(s))]
-        at = np.arange(len(s))
+        padded, at = np.c_[np.zeros(n), below, np.ones(n)], np.arange(n)
         hi, lo = padded[at, grade + 1], padded[at, grade]
-        p, d = np.maximum(hi - lo, 1e-9), below * (1 - below)
-        for j in range(levels - 1):
-            g = (np.where(grade == j, d[:, j], 0) - np.where(grade == j + 1, d[:, j], 0)).dot(1 / p) / len(s)
-            seen[j] += g * g
-            cut[j] += 0.3 * g / np.sqrt(seen[j])
-        cut[:] = np.maximum.accumulate(cut)
-        return hi + lo - 1
-
-    w = fit_linear(row, slot, value, slope, WIDTH, rounds, 2.0, 1e-6) if len(grade) else np.zeros(WIDTH)
-    return {"weights": w.astype(np.float32), "cuts": cut}
+        d = below * (1 - below) * (importance / np.maximum(hi - lo, 1e-9))[:, None]
+        step = 0.9 * step + np.bincount(slot, value * (importance * (hi + lo - 1))[row], WIDTH) / n - decay * w
+        w += rate * step
+        cut += 0.5 * np.array([(d[grade == j, j].sum() - d[grade == j + 1, j].sum()) / n for j in range(levels - 1)])
+        cut = np.maximum.accumulate(cut)
+    return {"weights": (w * scale).astype(np.float32), "cuts": cut}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, levels: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, levels: int = 3, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """Model from about ``sample`` labelled rows (all, if fewer); rows with a null text or label give nothing."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("toxic")).dropna()
     share = min(1.0, sample / max(1, known.count()))
