@@ -44,7 +44,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     got = sorted(tuple(_norm(v) for v in r) for r in df.select(*cols).collect())
     t1 = time.time()
     if sql is None:
-        return True, f"{len(got)} rows (no oracle)", t1 - t0, 0.0
+        return False, f"{len(got)} rows, no oracle", t1 - t0, 0.0
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     rows = cur.fetchall()
