@@ -71,45 +71,55 @@ def betainc(a, b, x) -> np.ndarray:
     return out
 
 
-def gammaincc(a, x) -> np.ndarray:
-    """Regularised upper incomplete gamma Q(a, x)."""
+def log_gammaincc(a, x) -> np.ndarray:
+    """Logarithm of the regularised upper incomplete gamma Q(a, x).
+
+    Below the mean the lower series, above it the continued fraction; both need
+    some multiple of sqrt(a) steps and stop when every row has converged.
+    """
     a, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, x))
-    out = np.ones_like(x)
-    ok = x > 0.0
-    if not ok.any():
-        return out
-    aa, xx = a[ok], x[ok]
-    front = np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
-    term = 1.0 / aa
-    total = term.copy()
-    n = aa.copy()
-    for _ in range(600):
-        n = n + 1.0
-        term = term * xx / n
-        total = total + term
-        if np.all(np.abs(term) < np.abs(total) * 1e-16):
-            break
-    series = 1.0 - front * total
-    tiny = 1e-300
-    b = xx + 1.0 - aa
-    c = np.full_like(xx, 1.0 / tiny)
-    d = 1.0 / np.where(np.abs(b) < tiny, tiny, b)
-    h = d.copy()
-    for i in range(1, 600):
-        an = -i * (i - aa)
-        b = b + 2.0
-        d = an * d + b
-        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-        c = b + an / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        step = c * d
-        h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    out[ok] = np.where(xx < aa + 1.0, series, front * h)
+    out = np.zeros_like(x)
+    for low in (True, False):
+        ok = (x > 0.0) & ((x < a + 1.0) == low)
+        if not ok.any():
+            continue
+        aa, xx = a[ok], x[ok]
+        front = -xx + aa * np.log(xx) - _lgamma(aa)
+        if low:
+            term = 1.0 / aa
+            total, n = term.copy(), aa.copy()
+            while True:
+                n = n + 1.0
+                term = term * xx / n
+                total = total + term
+                if np.all(term < total * 1e-17):
+                    break
+            out[ok] = np.log1p(-np.minimum(np.exp(front + np.log(total)), 1.0 - 1e-16))
+            continue
+        tiny = 1e-300
+        b = xx + 1.0 - aa
+        c, d, i = np.full_like(xx, 1.0 / tiny), 1.0 / np.where(np.abs(b) < tiny, tiny, b), 0
+        h = d.copy()
+        while True:
+            i += 1
+            an = -i * (i - aa)
+            b = b + 2.0
+            d = an * d + b
+            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+            c = b + an / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * (c * d)
+            if np.all(np.abs(c * d - 1.0) < 1e-15) or i > 1_000_000:
+                break
+        out[ok] = front + np.log(h)
     return out
 
 
+def gammaincc(a, x) -> np.ndarray:
+    """Regularised upper incomplete gamma Q(a, x)."""
+    return np.exp(log_gammaincc(a, x))
+
+
 def hypergeom_tail(k: int, m: int, n: int, big_n: int) -> float:
     """P(X >= k) drawing n of big_n with m marked; 1.0 on invalid input."""
     if k <= 0 or m <= 0 or n <= 0 or big_n <= 0 or m > big_n or n > big_n:
@@ -180,15 +190,10 @@ def f_tail_even(f: Column, d1: int, d2: Column) -> Column:
     return F.greatest(F.pow(y, a) * total, F.lit(P_FLOOR))
 
 
-def chi2_tail_even(x: Column, half_df: Column) -> Column:
-    """Upper chi-square tail with df = 2 * half_df: exp(-x/2) sum (x/2)^i / i!."""
-    h = x / 2.0
-    terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(half_df.cast("int"), F.lit(1))),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, i: F.struct(
-            (acc["term"] * h / i).alias("term"), (acc["total"] + acc["term"]).alias("total")
-        ),
-        lambda acc: acc["total"],
-    )
-    return F.greatest(F.least(F.exp(-h) * terms, F.lit(1.0)), F.lit(P_FLOOR))
+@F.pandas_udf(DoubleType())
+def chi2_tail_even(x: pd.Series, half_df: pd.Series) -> pd.Series:
+    """Upper chi-square tail with df = 2 * half_df, from its logarithm: no sum grows with the degrees of freedom."""
+    xv, k = x.to_numpy(dtype=float), half_df.to_numpy(dtype=float)
+    bad = np.isnan(xv) | ~(k > 0)
+    p = np.exp(log_gammaincc(np.where(bad, 1.0, k), np.where(bad, 0.0, xv) / 2.0))
+    return pd.Series(np.where(bad, 1.0, np.clip(p, P_FLOOR, 1.0)))

@@ -62,29 +62,33 @@ def with_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
 def to_vectors(df: DataFrame, samples: Column | None = None) -> DataFrame:
     """Long form to ``feature_id, vec`` in sorted sample order (NULL = missing).
 
-    One shuffle on the feature; a row holds one value per matrix column.
+    A row holds one value per matrix column. A repeated cell counts with the
+    mean of its values. Cells and axis are sorted together, so that a cell
+    stands just before its place in the axis.
     """
     axis = samples if samples is not None else sample_list(df)
-    packed = df.groupBy("feature_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("_m")
-    )
-    return packed.withColumn("_axis", axis).select(
-        "feature_id",
-        F.transform("_axis", lambda s: F.element_at(F.col("_m"), s)).alias("vec"),
+    cells = df.groupBy("feature_id", "sample_id").agg(F.avg("value").alias("value"))
+    packed = cells.groupBy("feature_id").agg(
+        F.collect_list(F.struct("sample_id", F.lit(0).alias("place"), "value")).alias("_m")
     )
+    places = F.transform("_axis", lambda s: F.struct(s.alias("sample_id"), F.lit(1).alias("place"), F.lit(None).cast("double").alias("value")))
+    both = packed.withColumn("_axis", axis).select("feature_id", F.sort_array(F.concat("_m", places)).alias("_all"))
+
+    def cell(x: Column, i: Column) -> Column:
+        before = F.get("_all", i - 1)
+        return F.struct(x["place"].alias("place"), F.when((before["sample_id"] == x["sample_id"]) & (before["place"] == 0), before["value"]).alias("value"))
+
+    met = F.filter(F.transform("_all", cell), lambda x: x["place"] == 1)
+    return both.select("feature_id", F.transform(met, lambda x: x["value"]).alias("vec"))
 
 
 def densify(df: DataFrame) -> DataFrame:
-    """Every feature x sample cell of the block, absent ones with NULL."""
-    axis = sample_list(df)
-    packed = df.groupBy("feature_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_id", "value"))).alias("_m")
-    )
-    return (
-        packed.withColumn("_axis", axis)
-        .select("feature_id", "_m", F.explode("_axis").alias("sample_id"))
-        .select("feature_id", "sample_id", F.element_at("_m", F.col("sample_id")).alias("value"))
-    )
+    """Every feature x sample cell of the block, absent ones with NULL; repeated cells are averaged."""
+    samples = df.select("sample_id").distinct()
+    names = df.select("feature_id").distinct().withColumn("_axis", samples.agg(F.collect_set("sample_id")).scalar())
+    grid = names.select("feature_id", F.explode("_axis").alias("sample_id"))
+    cells = df.groupBy("feature_id", "sample_id").agg(F.avg("value").alias("value"))
+    return grid.join(cells, ["feature_id", "sample_id"], "left")
 
 
 # --- filters and flags ----------------------------------------------------

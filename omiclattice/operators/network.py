@@ -167,37 +167,39 @@ def tom_edges(unit: DataFrame, power: float, min_tom: float, size: int = 256) ->
 
 # --- average linkage ----------------------------------------------------------
 def _upgma_local(ids: np.ndarray, sizes: np.ndarray, sim: np.ndarray) -> list[tuple]:
-    """Average-linkage merges ``(kept, gone, height)`` of a dense similarity."""
-    s = sim.copy()
-    np.fill_diagonal(s, -1.0)
-    n = sizes.astype(float).copy()
-    alive = np.ones(len(ids), dtype=bool)
-    merges, chain = [], []
+    """Average-linkage merges ``(kept, gone, height)`` of a dense similarity.
+
+    The most similar pair first, ties to the smaller ids. Each row keeps its
+    best later partner, so a merge looks again only at rows that it touches.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, n = ids[order], sizes[order].astype(float)
+    s = np.triu(sim[np.ix_(order, order)] + 2.0, 1)  # 0: no partner
+    full = np.maximum(s, s.T)
+    mate = full.shape[0] and np.triu(full, 1).argmax(1)
+    best = np.array([full[i, mate[i]] if mate[i] > i else 0.0 for i in range(len(ids))])
+    merges = []
     for _ in range(len(ids) - 1):
-        if not chain:
-            chain = [int(np.nonzero(alive)[0][0])]
-        while True:
-            a = chain[-1]
-            row = np.where(alive, s[a], -2.0)
-            row[a] = -2.0
-            b = int(row.argmax())
-            if len(chain) > 1 and row[chain[-2]] >= row[b]:
-                b = chain[-2]
-                chain = chain[:-2]
-                break
-            chain.append(b)
-        keep, gone = (a, b) if ids[a] < ids[b] else (b, a)
-        merges.append((ids[keep], ids[gone], 1.0 - float(s[a, b])))
-        new = (n[keep] * s[keep] + n[gone] * s[gone]) / (n[keep] + n[gone])
-        s[keep, :], s[:, keep] = new, new
-        s[keep, keep] = -1.0
-        n[keep] += n[gone]
-        alive[gone] = False
+        a = int(best.argmax())
+        b = int(mate[a])
+        merges.append((ids[a], ids[b], 3.0 - float(best[a])))
+        new = (n[a] * full[a] + n[b] * full[b]) / (n[a] + n[b])
+        new[[a, b]] = 0.0
+        new[full[a] == 0] = 0.0
+        full[a, :], full[:, a] = new, new
+        full[b, :], full[:, b] = 0.0, 0.0
+        n[a] += n[b]
+        best[b] = 0.0
+        touched = (mate == a) | (mate == b) | (new > best) | ((new == best) & (a < mate))
+        touched[a], touched[b] = True, False
+        for i in np.flatnonzero(touched & ((best > 0) | (np.arange(len(ids)) == a))):
+            row = full[i, i + 1:]
+            k = int(row.argmax()) if len(row) else 0
+            mate[i], best[i] = i + 1 + k, row[k] if len(row) else 0.0
     return merges
 
 
-def average_linkage(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200,
-                    local_limit: int = LOCAL_LINKAGE) -> DataFrame:
+def average_linkage(edges: DataFrame, nodes: DataFrame, local_limit: int = LOCAL_LINKAGE) -> DataFrame:
     """Exact average-linkage merge table ``kept, gone, height``.
 
     Pairs without an edge have similarity 0. Each round merges every pair of
@@ -208,7 +210,7 @@ def average_linkage(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200,
     pairs = settle(edges.select("src", "dst", F.col("weight").alias("s")))
     sizes = settle(nodes.select("feature_id").distinct().withColumn("n", F.lit(1.0)))
     merged = None
-    for _ in range(max_rounds):
+    while True:
         if sizes.count() <= local_limit or pairs.isEmpty():
             break
         key = F.struct((-F.col("s")).alias("d"), F.col("src").alias("lo"), F.col("dst").alias("hi"))
@@ -435,15 +437,15 @@ def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``feature_id, component`` (smallest member id).
 
-    Smallest-label propagation with pointer jumping; a round costs two joins
-    and converges in about log(diameter) rounds.
+    Smallest-label propagation with pointer jumping; a round costs two joins.
+    Runs until no label changes.
     """
     e = settle(both_ways(edges).select("src", "dst"))
     lab = settle(nodes.select("feature_id").distinct().withColumn("component", F.col("feature_id")))
-    for _ in range(max_rounds):
+    while True:
         nb = (
             e.join(lab.select(F.col("feature_id").alias("dst"), "component"), "dst")
             .groupBy("src").agg(F.min("component").alias("m"))
@@ -481,16 +483,20 @@ def hubs(edges: DataFrame, nodes: DataFrame, min_degree: int = 3, show: int = 15
     return deg.join(listed, "feature_id")
 
 
-def label_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
+def label_communities(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """Communities by weighted label propagation (not greedy modularity).
 
     Every node takes the label with the largest total weight around it, its
     own label counting with its largest edge; ties go to the smaller label.
+    ``rounds`` is how long labels spread, as a named setting; without it labels
+    must come to rest, and an alternation that never does is an error.
     """
     e = settle(both_ways(edges))
     own = settle(e.groupBy("src").agg(F.max("weight").alias("weight")))
     lab = settle(nodes.select("feature_id").distinct().withColumn("community", F.col("feature_id")))
-    for _ in range(rounds):
+    done, past = 0, set()
+    while rounds is None or done < rounds:
+        done += 1
         votes = e.join(lab.select(F.col("feature_id").alias("dst"), "community"), "dst").select("src", "community", "weight")
         self_vote = own.join(lab, own.src == lab.feature_id).select("src", "community", "weight")
         tally = votes.unionByName(self_vote).groupBy("src", "community").agg(F.sum("weight").alias("w"))
@@ -500,15 +506,17 @@ def label_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> D
         new = settle(lab.join(best, lab.feature_id == best.src, "left").select(
             "feature_id", F.col("community").alias("old"), F.coalesce("b.c", "community").alias("community")
         ))
-        changed = new.where("community <> old").limit(1).count()
+        changed, state = new.agg(F.count_if(F.col("community") != F.col("old")), F.sum(F.xxhash64("feature_id", "community").cast("decimal(38,0)"))).first()
         lab = new.select("feature_id", "community")
         if not changed:
             break
+        if rounds is None and state in past:
+            raise ValueError("labels alternate and never come to rest; give rounds")
+        past.add(state)
     return lab
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None,
-                max_rounds: int = 200) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Shortest-path betweenness with edge weights as lengths, normalised.
 
     Runs all sources side by side as rows ``(source, node)``: distances by
@@ -522,7 +530,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     n_starts = starts.count()
     eps = 1e-10
     dist = settle(starts.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
+    while True:
         reach = dist.where("fresh").join(e, F.col("v") == F.col("src")).select(
             "s", F.col("dst").alias("v"), (F.col("d") + F.col("weight")).alias("d")
         ).groupBy("s", "v").agg(F.min("d").alias("nd"))
@@ -540,7 +548,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     )
     level = starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("c"))
     sigma = level
-    for _ in range(max_rounds):
+    while True:
         level = settle(
             level.select("s", F.col("v").alias("u"), "c").join(dag, ["s", "u"])
             .groupBy("s", "v").agg(F.sum("c").alias("c"))
@@ -556,7 +564,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     )
     wave = sigma.select("s", "v", F.lit(1.0).alias("y"))
     parts = []
-    for _ in range(max_rounds):
+    while True:
         wave = settle(
             flow.join(wave, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("f") * F.col("y")).alias("y"))
             .select("s", F.col("u").alias("v"), "y")
@@ -577,20 +585,25 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     )
 
 
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Ancestor closure ``node, ancestor, depth`` of ``node, parent`` rows."""
-    e = settle(edges.select("node", "parent").where("parent IS NOT NULL").distinct())
-    level = e.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        level = settle(
-            level.join(e.select(F.col("node").alias("ancestor"), "parent"), "ancestor")
-            .select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+def closure(edges: DataFrame) -> DataFrame:
+    """Ancestor closure ``node, ancestor, depth`` of ``node, parent`` rows, at any depth.
+
+    Known paths are joined with known paths, so their length doubles each round,
+    until no pair is new or shorter. On a cycle a node is its own ancestor.
+    """
+    known = settle(
+        edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    )
+    seen = None
+    while True:
+        left = known.select("node", F.col("ancestor").alias("mid"), F.col("depth").alias("d1"))
+        right = known.select(F.col("node").alias("mid"), "ancestor", F.col("depth").alias("d2"))
+        longer = left.join(right, "mid").select("node", "ancestor", (F.col("d1") + F.col("d2")).alias("depth"))
+        known = settle(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        now = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if now == seen:
+            return known
+        seen = now
 
 
 # --- whole co-expression run ---------------------------------------------------------
