@@ -265,7 +265,8 @@ def classes_of(docs: DataFrame, signed: DataFrame, size: int = 4, percent: int =
     pivots = reps.where("tiles > 1 and doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     firsts = reps.where("tiles = 1 or doc <> pivot").unionByName(pivots)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    links = settle(_search(firsts.join(texts, "doc"), ["block", "tile"], size, percent).union(copies))
+    held = settle(firsts.join(texts, "doc").select("block", "tile", "tiles", "doc", "label", "text"))
+    links = settle(_search(held, ["block", "tile"], size, percent).union(copies))
     found = settle(components(links))
     large = reps.where("tiles > 1")
     if large.limit(1).count():
@@ -276,7 +277,8 @@ def classes_of(docs: DataFrame, signed: DataFrame, size: int = 4, percent: int =
         rest = settle(labelled.join(apart, "block", "left_semi"))
         pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
         pairs = pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        found = settle(components(links.union(_search(pairs.join(texts, "doc"), ["block", "i", "j"], size, percent))))
+        own = held.where("tiles > 1").select("block", "tile", "doc", "text")
+        found = settle(components(links.union(_search(pairs.join(own, ["block", "tile", "doc"]), ["block", "i", "j"], size, percent))))
     return found
 
 
