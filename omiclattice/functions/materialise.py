@@ -13,13 +13,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WORKDIR = "spark.omiclattice.workdir"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, else ``spark.omiclattice.workdir``.
+
+    Only a local session that names neither gets a temporary folder of its own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORKDIR, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir or {WORKDIR} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(WORKDIR, path)
     return path
 
 

@@ -378,7 +378,8 @@ def group_feasibility(df: DataFrame, groups: DataFrame) -> DataFrame:
 def impute_mean(df: DataFrame) -> DataFrame:
     """Fill every missing cell with the feature mean (6 digits, 0 if none)."""
     dense = densify(df)
-    means = df.groupBy("feature_id").agg(F.avg("value").alias("_mean"))
+    cells = df.groupBy("feature_id", "sample_id").agg(F.avg("value").alias("value"))
+    means = cells.groupBy("feature_id").agg(F.avg("value").alias("_mean"))
     return dense.join(means, "feature_id").select(
         "feature_id", "sample_id",
         F.coalesce("value", F.round("_mean", 6), F.lit(0.0)).alias("value"),

@@ -130,13 +130,14 @@ def _r_cut(max_p: float, df: float) -> float:
 
 def correlated_pairs(
     a: DataFrame, b: DataFrame | None = None, min_abs_r: float = 0.0,
-    max_p: float | None = None, lost_df: int = 0, size: int = BLOCK,
+    max_p: float | None = None, lost_df: int = 0, size: int = BLOCK, top: int | None = None,
 ) -> DataFrame:
     """``feature_a, feature_b, r, p_value`` of unit vectors.
 
     Keeps pairs with |r| >= min_abs_r; with ``max_p`` keeps every pair with
     p <= max_p instead, which is what an exact FDR needs. ``lost_df`` counts
-    covariates already projected out.
+    covariates already projected out. ``top`` keeps each block's strongest pairs
+    only (ties by name), which hold the strongest of all.
     """
     same = b is None
     placed = block_pairs(a, b, size)
@@ -161,6 +162,9 @@ def correlated_pairs(
         if same:
             swap = fa > fb
             fa, fb = np.where(swap, fb, fa), np.where(swap, fa, fb)
+        if top is not None and len(rv) > top:
+            first = np.lexsort((fb, fa, -np.round(np.abs(rv), 9)))[:top]
+            fa, fb, rv = fa[first], fb[first], rv[first]
         return pd.DataFrame({"feature_a": fa, "feature_b": fb, "r": rv, "p_value": r_to_p(rv, df)})
 
     return placed.groupBy("ba", "bb").applyInPandas(

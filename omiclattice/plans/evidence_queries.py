@@ -453,7 +453,7 @@ def ontology_leaves(spark, sf):
 
 
 @query("inherited_prior", f"""WITH RECURSIVE {_TREE}, {_CLOS}, pr AS (SELECT 'F' || (c_nationkey % 5) AS family, c_custkey AS target, round(abs(c_acctbal) / 10000, 4) AS score, c_custkey % 2 = 0 AS inheritable FROM customer WHERE c_custkey % 3 = 0),
-  q AS (SELECT 'F' || f AS family, c_custkey AS target FROM customer, range(0, 5) r(f) WHERE c_custkey % 2 = 1),
+  q AS (SELECT 'F' || f AS family, c_custkey AS target FROM customer, range(0, 5) r(f)),
   a AS (SELECT q.*, target AS att, 0 AS depth FROM q UNION ALL SELECT q.*, ancestor, depth FROM q JOIN cl ON node = target),
   h AS (SELECT a.family, a.target, score, a.att, depth FROM a JOIN pr ON pr.family = a.family AND pr.target = a.att WHERE depth = 0 OR inheritable),
   k AS (SELECT *, row_number() OVER (PARTITION BY family, target ORDER BY score DESC, depth, att) AS rk FROM h)
@@ -464,7 +464,7 @@ def inherited_prior(spark, sf):
         F.concat(F.lit("F"), (F.col("c_nationkey") % 5).cast("string")).alias("family"), F.col("c_custkey").alias("target"),
         F.round(F.abs("c_acctbal") / 10000, 4).alias("score"), (F.col("c_custkey") % 2 == 0).alias("inheritable"),
     )
-    q = c.where("c_custkey % 2 = 1").select(
+    q = c.select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("F"), i.cast("string")))).alias("family"), F.col("c_custkey").alias("target")
     )
     return kn.inherited_prior(q, pri, network.closure(_tree(spark, sf)))

@@ -29,13 +29,13 @@ def expressologs(spark, sf):
     return corr.expressologs(expr(spark, sf), metab(spark, sf), o).withColumn("r", R("r"))
 
 
-@query("tissue_prior", """WITH b AS (SELECT DISTINCT lower(p_type) AS site, split_part(p_name, ' ', 2) AS word FROM part WHERE p_size < 9), q AS (SELECT p_partkey AS query_id, p_name AS name, CASE WHEN p_size % 4 <> 0 THEN lower(p_type) END AS own FROM part),
+@query("tissue_prior", """WITH b AS (SELECT DISTINCT lower(p_type) AS site, split_part(p_name, ' ', 2) AS word FROM part), q AS (SELECT p_partkey AS query_id, p_name AS name, CASE WHEN p_size % 4 <> 0 THEN lower(p_type) END AS own FROM part),
   s AS (SELECT DISTINCT name, site FROM (SELECT DISTINCT name FROM q) n JOIN b ON contains(name, word) OR contains(word, name))
   SELECT query_id, CASE WHEN q.name NOT IN (SELECT name FROM s) THEN 0.3 WHEN own IS NULL THEN 0.5 WHEN EXISTS (SELECT 1 FROM s WHERE s.name = q.name AND s.site = q.own) THEN 0.85 ELSE 0.25 END::DOUBLE AS score FROM q""")
 def tissue_prior(spark, sf):
     p = table(spark, sf, "part")
     q = p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("metabolite"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("tissue"))
-    b = p.where("p_size < 9").select(F.col("p_type").alias("tissue"), F.split("p_name", " ")[1].alias("word"))
+    b = p.select(F.col("p_type").alias("tissue"), F.split("p_name", " ")[1].alias("word"))
     return stats.tissue_prior(q, b)
 
 

@@ -159,9 +159,9 @@ def tf_family_counts(spark, sf):
 
 
 @query("domain_orthologs", """WITH t AS (SELECT p_partkey AS target, unnest([p_type, 'S' || p_size, p_brand]) AS domain FROM part),
-  s AS (SELECT s_suppkey AS source, unnest(['Brand#' || (1 + s_suppkey % 25), 'S' || (1 + s_suppkey % 50), 'ECONOMY', 'Brand#' || (1 + s_suppkey % 7)]) AS domain, unnest([0, 1, 2, 3]) AS pos FROM supplier WHERE s_suppkey % 10 = 0),
+  s AS (SELECT s_suppkey AS source, unnest(['Brand#' || (1 + s_suppkey % 25), 'S' || (1 + s_suppkey % 50), 'ECONOMY', 'Brand#' || (1 + s_suppkey % 7)]) AS domain, unnest([0, 1, 2, 3]) AS pos FROM supplier),
   p AS (SELECT source, target, 0.25 AS v FROM s JOIN (SELECT DISTINCT target, domain FROM t) USING (domain) WHERE pos < 3
-    UNION ALL SELECT s_suppkey, target, 0.3 FROM supplier JOIN (SELECT DISTINCT target, domain FROM t) ON domain = 'S' || (1 + s_suppkey % 50) WHERE s_suppkey % 10 = 0),
+    UNION ALL SELECT s_suppkey, target, 0.3 FROM supplier JOIN (SELECT DISTINCT target, domain FROM t) ON domain = 'S' || (1 + s_suppkey % 50)),
   c AS (SELECT source, target, least(sum(v::DOUBLE) * 100, 100) AS score FROM p GROUP BY 1, 2)
   SELECT source, target, round(score, 6) AS score, CASE WHEN round(score, 9) >= 80 THEN 'high' WHEN round(score, 9) >= 40 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
 def domain_orthologs(spark, sf):
@@ -171,10 +171,10 @@ def domain_orthologs(spark, sf):
     k = F.col("s_suppkey")
     size = F.concat(F.lit("S"), (1 + k % 50).cast("string"))
     brand = lambda m: F.concat(F.lit("Brand#"), (1 + k % m).cast("string"))
-    base = table(spark, sf, "supplier").where(k % 10 == 0)
+    base = table(spark, sf, "supplier")
     sources = base.select(k.alias("source"), F.posexplode(F.array(brand(25), size, F.lit("ECONOMY"), brand(7))).alias("pos", "domain"), F.lit(4).alias("n_domains"))
     pfam = base.select(k.alias("source"), size.alias("domain"))
-    return mo.domain_orthologs(sources, targets, pfam).withColumn("score", R("score"))
+    return mo.domain_orthologs(sources, targets, pfam, first=3).withColumn("score", R("score"))
 
 
 # --- enrichment ------------------------------------------------------------------
@@ -209,7 +209,7 @@ def fisher_combined(spark, sf):
 
 
 _JOINT = f"""WITH {_ENR}, g AS (SELECT *, {sql_hypergeom('overlap', 'set_size', 'n_hits', 'n_background')} AS p_deg FROM cnt),
-  mp AS (SELECT 'L:' || lang AS set_id, (1 + n_chars % 97) / 98.0 AS p FROM documents WHERE doc_id % 40 = 0),
+  mp AS (SELECT 'L:' || lang AS set_id, (1 + n_chars % 97) / 98.0 AS p FROM documents),
   ms AS (SELECT set_id, count(*) AS n_dam, sum(ln(p)) AS s FROM mp GROUP BY 1),
   b AS (SELECT set_id, overlap, p_deg, coalesce(n_dam, 0) AS n_dam, CASE WHEN n_dam IS NULL THEN 1.0 ELSE least(1, list_sum(list_transform(range(0, n_dam), lambda i: exp(s + i * ln(-s) - lgamma(i + 1))))) END AS p_dam FROM g LEFT JOIN ms USING (set_id)),
   c AS (SELECT *, least(1.0, p_deg * p_dam * (1 - ln(p_deg * p_dam))) AS p_combined FROM b), q1 AS ({sql_bh('c', 'p_combined')}),
@@ -220,7 +220,7 @@ _JOINT = f"""WITH {_ENR}, g AS (SELECT *, {sql_hypergeom('overlap', 'set_size',
 
 @query("joint_enrichment", _JOINT.replace("(SELECT set_id, p_deg FROM c)", "(SELECT set_id, p_deg FROM c) cc"))
 def joint_enrichment(spark, sf):
-    mp = table(spark, sf, "documents").where("doc_id % 40 = 0").select(
+    mp = table(spark, sf, "documents").select(
         F.concat(F.lit("L:"), "lang").alias("set_id"), ((1 + F.col("n_chars") % 97) / 98.0).alias("p_value")
     )
     res = enrich.joint_enrichment(*_doc_sets(spark, sf), mp)
@@ -255,7 +255,7 @@ def gene_name_match(spark, sf):
     return enrich.match_gene_names(p.select(F.col("p_name").alias("name")).distinct(), ids)
 
 
-@query("pathway_activity", f"""WITH {EXPR}, en AS (SELECT p_brand AS set_id, 'P' || p_partkey AS feature_id FROM part WHERE p_type = 'ECONOMY'),
+@query("pathway_activity", f"""WITH {EXPR}, en AS (SELECT p_brand AS set_id, 'P' || p_partkey AS feature_id FROM part),
   mn AS (SELECT feature_id, avg(value) AS m FROM expr GROUP BY 1), z AS (SELECT feature_id, (m - (SELECT avg(m) FROM mn)) / ((SELECT stddev_pop(m) FROM mn) + 1e-10) AS z FROM mn),
   zs AS (SELECT set_id, avg(z) AS mean_z, count(*) AS n_enzymes FROM en JOIN z USING (feature_id) GROUP BY 1),
   st AS (SELECT feature_id, avg(value) AS m, var_pop(value) * count(*) AS ss FROM expr GROUP BY 1 HAVING count(*) >= 3 AND var_pop(value) > 0),
@@ -264,7 +264,7 @@ def gene_name_match(spark, sf):
   c AS (SELECT set_id, greatest((sum(s * s) - any_value(k)) / (any_value(k) * (any_value(k) - 1)), 0) AS coherence FROM u JOIN k USING (set_id) WHERE k >= 2 GROUP BY 1)
   SELECT set_id, n_enzymes, round(mean_z, 6) AS mean_z, round(coherence, 6) AS coherence, coalesce(coherence >= 0.2, false) AS is_active FROM zs LEFT JOIN c USING (set_id)""")
 def pathway_activity(spark, sf):
-    en = table(spark, sf, "part").where("p_type = 'ECONOMY'").select(
+    en = table(spark, sf, "part").select(
         F.col("p_brand").alias("set_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("feature_id")
     )
     res = enrich.pathway_activity(settle(expr(spark, sf)), en)
