@@ -7,12 +7,13 @@ node keeps coordinate maxima and the size range) finds all pairs that may
 reach the threshold; these are verified on the sets.
 
 One tree over all documents would be searched almost whole, since large texts
-have similar counts. Trees are therefore built per block. Blocks lose no pair:
+have similar counts. Trees are therefore built per bucket. Buckets lose no pair:
 sets at Jaccard >= t differ in at most d shingles, d known from their sizes,
 so of more than d non-empty groups at least one is the same in both, and equal
-groups meet on a key. Documents that meet, directly or through others, form a
-block. Each task first combines its own keys, so a group of copies sends
-one row per key and task. Blocks above a size are searched in tiles: tiles with
+groups meet on a key. In each bucket a tree finds the pairs that their points
+allow; what hangs together by such pairs is a block, whose texts are gathered
+and searched by a tree again, now with verification. Of equal sets, one
+takes part. Buckets and blocks above a size are searched in tiles: tiles with
 a common pivot first, then only the tile pairs that still hold unlinked parts.
 """
 
@@ -29,11 +30,11 @@ from omiclattice.llm.graph import components
 from omiclattice.llm.storage import picked, settle
 
 #: Coordinates of a point.
-GROUPS = 16
+GROUPS = 32
 #: Points in a leaf.
 LEAF = 16
-#: Shingles in a tile, on average.
-TILE = 1 << 18
+#: In a tile, on average: shingles of sets, and points where only these are compared.
+TILE, POINTS = 1 << 18, 4096
 
 _K = words.mix(np.arange(1, 65, dtype=np.uint64))  # factors of the hashes below
 
@@ -101,41 +102,46 @@ def meeting_keys(s: np.ndarray, percent: int, classes: tuple[np.ndarray, np.ndar
     return np.concatenate(out)
 
 
-def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by (key, doc): distinct keys with their smallest doc, and links from it to the others."""
-    first = np.r_[True, key[1:] != key[:-1]]
-    low = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    other = low != doc
-    link = np.unique(np.stack([low[other], doc[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return key[first], doc[first], link[0], link[1]
-
-
 def meetings(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Distinct links (a, b) between documents that share a key."""
+    """(bucket, doc): documents that share a key; buckets of the same documents are one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bounds = size_classes(percent), {}
         for rows, buf, offs in words.chunks(batches, text, 1 << 20):
             ids = rows.column(doc_id).to_numpy(zero_copy_only=False)
-            found = [meeting_keys(s, percent, classes, bounds) for s in shingle_sets(buf, offs, size)]
-            key, doc = np.concatenate(found), np.repeat(ids, [len(x) for x in found]).astype(np.int64)
-            if not len(key):
-                continue
-            order = np.lexsort((doc, key))
-            key, doc, a, b = _stars(key[order], doc[order])
-            own = words.mix(a.astype(np.uint64) * _K[58] + words.mix(b.astype(np.uint64)))  # a link is a key of its two ends
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate([key, own, own]).view(np.int64), "doc": np.concatenate([doc, a, b])})
+            sets = list(shingle_sets(buf, offs, size))
+            first, found = {}, []
+            for i, s in zip(ids, sets):  # equal sets are linked by their signatures: one of them brings keys
+                whole = words.mix(s).sum(dtype=np.uint64), len(s)
+                found.append(np.zeros(0, np.uint64) if first.setdefault(whole, i) != i else meeting_keys(s, percent, classes, bounds))
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(found).view(np.int64), "doc": np.repeat(ids, [len(x) for x in found]).astype(np.int64)})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            key, doc = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((doc, key))
-            _, _, a, b = _stars(key[order], doc[order])
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        if not got:
+            return
+        key, doc = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+        key, doc = key[new], doc[new]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words.mix(doc.astype(np.uint64)), dtype=np.uint64)]
+        name = words.mix(sums[start + count] - sums[start])  # of the documents in it
+        _, once = np.unique(name, return_index=True)
+        once = once[count[once] > 1]
+        at = np.repeat(start[once] - np.r_[0, np.cumsum(count[once])[:-1]], count[once]) + np.arange(count[once].sum())
+        yield pa.RecordBatch.from_pydict({"bucket": np.repeat(name[once], count[once]).view(np.int64), "doc": doc[at]})
 
     named = picked(docs, doc_id, text).where(F.col(doc_id).isNotNull())
-    return settle(named.mapInArrow(keys, "key long, doc long").repartition("key").mapInArrow(meet, "a long, b long")).distinct()
+    return named.mapInArrow(keys, "key long, doc long").repartition("key").mapInArrow(meet, "bucket long, doc long").distinct()
+
+
+def point(s: np.ndarray) -> np.ndarray:
+    """Sizes of the set's groups by hash range."""
+    edges = np.array([(i << 64) // GROUPS for i in range(1, GROUPS)], np.uint64)
+    return np.diff(np.r_[0, np.searchsorted(s, edges), len(s)])
 
 
 class Tree:
@@ -162,11 +168,9 @@ class Tree:
         return at
 
 
-def links_of(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the labels of a block as far as its sets reach the threshold; pairs of one label are left out."""
-    sizes = np.array([len(s) for s in sets])
-    edges = np.array([(i << 64) // GROUPS for i in range(1, GROUPS)], np.uint64)
-    points = np.array([np.diff(np.r_[0, np.searchsorted(s, edges), len(s)]) for s in sets])
+def links_of(points: np.ndarray, label: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that join labels: of all pairs that the points allow, or that the ``sets`` confirm. Pairs of one label are left out."""
+    sizes = points.sum(1)
     tree, label, out = Tree(points, sizes), label.copy(), []
     order = tree.order
 
@@ -201,85 +205,103 @@ def links_of(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tu
             u, v = left[p], right[q]
             if label[u] == label[v]:
                 continue
-            common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-            if not far(common, len(sets[u]), len(sets[v])):
+            if sets is None or not far(len(np.intersect1d(sets[u], sets[v], assume_unique=True)), len(sets[u]), len(sets[v])):
                 out.append((int(u), int(v)))
                 label[label == label[v]] = label[u]
     return out
 
 
-def _search(tiles: DataFrame, keys: list[str], size: int, percent: int) -> DataFrame:
-    """Links (a, b) inside each tile of (keys, doc, label, text); ``label`` says what is linked already."""
+def _search(tiles: DataFrame, keys: list[str], size: int, percent: int, held: str) -> DataFrame:
+    """Links (a, b) inside each tile of (keys, doc, label, held): ``held`` is ``point`` or ``text``; ``label`` says what is linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(held):
-            buf, offs = words.buffers(pa.array(held["text"], pa.large_string()))
-            docs, sets = np.array(held["doc"]), list(shingle_sets(buf, offs, size))
-            found = links_of(sets, np.unique(held["label"], return_inverse=True)[1], percent)
+        def tile(rows):
+            docs, sets = np.array(rows["doc"]), None
+            if held == "text":
+                buf, offs = words.buffers(pa.array(rows["text"], pa.large_string()))
+                sets = list(shingle_sets(buf, offs, size))
+                points = np.array([point(s) for s in sets])
+            else:
+                points = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS).astype(np.int64)
+            found = links_of(points, np.unique(rows["label"], return_inverse=True)[1], percent, sets)
             a, b = (docs[[p[i] for p in found]].astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
             return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-        held, name = {"doc": [], "label": [], "text": []}, None
+        rows, name = {"doc": [], "label": [], held: []}, None
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in held}
+            cols = {k: batch.column(k).to_pylist() for k in rows}
             for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
                 if key != name:
-                    if len(held["doc"]) > 1:
-                        yield tile(held)
-                    held, name = {k: [] for k in held}, key
-                for k in held:
-                    held[k].append(cols[k][i])
-        if len(held["doc"]) > 1:
-            yield tile(held)
-
-    dealt = tiles.select(*keys, "doc", "label", "text").repartition(*keys).sortWithinPartitions(*keys, "doc")
+                    if len(rows["doc"]) > 1:
+                        yield tile(rows)
+                    rows, name = {k: [] for k in rows}, key
+                for k in rows:
+                    rows[k].append(cols[k][i])
+        if len(rows["doc"]) > 1:
+            yield tile(rows)
+
+    dealt = tiles.select(*keys, "doc", "label", held).repartition(*keys).sortWithinPartitions(*keys, "doc")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _joined(groups: DataFrame, holding: DataFrame, held: str, weight, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all linked documents of each group of (group, doc, n); ``holding`` has (doc, held).
+
+    A group of more than one tile (``weight`` tiles) meets in tiles that share a
+    pivot; tiles with parts not linked by then meet two by two.
+    """
+    total = groups.groupBy("group").agg(F.ceil(weight).cast("int").alias("tiles"), F.min("doc").alias("pivot"), F.count("*").alias("docs"))
+    rows = groups.select("group", "doc").join(total.where("docs > 1").drop("docs"), "group")
+    rows = settle(rows.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("label", F.col("doc")))
+    pivots = rows.where("tiles > 1 and doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    firsts = rows.where("tiles = 1 or doc <> pivot").unionByName(pivots)
+    full = settle(firsts.join(holding, "doc").select("group", "tile", "tiles", "doc", "label", held))
+    links = settle(_search(full, ["group", "tile"], size, percent, held))
+    large = rows.where("tiles > 1")
+    if not large.limit(1).count():
+        return links
+    labels = components(links).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    labelled = large.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    apart = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    rest = settle(labelled.join(apart, "group", "left_semi"))
+    pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
+    pairs = pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    own = full.where("tiles > 1").select("group", "tile", "doc", held)
+    return settle(links.union(_search(pairs.join(own, ["group", "tile", "doc"]), ["group", "i", "j"], size, percent, held)))
+
+
 def signatures(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, sig) of every row; equal signatures (128 bits) mean equal sets."""
+    """(doc_id, n_shingles, sig, point) of every row; equal signatures (128 bits) mean equal sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in words.chunks(batches, text):
-            n, sig = [], []
+            n, sig, points = [], [], []
             for s in shingle_sets(buf, offs, size):
                 m = words.mix(s)
                 n.append(len(s))
+                points.append(point(s).astype("<i4").tobytes())
                 sig.append(np.array([m.sum(dtype=np.uint64), words.mix(m).sum(dtype=np.uint64)], "<u8").tobytes())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
+                "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "point": pa.array(points, pa.binary())})
 
-    return picked(docs, doc_id, text).mapInArrow(sign, "doc_id long, n_shingles long, sig binary")
+    return picked(docs, doc_id, text).mapInArrow(sign, "doc_id long, n_shingles long, sig binary, point binary")
 
 
 def classes_of(docs: DataFrame, signed: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, component) for every document with a link; the smallest doc_id names a component. ``signed``: its :func:`signatures`."""
-    blocks = components(meetings(docs, size, percent, doc_id, text)).withColumnRenamed("component", "block")
-    known = signed.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig").distinct()
-    members = settle(known.join(blocks, F.col("doc") == F.col("node")).drop("node"))
-    same = members.groupBy("block", "sig").agg(F.min("doc").alias("rep"), F.first("n").alias("n"))
-    copies = members.join(same.drop("n"), ["block", "sig"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
-    total = same.groupBy("block").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.min("rep").alias("pivot"), F.count("*").alias("sets"))
-    reps = same.select("block", F.col("rep").alias("doc")).distinct().join(total.where("sets > 1"), "block")
-    reps = settle(reps.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("label", F.col("doc")))
-    pivots = reps.where("tiles > 1 and doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    firsts = reps.where("tiles = 1 or doc <> pivot").unionByName(pivots)
+    known = signed.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig", "point")
+    same = known.groupBy("sig").agg(F.min("doc").alias("rep"))
+    copies = settle(known.select("doc", "sig").join(same, "sig").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
+    # a document stands for its equals; rows of one doc_id with several texts bring all of them
+    stands = F.coalesce("a", "doc").alias("doc")
+    buckets = meetings(docs, size, percent, doc_id, text).join(copies, F.col("doc") == F.col("b"), "left").select(F.col("bucket").alias("group"), stands).distinct()
+    points = known.select("doc", "point").distinct()
+    near = _joined(settle(buckets), points, "point", F.count("*") / POINTS, size, percent)
+    blocks = settle(components(near)).select(F.col("component").alias("group"), F.col("node").alias("doc"))
+    sized = blocks.join(known.groupBy("doc").agg(F.max("n").alias("n")), "doc")
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    held = settle(firsts.join(texts, "doc").select("block", "tile", "tiles", "doc", "label", "text"))
-    links = settle(_search(held, ["block", "tile"], size, percent).union(copies))
-    found = settle(components(links))
-    large = reps.where("tiles > 1")
-    if large.limit(1).count():
-        # tiles that still hold parts not linked with one another meet two by two
-        labels = found.select(F.col("node").alias("doc"), F.col("component").alias("label"))
-        labelled = large.drop("label").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        apart = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("block")
-        rest = settle(labelled.join(apart, "block", "left_semi"))
-        pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
-        pairs = pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        own = held.where("tiles > 1").select("block", "tile", "doc", "text")
-        found = settle(components(links.union(_search(pairs.join(own, ["block", "tile", "doc"]), ["block", "i", "j"], size, percent))))
-    return found
+    links = _joined(settle(sized), texts, "text", F.sum("n") / TILE, size, percent)
+    return settle(components(links.union(copies)))
 
 
 def near_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

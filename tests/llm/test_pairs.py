@@ -37,6 +37,8 @@ def brute_components(docs, size, percent):
 @pytest.mark.parametrize("tile", [1 << 18, 40])
 def test_near_join_equals_brute_force(spark, odd_docs, tile, monkeypatch):
     monkeypatch.setattr(near_join, "TILE", tile)  # 40: every group is searched in tiles
+    if tile == 40:
+        monkeypatch.setattr(near_join, "POINTS", 2)
     docs = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(50)]
