@@ -286,17 +286,11 @@ def top_variance(df: DataFrame, n: int = 60) -> DataFrame:
     )
 
 
-def drop_low_effect(df: DataFrame, effect: str = "effect_size", min_rows: int = 1000,
-                    q: float = 0.1) -> DataFrame:
-    """With more than min_rows tests, drop those below the q quantile of effect."""
+def drop_low_effect(df: DataFrame, effect: str = "effect_size", q: float = 0.1) -> DataFrame:
+    """Drop tests below the q quantile of effect. Whether to filter is the caller's choice at any size."""
     df = settle(df)
-    total = df.agg(F.count(F.lit(1))).scalar()
     cut = exact_quantile(df, [], effect, q).scalar()
-    return (
-        df.withColumn("_n", total).withColumn("_cut", F.greatest(cut, F.lit(1e-6)))
-        .where((F.col("_n") <= min_rows) | (F.col(effect) >= F.col("_cut")))
-        .drop("_n", "_cut")
-    )
+    return df.withColumn("_cut", F.greatest(cut, F.lit(1e-6))).where(F.col(effect) >= F.col("_cut")).drop("_cut")
 
 
 def infer_data_type(df: DataFrame) -> DataFrame:

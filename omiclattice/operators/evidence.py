@@ -97,6 +97,7 @@ def _summary() -> dict[str, Column]:
 
 def contradictions(n_active: Column, n_strong: Column, plausibility: Column) -> Column:
     """Broken consistency rules as structs: pattern, level, penalty."""
+    # Rule names, thresholds and penalties below.
     v = {d: F.coalesce(F.col(d), F.lit(0.0)) for d in DIMENSIONS}
     flag = lambda cond, name, level, penalty: F.when(cond, F.struct(
         F.lit(name).alias("pattern"), F.lit(level).alias("level"), F.lit(penalty).alias("penalty")

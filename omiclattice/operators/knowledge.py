@@ -400,15 +400,17 @@ def resolve_terms(terms: DataFrame, synonyms: DataFrame, pathway_aliases: DataFr
     return j.select("term", kind.alias("node_type"), node.alias("node"))
 
 
-def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+def expand_query(queries: DataFrame, synonyms: DataFrame, most: int | None = None) -> DataFrame:
     """Gene words replaced by (id OR synonym ...); words keep their order.
 
-    ``queries``: query_id, text; ``synonyms``: gene, synonym. At most three
-    synonyms, in name order, are added per gene.
+    ``queries``: query_id, text; ``synonyms``: gene, synonym. With ``most`` only so
+    many synonyms, in name order, are added per gene.
     """
     w = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "word"))
     rk = W.partitionBy("gene").orderBy("synonym")
-    syn = synonyms.withColumn("rn", F.row_number().over(rk)).where("rn <= 3").groupBy("gene").agg(
+    if most is not None:
+        synonyms = synonyms.withColumn("rn", F.row_number().over(rk)).where(F.col("rn") <= most)
+    syn = synonyms.groupBy("gene").agg(
         F.array_sort(F.collect_list("synonym")).alias("syn")
     )
     j = w.join(syn, F.lower("word") == F.lower("gene"), "left")

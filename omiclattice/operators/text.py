@@ -140,20 +140,22 @@ def column_chunks(df: DataFrame, columns: list[str], order: str, top: int = 15)
 
 
 # --- retrieval ------------------------------------------------------------------------
-def tfidf_index(docs: DataFrame, key: str, text: str = "text", vocab: int = 2000, stopwords=STOPWORDS) -> DataFrame:
+def tfidf_index(docs: DataFrame, key: str, text: str = "text", vocab: int | None = None, stopwords=STOPWORDS) -> DataFrame:
     """``key, token, weight`` of unit-length document vectors.
 
-    The vocabulary is the most frequent ``vocab`` tokens by documents (ties
-    alphabetical): a table of known size.
+    The vocabulary is every token, or with ``vocab`` only so many of the most
+    frequent by documents (ties alphabetical).
     """
     words = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).where(
         (F.length("token") > 1) & ~F.col("token").isin(stopwords)
     )
     tf = settle(words.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1))).scalar()
-    top = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "token").limit(vocab)
+    top = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if vocab is not None:
+        top = top.orderBy(F.desc("df"), "token").limit(vocab)
     idf = top.withColumn("_n", n).select("token", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    raw = settle(tf.join(F.broadcast(idf), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")))
+    raw = settle(tf.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w")))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -195,23 +197,27 @@ def hybrid_ranking(memory: DataFrame, query: str, now: Column, top_k: int = 5, k
     return d.select(key, "relevance", "recency", "final").orderBy(F.desc(F.round("final", 9)), key).limit(top_k)
 
 
-def consolidate(memory: DataFrame, recent: int = 20, need: int = 5, use: int = 5, cut: int = 500) -> DataFrame:
-    """One reflection from the latest observations, or nothing if too few."""
+def _first(text: Column, cut: int | None) -> Column:
+    return text if cut is None else F.substring(text, 1, cut)
+
+
+def consolidate(memory: DataFrame, recent: int = 20, need: int = 5, use: int = 5, cut: int | None = None) -> DataFrame:
+    """One reflection from the latest observations, or nothing if too few; with ``cut`` so many characters of it."""
     last = memory.orderBy(F.desc("created_at"), F.desc("id")).limit(recent).where("memory_type = 'observation'")
     packed = last.agg(F.array_sort(F.collect_list(F.struct(
         (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), (-F.col("id")).alias("i"), "content"
     ))).alias("a"))
     return packed.where(F.size("a") >= need).select(
         F.lit("consolidation").alias("session_id"),
-        F.substring(F.array_join(F.transform(F.slice("a", 1, use), lambda x: x["content"]), "; "), 1, cut).alias("content"),
+        _first(F.array_join(F.transform(F.slice("a", 1, use), lambda x: x["content"]), "; "), cut).alias("content"),
         F.lit("reflection").alias("memory_type"), F.lit(8).alias("importance"),
     )
 
 
-def tag_corrections(messages: DataFrame, text: str = "text", patterns: list[str] = CORRECTIONS) -> DataFrame:
-    """Importance, tags and stored text of user messages."""
+def tag_corrections(messages: DataFrame, text: str = "text", patterns: list[str] = CORRECTIONS, cut: int | None = None) -> DataFrame:
+    """Importance, tags and stored text of user messages; with ``cut`` so many characters of them."""
     hit = F.col(text).rlike("(?i)" + "|".join(patterns))
-    short = F.substring(F.col(text), 1, 200)
+    short = _first(F.col(text), cut)
     return messages.withColumn("is_correction", hit).withColumns({
         "importance": F.when(hit, 9).otherwise(3),
         "tags": F.when(hit, F.array(F.lit("correction"), F.lit("feedback"))).otherwise(F.array().cast("array<string>")),

@@ -565,4 +565,4 @@ def expand_query(spark, sf):
     p = table(spark, sf, "part")
     first = F.split("p_name", " ")[0]
     syn = p.where(first.isin("red", "small")).select(first.alias("gene"), F.col("p_type").alias("synonym")).distinct()
-    return kn.expand_query(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")), syn)
+    return kn.expand_query(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text")), syn, most=3)

@@ -448,7 +448,7 @@ def deg_top_effects(spark, sf):
 
 
 @query("low_effect_prefilter", f"""WITH {_BASE}, {_AOV} SELECT feature_id, round(effect_size, 6) AS effect_size FROM aov
-  WHERE (SELECT count(*) FROM aov) <= 1000 OR effect_size >= greatest((SELECT quantile_cont(effect_size, 0.1) FROM aov), 1e-6) - 1e-12""")
+  WHERE effect_size >= greatest((SELECT quantile_cont(effect_size, 0.1) FROM aov), 1e-6) - 1e-12""")
 def low_effect_prefilter(spark, sf):
     res = stats.anova(stats.group_moments(_logged(spark, sf), groups(spark, sf)))
     return clean.drop_low_effect(res.select("feature_id", "effect_size")).withColumn("effect_size", R("effect_size"))

@@ -96,13 +96,13 @@ _Q = "and the oneren of ention que eau der"
 
 @query("tfidf_index", f"WITH {_tfidf('documents', 'doc_id', 'text', 2000, tx.STOPWORDS)} SELECT id AS doc_id, count(*) AS n, round(sum(weight), 4) AS total FROM ix GROUP BY 1")
 def tfidf_index(spark, sf):
-    ix = tx.tfidf_index(texts(spark, sf), "doc_id")
+    ix = tx.tfidf_index(texts(spark, sf), "doc_id", vocab=2000)
     return ix.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), R(F.sum("weight"), 4).alias("total"))
 
 
 @query("retrieval_top_k", f"WITH {_tfidf('documents', 'doc_id', 'text', 2000, tx.STOPWORDS)}, {_QV(_Q)} SELECT id AS doc_id, round(score, 6) AS score FROM rel WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT 8")
 def retrieval_top_k(spark, sf):
-    ix = settle(tx.tfidf_index(texts(spark, sf), "doc_id"))
+    ix = settle(tx.tfidf_index(texts(spark, sf), "doc_id", vocab=2000))
     return tx.search(ix, _Q, "doc_id").select("doc_id", R("score").alias("score"))
 
 
@@ -132,14 +132,14 @@ def hybrid_memory_ranking(spark, sf):
 @query("memory_consolidation", f"""WITH {_MEM}, l AS (SELECT * FROM mem ORDER BY created_at DESC, id DESC LIMIT 20), o AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rk FROM l WHERE memory_type = 'observation')
   SELECT 'consolidation' AS session_id, substr(string_agg(content, '; ' ORDER BY rk) FILTER (rk <= 5), 1, 500) AS content, 'reflection' AS memory_type, 8 AS importance FROM o HAVING count(*) >= 5""")
 def memory_consolidation(spark, sf):
-    return tx.consolidate(memory(spark, sf))
+    return tx.consolidate(memory(spark, sf), cut=500)
 
 
 @query("correction_tags", """WITH m AS (SELECT *, regexp_matches(text, '(?i)wrong|actually|the on|eau|und') AS c FROM conversations WHERE role = 'user')
   SELECT conv_id, turn, c AS is_correction, CASE WHEN c THEN 9 ELSE 3 END AS importance, md5((CASE WHEN c THEN 'USER CORRECTION: ' ELSE 'User asked: ' END) || substr(text, 1, 200)) AS content_md5 FROM m""")
 def correction_tags(spark, sf):
     m = table(spark, sf, "conversations").where("role = 'user'")
-    t = tx.tag_corrections(m, patterns=["wrong", "actually", "the on", "eau", "und"])
+    t = tx.tag_corrections(m, patterns=["wrong", "actually", "the on", "eau", "und"], cut=200)
     return t.select("conv_id", "turn", "is_correction", "importance", F.md5("content").alias("content_md5"))
 
 
@@ -244,14 +244,21 @@ def scan_peak_table(spark, sf):
     return matrices.peaks_to_long(li, matrices.long_columns(["Sample", "m/z", "RT", "Area"]), "row")
 
 
-@query("column_roles", """SELECT unnest(['p_size', 'p_name', 'p_retailprice', 'p_type']) AS name, unnest(['metadata', 'metadata', 'metadata', 'metadata']) AS role UNION ALL SELECT unnest(['S1', 'avg_S', 'mz']), unnest(['sample', 'metadata', 'metadata'])""")
+@query("column_roles", """WITH p AS (SELECT unnest(['p_size', 'p_name', 'p_retailprice', 'p_type', 'S1', 'S2', 'avg_S', 'mz']) AS name,
+    unnest([p_name, p_name, p_type, p_type, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_type END, CAST(p_size AS VARCHAR), CAST(p_size AS VARCHAR)]) AS cell FROM part),
+  r AS (SELECT name, count(TRY_CAST(cell AS DOUBLE)) / count(*)::DOUBLE AS ratio FROM p GROUP BY 1)
+  SELECT name, round(ratio, 6) AS ratio, CASE WHEN name NOT IN ('avg_S', 'mz', 'p_name') AND (ratio > 0.5 OR (ratio > 0 AND regexp_matches(name, '^[A-Za-z]+[0-9]*(-[A-Za-z0-9]+)?$'))) THEN 'sample' ELSE 'metadata' END AS role FROM r""")
 def column_roles(spark, sf):
     p = table(spark, sf, "part")
-    wide = p.select("p_partkey", F.col("p_name").alias("p_size"), "p_name", F.col("p_type").alias("p_retailprice"), "p_type", F.col("p_size").alias("S1"), F.col("p_size").alias("avg_S"), F.col("p_size").alias("mz"))
+    size = F.col("p_size").cast("string")
+    wide = p.select(
+        "p_partkey", F.col("p_name").alias("p_size"), "p_name", F.col("p_type").alias("p_retailprice"), "p_type", size.alias("S1"),
+        F.when(F.col("p_partkey") % 3 == 0, size).otherwise(F.col("p_type")).alias("S2"), size.alias("avg_S"), size.alias("mz"),
+    )
     text = wide.select(*[F.col(c).cast("string").alias(c) for c in wide.columns])
     kinds = matrices.classify_columns(text)
-    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("role")) for k, v in kinds.items()])
-    return text.limit(1).select(F.explode(pairs).alias("p")).select("p.*")
+    role = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])
+    return matrices.numeric_shares(text).select("name", R("ratio").alias("ratio"), role[F.col("name")].alias("role"))
 
 
 @query("tf_list_scan", """SELECT p_brand AS species, 'T' || p_partkey AS tf_id, 'G' || p_partkey AS gene_id, upper(split_part(p_name, ' ', 2)) AS family FROM part""")
