@@ -29,7 +29,7 @@ from omiclattice.llm.storage import picked, settle
 HOT = 200_000
 BACKOFF = 0.4
 #: Bytes of text whose pairs are packed together, and pairs that a partition sorts at once.
-RUN, SLICE = 8 << 20, 400_000
+RUN, SLICE = 5 << 20, 400_000
 
 _START = np.uint64(0)
 
@@ -202,15 +202,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 ids, sums, n = [*ids, a], [*sums, x], [*n, k]
                 if len(v):
                     low, at = np.unique(np.stack([v.view(np.int64), doc]), axis=1, return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({"before": low[0], "doc": low[1], "n": np.bincount(at, own).astype(np.int64), "score": np.zeros(low.shape[1])})
+                    none = pa.nulls(low.shape[1], pa.binary())
+                    yield pa.RecordBatch.from_pydict({
+                        "before": low[0], "doc": low[1], "n": np.bincount(at, own).astype(np.int64), "to": pa.nulls(low.shape[1], pa.int32()), "docs": none, "ns": none, "sums": none})
             ids, at = np.unique(np.concatenate(ids), return_inverse=True)
+            n, sums = np.bincount(at, np.concatenate(n)).astype("<i8"), np.bincount(at, np.concatenate(sums))
+            # a document has a sum in nearly every partition: they go on packed, by a hash of the document
+            to = (words.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            own = [order[a:b] for a, b in zip(edges[:-1], edges[1:]) if b > a]
             yield pa.RecordBatch.from_pydict({
-                "before": pa.array([None] * len(ids), pa.int64()), "doc": ids, "n": np.bincount(at, np.concatenate(n)).astype(np.int64), "score": np.bincount(at, np.concatenate(sums))})
+                "before": pa.array([None] * len(own), pa.int64()), "doc": pa.array([None] * len(own), pa.int64()), "n": pa.array([None] * len(own), pa.int64()),
+                "to": pa.array([int(to[x[0]]) for x in own], pa.int32()), "docs": [ids[x].astype("<i8").tobytes() for x in own],
+                "ns": [n[x].tobytes() for x in own], "sums": [sums[x].astype("<f8").tobytes() for x in own]})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[np.frombuffer(r[k], t) for k, t in (("docs", "<i8"), ("ns", "<i8"), ("sums", "<f8"))] for b in batches for r in b.to_pylist()]
+        if got:
+            docs, n, sums = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((sums, docs))  # one order of summing, whatever order the rows came in
+            ids, at = np.unique(docs[order], return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"doc": ids, "n": np.bincount(at, n[order]).astype(np.int64), "score": np.bincount(at, sums[order])})
 
     packed = pair_rows(named, "doc", text, hot, parts)
-    rows = settle(packed.repartition(parts, "part").mapInArrow(reduce, "before long, doc long, n long, score double"))
-    done = rows.where("before is null").select("doc", "n", "score")
-    rare = rows.where("before is not null").drop("score").join(counts.select(F.col("word").alias("before"), F.col("n").alias("c")), "before")
+    schema = "before long, doc long, n long, to int, docs binary, ns binary, sums binary"
+    rows = settle(packed.repartition(parts, "part").mapInArrow(reduce, schema))
+    done = rows.where("before is null").select("to", "docs", "ns", "sums").repartition(parts, "to").mapInArrow(gather, "doc long, n long, score double")
+    rare = rows.where("before is not null").select("before", "doc", "n").join(counts.select(F.col("word").alias("before"), F.col("n").alias("c")), "before")
     late = rare.select("doc", F.lit(0).cast("long").alias("n"), (-F.col("n") * F.log("c")).alias("score"))
     sums = done.union(late).groupBy("doc").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
     ids = named.select("doc").distinct().join(sums, "doc", "left")
