@@ -41,6 +41,12 @@ def _share(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
+def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each row."""
+    _, first = np.unique(h ^ words.mix(row.astype(np.uint64)), return_index=True)
+    return np.bincount(row[first], minlength=n)
+
+
 def _vote(good, bad) -> np.ndarray:
     return np.where(bad, -1, np.where(good, 1, 0)).astype(np.int8)
 
@@ -54,10 +60,10 @@ def votes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     some, chars = np.maximum(count, 1), np.maximum(size, 1)
     up, letters = _share(_UP[buf], offs), np.maximum(_share((_UP | _LOW)[buf], offs), 1)
     symbols, bangs = _share(_SYMBOL[buf], offs) / chars, _share(buf == 33, offs) / some
-    kinds = np.bincount(np.unique(np.stack([row, h.view(np.int64)]), axis=1)[0], minlength=n) if len(h) else np.zeros(n)
+    kinds = _distinct(h, row, n)
     line, line_row, _, _ = words.words(buf, offs, True, np.arange(256) == 10)
     lines = np.bincount(line_row, minlength=n)
-    own = np.bincount(np.unique(np.stack([line_row, line.view(np.int64)]), axis=1)[0], minlength=n) if len(line) else np.zeros(n)
+    own = _distinct(line, line_row, n)
     again = 1 - own / np.maximum(lines, 1)
     common = np.sort(np.array([words.word_hash(w) for w in FUNCTION_WORDS], np.uint64))
     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -76,8 +82,8 @@ def votes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ], 1), count
 
 
-def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, value): square roots of the shares of hashed word shapes, and repetition of words and lines in coarse steps."""
+def features(buf: np.ndarray, offs: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value): square roots of the shares of hashed word shapes, and repetition of words and lines as the votes ``given`` have it."""
     n = len(offs) - 1
     cls = _SHAPE[buf]
     keep = np.r_[True, cls[1:] != cls[:-1]] if len(buf) else np.zeros(0, bool)
@@ -87,9 +93,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     h, row, _, _ = words.words(cls[keep], at, False)
     count = np.maximum(np.bincount(row, minlength=n), 1)
     a, b, k = pairs_of(row, (h % np.uint64(WIDTH - 64)).astype(np.int64), WIDTH)
-    v, words_of = votes(buf, offs)
-    # the steps of what shapes can't show take the last slots
-    coarse = [(np.arange(n), np.full(n, WIDTH - 64 + 3 * i) + v[:, j] + 1) for i, j in enumerate((3, 4, 5, 6))]
+    # what shapes can't show takes the last slots
+    coarse = [(np.arange(n), np.full(n, WIDTH - 64 + 3 * i) + given[:, j] + 1) for i, j in enumerate((3, 4, 5, 6))]
     rows = np.concatenate([a, *(x for x, _ in coarse)])
     slots = np.concatenate([b, *(x for _, x in coarse)])
     return rows, slots, np.concatenate([np.sqrt(k / count[a]), np.full(len(coarse) * n, 0.5)])
@@ -106,7 +111,7 @@ def fit(docs: DataFrame, sample: int = 20_000, text: str = "text") -> dict:
             chosen = np.flatnonzero(rows.column("chosen").to_numpy(zero_copy_only=False) & (count > 0))
             slots, values = np.full(len(v), None, object), np.full(len(v), None, object)
             if len(chosen):
-                row, slot, value = features(buf, offs)
+                row, slot, value = features(buf, offs, v)
                 order = np.argsort(row, kind="stable")
                 at = words.spans(row[order], len(v))
                 for i in chosen:
@@ -144,9 +149,10 @@ def scored(docs: DataFrame, model: dict, text: str = "text", column: str = "qual
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in words.chunks(batches, text):
-            row, slot, value = features(buf, offs)
+            given, count = votes(buf, offs)
+            row, slot, value = features(buf, offs, given)
             p = np.round(sigmoid(np.bincount(row, value * held.value[slot], rows.num_rows)), 6)
-            p[np.bincount(words.words(buf, offs)[1], minlength=len(p)) == 0] = 0
+            p[count == 0] = 0
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p)], [*rows.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
