@@ -29,8 +29,8 @@ from omiclattice.llm import words
 from omiclattice.llm.graph import components
 from omiclattice.llm.storage import picked, settle
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point: with few, large sets of one size could not be told apart.
+GROUPS = 256
 #: Points in a leaf.
 LEAF = 16
 #: In a tile, on average: shingles of sets, and points where only these are compared.
@@ -220,9 +220,9 @@ def _search(tiles: DataFrame, keys: list[str], size: int, percent: int, held: st
             if held == "text":
                 buf, offs = words.buffers(pa.array(rows["text"], pa.large_string()))
                 sets = list(shingle_sets(buf, offs, size))
-                points = np.array([point(s) for s in sets])
+                points = np.array([point(s) for s in sets], np.int32)
             else:
-                points = np.frombuffer(b"".join(rows["point"]), "<i4").reshape(-1, GROUPS).astype(np.int64)
+                points = np.array([np.frombuffer(x, f"<u{len(x) // GROUPS}") for x in rows["point"]], np.int32)
             found = links_of(points, np.unique(rows["label"], return_inverse=True)[1], percent, sets)
             a, b = (docs[[p[i] for p in found]].astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
             return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -279,7 +279,8 @@ def signatures(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str
             for s in shingle_sets(buf, offs, size):
                 m = words.mix(s)
                 n.append(len(s))
-                points.append(point(s).astype("<i4").tobytes())
+                x = point(s)
+                points.append(x.astype(next(t for t in ("<u1", "<u2", "<u4") if x.max() <= np.iinfo(t).max)).tobytes())
                 sig.append(np.array([m.sum(dtype=np.uint64), words.mix(m).sum(dtype=np.uint64)], "<u8").tobytes())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "point": pa.array(points, pa.binary())})
