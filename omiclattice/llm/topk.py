@@ -26,26 +26,30 @@ BLOCK, QUERIES = 4096, 1024
 def threshold_top(data: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
     """The k best (score, id) of a block for one query; ``order`` has each dimension's rows by falling value."""
     n = len(data)
-    used = np.flatnonzero(query)
-    lists = np.where(query[used][None] > 0, order[:, used], order[::-1][:, used])
-    seen, best, score = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
-    at, depth = 0, max(1, k)
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    seen, best, score = ids == own, np.zeros(0, np.int64), np.zeros(0, data.dtype)
+    at, depth = 0, max(32, k)
     while at < n:
         to = min(n, at + depth)
-        new = np.unique(lists[at:to]) if len(used) else np.arange(n)
-        new = new[~seen[new]]
-        seen[new] = True
-        new = new[ids[new] != own]
-        best, score = np.r_[best, new], np.r_[score, data[new] @ query]
-        if len(best) > k:
-            keep = np.lexsort((ids[best], -score))[:k]
-            best, score = best[keep], score[keep]
-        bound = (data[lists[to - 1], used] * query[used]).sum() if len(used) else -math.inf
+        met = np.zeros(n, bool)
+        met[order[at:to, up]] = True
+        met[order[n - to:n - at, down]] = True
+        if not len(up) + len(down):
+            met[:] = True
+        new = np.flatnonzero(met & ~seen)
+        seen |= met
+        s = data[new] @ query
+        if len(s) > k:  # the kth score and its ties are all that can stay
+            stay = s >= np.partition(s, len(s) - k)[len(s) - k]
+            new, s = new[stay], s[stay]
+        best, score = np.concatenate([best, new]), np.concatenate([score, s])
+        keep = np.lexsort((ids[best], -score))[:k]
+        best, score = best[keep], score[keep]
+        bound = data[order[to - 1, up], up] @ query[up] + data[order[n - to, down], down] @ query[down]
         if len(best) == k and bound < score[-1]:
             break
-        at, depth = to, depth * 2
-    keep = np.lexsort((ids[best], -score))[:k]
-    return [(int(score[i]), int(ids[best[i]])) for i in keep]
+        at, depth = to, depth * 3
+    return [(int(s), int(i)) for s, i in zip(score, ids[best])]
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
