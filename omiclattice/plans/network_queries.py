@@ -265,9 +265,7 @@ def label_communities(spark, sf):
 
 @query("betweenness")
 def betweenness(spark, sf):
-    edges, nodes = _graph(spark, sf)
-    edges = settle(edges.where("weight >= 0.36"))
-    return network.betweenness(edges, nodes).withColumn("betweenness", R("betweenness"))
+    return network.betweenness(*_graph(spark, sf)).withColumn("betweenness", R("betweenness"))
 
 
 # --- weighted co-expression ---------------------------------------------------------------
