@@ -12,7 +12,6 @@ from omiclattice.plans.views import table
 from omiclattice.sources import spectra as src
 
 TOL = 20.0
-LIMITS = dict(max_c=25, max_h=60, max_n=4, max_o=10, max_s=1, max_p=1)
 
 _SPEC = """spec AS (SELECT 'S' || o_orderkey AS scan_id, round(120 + (o_totalprice * 7) % 300, 4) AS precursor_mz,
     CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'negative' END AS polarity, CASE WHEN o_orderkey % 10 = 0 THEN '[M+Na]+' END AS adduct FROM orders),
@@ -134,7 +133,7 @@ _FTEXT = "concat(" + ", ".join(f"CASE WHEN {x} > 0 THEN '{x.upper()}' || {x} ELS
   SELECT round(neutral, 6) AS neutral, rank, formula, round(ppm, 4) AS ppm, rdbe, hard AS n_hard, soft AS n_soft FROM k WHERE rank <= 8""")
 def formula_enumeration(spark, sf):
     m = spectra_view(spark, sf).select((F.col("precursor_mz") - F.lit(sp.PROTON)).alias("neutral"))
-    top = sp.rank_formulas(sp.formula_candidates(m, "neutral", 5.0, **LIMITS), "neutral", 8)
+    top = sp.rank_formulas(sp.formula_candidates(m, "neutral", 5.0), "neutral", 8)
     return top.select(
         R("neutral").alias("neutral"), "rank", "formula", R("ppm", 4).alias("ppm"), "rdbe",
         F.size("hard").alias("n_hard"), F.size("soft").alias("n_soft"),
@@ -156,7 +155,7 @@ _ION = f"""tr0 AS (SELECT scan_id, precursor_mz, coalesce(polarity, '') AS pol,
 
 @query("adduct_inference", f"WITH {_SPEC}, {_COMP}, {_ION} SELECT scan_id, adduct, formula_ok, round({_neutral('precursor_mz', 'adduct')}, 6) AS neutral_mass FROM ion")
 def adduct_inference(spark, sf):
-    ions = sp.infer_adducts(spectra_view(spark, sf), TOL, **LIMITS)
+    ions = sp.infer_adducts(spectra_view(spark, sf), TOL)
     return ions.select("scan_id", "adduct", "formula_ok", R("neutral_mass").alias("neutral_mass"))
 
 
@@ -174,7 +173,7 @@ _ANN = f"""WITH {_SPEC}, {_TOP}, {_MATCH}, {_LOSS}, {_COMP}, {_ION}, im AS (SELE
 def _annotated(spark, sf):
     cls, frag, loss = rules_view(spark, sf)
     return sp.annotate(
-        spectra_view(spark, sf), peaks_view(spark, sf), cls, frag, loss, ["Brand#1", "Brand#2"], TOL, **LIMITS
+        spectra_view(spark, sf), peaks_view(spark, sf), cls, frag, loss, ["Brand#1", "Brand#2"], TOL
     )
 
 
@@ -201,7 +200,7 @@ def marker_anchors(spark, sf):
         F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"),
         F.round(120 + (F.col("p_partkey") * F.lit(13.7)) % 300, 4).alias("marker_mz"), F.lit("[M+H]+").alias("marker_adduct"),
     )
-    ions = settle(sp.infer_adducts(spectra_view(spark, sf), TOL, **LIMITS))
+    ions = settle(sp.infer_adducts(spectra_view(spark, sf), TOL))
     return sp.marker_hits(ions, markers, TOL).withColumn("ppm", R("ppm", 4))
 
 
