@@ -99,7 +99,7 @@ def kmer_identity(spark, sf):
 
 @query("alignment_identity")
 def alignment_identity(spark, sf):
-    """Neighbouring benchmark items as proteins: aligned, or k-mers when long."""
+    """Neighbouring benchmark items as proteins, aligned at any length."""
     b = table(spark, sf, "benchmark").select(
         "item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _AZ, _AA).alias("s")
     )
