@@ -121,15 +121,15 @@ def markdown_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
-def column_chunks(df: DataFrame, columns: list[str], order: str, top: int = 15) -> DataFrame:
-    """First distinct values per column, in order of appearance, as one text.
+def column_chunks(df: DataFrame, columns: list[str], order: str, top: int = 15, cut: int | None = None) -> DataFrame:
+    """First distinct values per column, in order of appearance, as one text; with ``cut`` so many characters of each.
 
     Distinct values keep their first position map-side; the rank limit is
     pushed below the shuffle.
     """
     from omiclattice.operators.network import top_per_group
 
-    long = df.select(F.col(order).alias("_o"), *[F.substring(F.col(c).cast("string"), 1, 200).alias(c) for c in columns]).unpivot(
+    long = df.select(F.col(order).alias("_o"), *[_first(F.col(c).cast("string"), cut).alias(c) for c in columns]).unpivot(
         "_o", columns, "column", "v"
     )
     first = long.where("v IS NOT NULL AND v NOT IN ('', '--', 'nan')").groupBy("column", "v").agg(F.min("_o").alias("o"))
@@ -183,12 +183,14 @@ def search(index: DataFrame, query: str, key: str, top_k: int = 8) -> DataFrame:
 
 
 # --- memory ------------------------------------------------------------------------------
-def hybrid_ranking(memory: DataFrame, query: str, now: Column, top_k: int = 5, key: str = "id") -> DataFrame:
+def hybrid_ranking(memory: DataFrame, query: str, now: Column, top_k: int = 5, key: str = "id",
+                   vocab: int | None = None) -> DataFrame:
     """Half relevance, a quarter recency, a quarter importance.
 
-    ``memory``: id, content, importance, created_at.
+    ``memory``: id, content, importance, created_at. Relevance counts every
+    word, or with ``vocab`` only so many of the most frequent.
     """
-    index = tfidf_index(memory, key, "content", 1000, MEMORY_STOPWORDS)
+    index = tfidf_index(memory, key, "content", vocab, MEMORY_STOPWORDS)
     rel = relevance(index, query, key)
     d = memory.join(rel, key, "left").withColumn("relevance", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)))
     d = d.withColumn("recency", recency(F.col("created_at"), now))
@@ -225,9 +227,10 @@ def tag_corrections(messages: DataFrame, text: str = "text", patterns: list[str]
     })
 
 
-def recall_corrections(memory: DataFrame, query: str, key: str = "id", by_meaning: int = 2, by_tag: int = 5) -> DataFrame:
-    """Best matches and newest tagged entries, each id once."""
-    index = tfidf_index(memory, key, "content", 1000, MEMORY_STOPWORDS)
+def recall_corrections(memory: DataFrame, query: str, key: str = "id", by_meaning: int = 2, by_tag: int = 5,
+                       vocab: int | None = None) -> DataFrame:
+    """Best matches and newest tagged entries, each id once; with ``vocab`` matches by so many of the most frequent words."""
+    index = tfidf_index(memory, key, "content", vocab, MEMORY_STOPWORDS)
     a = search(index, query, key, by_meaning).select(key, F.lit(0).alias("way"))
     b = memory.where(F.array_contains("tags", "correction")).orderBy(F.desc("created_at"), F.desc(key)).limit(by_tag).select(key, F.lit(1).alias("way"))
     return a.unionByName(b).groupBy(key).agg(F.min("way").alias("way"))

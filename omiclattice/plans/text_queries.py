@@ -125,7 +125,8 @@ def memory(spark, sf):
   s AS (SELECT mem.id, greatest(coalesce(score, 0), 0) AS relevance, exp(-greatest(epoch_us(TIMESTAMP '2024-03-01') - epoch_us(created_at), 0) / 3.6e9 * ln(2) / 168) AS recency, (importance - 1) / 9 AS imp FROM mem LEFT JOIN rel ON rel.id = mem.id),
   f AS (SELECT *, 0.5 * relevance + 0.25 * recency + 0.25 * imp AS final FROM s) SELECT id, round(relevance, 6) AS relevance, round(recency, 6) AS recency, round(final, 6) AS final FROM f WHERE relevance >= 0.01 OR final >= 0.05 ORDER BY round(final, 9) DESC, id LIMIT 20""")
 def hybrid_memory_ranking(spark, sf):
-    m = tx.hybrid_ranking(memory(spark, sf), _Q, F.lit("2024-03-01 00:00:00").cast("timestamp"), 20)
+    """Restates the reference, whose vocabulary has 1,000 words."""
+    m = tx.hybrid_ranking(memory(spark, sf), _Q, F.lit("2024-03-01 00:00:00").cast("timestamp"), 20, vocab=1000)
     return m.select("id", R("relevance").alias("relevance"), R("recency").alias("recency"), R("final").alias("final"))
 
 
@@ -146,7 +147,8 @@ def correction_tags(spark, sf):
 @query("correction_recall", f"""WITH {_MEM}, {_tfidf('mem', 'id', 'content', 1000, tx.MEMORY_STOPWORDS)}, {_QV(_Q)}, a AS (SELECT id, 0 AS way FROM rel WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT 2),
   b AS (SELECT id, 1 AS way FROM mem WHERE tagged ORDER BY created_at DESC, id DESC LIMIT 5) SELECT id, min(way) AS way FROM (FROM a UNION ALL FROM b) GROUP BY 1""")
 def correction_recall(spark, sf):
-    return tx.recall_corrections(memory(spark, sf), _Q)
+    """Restates the reference, whose vocabulary has 1,000 words."""
+    return tx.recall_corrections(memory(spark, sf), _Q, vocab=1000)
 
 
 @query("memory_filters", f"WITH {_MEM} SELECT id FROM mem WHERE tagged AND (id // 1000) % 2 = 0 ORDER BY created_at DESC, id DESC LIMIT 10")
