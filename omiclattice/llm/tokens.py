@@ -29,14 +29,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids as bytes; special strings in a text are ordinary text."""
+    """Texts to little-endian unsigned 32-bit ids as bytes; a special string in a text is its one token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
