@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import decontaminate, lm_scores, near_join, packing, pii, quality, token_files, topk, toxicity, wordpiece
+from omiclattice.llm import concat_packing, decontaminate, lm_scores, near_join, packing, pii, quality, token_files, topk, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_top_k": topk.query,
     "op9_lm_scores": lm_scores.query,
     "op10_best_fit_packing": packing.query,
+    "op13_concat_packing": concat_packing.query,
 }
 ORACLES = {"op8_top_k": topk.SQL, "op9_lm_scores": lm_scores.SQL}
