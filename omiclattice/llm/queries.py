@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from omiclattice.llm import concat_packing, decontaminate, lm_scores, near_join, packing, pii, quality, ranked_search, token_files, topk, toxicity, wordpiece
+from omiclattice.llm import concat_packing, decontaminate, hard_negatives, lm_scores, near_join, packing, pii, quality, ranked_search, token_files, topk, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_top_k": topk.query,
     "op9_lm_scores": lm_scores.query,
     "op10_best_fit_packing": packing.query,
+    "op11_hard_negatives": hard_negatives.query,
     "op12_ranked_search": ranked_search.query,
     "op13_concat_packing": concat_packing.query,
 }
-ORACLES = {"op8_top_k": topk.SQL, "op9_lm_scores": lm_scores.SQL, "op12_ranked_search": ranked_search.SQL}
+ORACLES = {"op8_top_k": topk.SQL, "op9_lm_scores": lm_scores.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_ranked_search": ranked_search.SQL}
