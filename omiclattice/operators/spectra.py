@@ -168,13 +168,85 @@ def formula_text() -> Column:
     return F.concat(*[part(x) for x in "chnosp"])
 
 
+#: Most atoms of each element.
+LIMITS = {"max_c": 60, "max_h": 120, "max_n": 10, "max_o": 30, "max_s": 5, "max_p": 3}
+#: Rows of the C, H, O half that are broadcast, and mass x N, S, P rows a task handles.
+HALF_ROWS, TASK_ROWS = 1 << 20, 1 << 19
+
+
+def _decoded(df: DataFrame, code: str, atoms: str, limits: dict) -> DataFrame:
+    """Atom counts of each code, the first element varying fastest."""
+    rest = F.col(code)
+    for x in atoms:
+        size = limits[f"max_{x}"] + 1
+        df, rest = df.withColumn(x, (rest % size).cast("int")), F.floor(rest / size)
+    return df
+
+
+def _weight(atoms: str) -> Column:
+    return sum(F.col(x) * F.lit(MASSES[x.upper()]) for x in atoms)
+
+
+def _most_codes(atoms: str, limits: dict) -> int:
+    return math.prod(limits[f"max_{x}"] + 1 for x in atoms)
+
+
+def half_masses(spark: SparkSession, top: Column, limits: dict, clean: bool) -> DataFrame:
+    """The C, H, O half of every composition up to a mass, by ``half``.
+
+    ``clean`` leaves out counts that break a hard rule whatever N, S and P are.
+    """
+    df = _decoded(spark.range(_most_codes("cho", limits)), "id", "cho", limits).withColumn("half", _weight("cho"))
+    df = df.withColumn("_top", top).where("half <= _top")
+    if clean:
+        c, h, o = F.col("c"), F.col("h"), F.col("o")
+        spare = limits["max_n"] + 2  # hydrogens beyond 2 C that nitrogen and the chain ends can hold
+        df = df.where((h <= 2 * c + spare) & F.when(c > 0, (h <= 3.5 * c) & (o <= 4 * c)).otherwise(o <= 3))
+    return df.select("c", "h", "o", "half")
+
+
+def formula_hits(masses: DataFrame, ppm: float, clean: bool = False, atoms: str = "nsp", **limits) -> DataFrame:
+    """Compositions within ppm of each ``neutral`` mass: two half-tables that meet in the middle.
+
+    Every mass less every N, S, P half (a few hundred) leaves a residual for
+    C, H and O, which meets the C, H, O half in narrow mass buckets. No table of whole
+    compositions is built, so the work grows with masses, not with the mass
+    range. ``clean``: only compositions without hard violations.
+    ``atoms``: which of N, S and P may occur.
+    """
+    spark, limits = masses.sparkSession, LIMITS | limits
+    limits |= {f"max_{x}": 0 for x in "nsp" if x not in atoms}
+    slack = 1.01e-6 * ppm
+    top = masses.agg(F.max("neutral") * (1 + slack)).scalar()
+    n_half, n_other = _most_codes("cho", limits), _most_codes("nsp", limits)
+    parts = max(1, -(-masses.count() * n_other // TASK_ROWS))
+    asked = masses.withColumn("_top", top).repartition(parts, "neutral")
+    # twice the widest window, so that a window lies in at most two buckets
+    width = F.col("_top") * (2 * slack)
+    asked = asked.withColumn("_code", F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    asked = _decoded(asked, "_code", "nsp", limits).withColumn("_rest", F.col("neutral") - _weight("nsp"))
+    if clean:
+        n, s, p = F.col("n"), F.col("s"), F.col("p")
+        least = F.greatest(p - 1, s - 2, n - 3, F.lit(0))  # carbons that the count rules ask for
+        asked = asked.where(F.col("_rest") >= least * MASSES["C"] - F.col("neutral") * slack)
+    asked = asked.where(F.col("_rest") >= -F.col("neutral") * slack)
+    ends = [F.floor((F.col("_rest") + side * slack * F.col("neutral")) / width) for side in (-1, 1)]
+    asked = asked.withColumn("_bkt", F.explode(F.array_distinct(F.array(*ends))))
+    half = half_masses(spark, top, limits, clean).withColumn("_t", top).withColumn("_bkt", F.floor(F.col("half") / (F.col("_t") * (2 * slack)))).drop("_t")
+    near = F.abs(F.col("half") - F.col("_rest")) <= slack * F.col("neutral")
+    # the half has at most n_half rows of three counts and a mass, known from the limits
+    met = asked.join(F.broadcast(half) if n_half <= HALF_ROWS else half, "_bkt").where(near)
+    met = met.withColumn("mass", _weight("cnosp") + F.col("h") * F.lit(MASSES["H"])).where("mass > 0")
+    met = met.withColumn("ppm", ppm_error(F.col("mass"), F.col("neutral"), ppm)).where("ppm IS NOT NULL")
+    if clean:
+        met = met.where(F.size(hard_violations()) == 0)
+    return met.select("neutral", *"chnosp", "mass", "ppm")
+
+
 def formula_candidates(masses: DataFrame, mass: str, ppm: float = 5.0, **limits) -> DataFrame:
     """All formulas within ppm of each distinct mass, with rule violations."""
     distinct = settle(masses.select(F.col(mass).alias("neutral")).where("neutral > 0").distinct())
-    top = distinct.agg(F.max("neutral") * (1 + 2e-6 * ppm)).scalar()
-    table = compositions(masses.sparkSession, top, **limits)
-    hits = ppm_join(table, distinct, "mass", "neutral", ppm)
-    return hits.select(
+    return formula_hits(distinct, ppm, **limits).select(
         F.col("neutral").alias(mass), formula_text().alias("formula"), F.col("mass").alias("calc_mass"),
         "ppm", rdbe().alias("rdbe"), hard_violations().alias("hard"), soft_violations(F.col("neutral")).alias("soft"),
     )
@@ -189,20 +261,12 @@ def rank_formulas(cands: DataFrame, mass: str, top_k: int = 20) -> DataFrame:
 def clean_masses(masses: DataFrame, ppm: float, **limits) -> DataFrame:
     """The masses (column ``neutral``) that have a formula without hard violations.
 
-    The rules do not depend on the observed mass, so broken compositions are
-    dropped first; a semi join then stops at the first fitting one.
+    Most masses have one of C, H, N and O alone; S and P are tried for the others.
     """
     distinct = settle(masses.where("neutral > 0").distinct())
-    top = distinct.agg(F.max("neutral") * (1 + 2e-6 * ppm)).scalar()
-    low = distinct.agg(F.min("neutral") * (1 - 2e-6 * ppm)).scalar()
-    table = compositions(masses.sparkSession, top, **limits).withColumn("_low", low)
-    table = table.where((F.col("mass") >= F.col("_low")) & (F.size(hard_violations()) == 0))
-    table = table.select("mass").distinct().withColumn("_bkt", mass_bucket(F.col("mass"), ppm))
-    near = distinct.withColumn("_c", mass_bucket(F.col("neutral"), ppm)).select(
-        "neutral", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_bkt")
-    )
-    fits = (near["_bkt"] == table["_bkt"]) & (F.abs(table["mass"] - near["neutral"]) / near["neutral"] * 1e6 <= ppm)
-    return near.join(table, fits, "left_semi").select("neutral").distinct()
+    plain = settle(formula_hits(distinct, ppm, True, "n", **limits).select("neutral").distinct())
+    rest = settle(distinct.join(plain, "neutral", "left_anti"))
+    return plain.union(formula_hits(rest, ppm, True, **limits).select("neutral").distinct())
 
 
 def infer_adducts(spectra: DataFrame, ppm: float = 10.0, **limits) -> DataFrame:

@@ -116,15 +116,19 @@ def adduct_neutral_mass(spark, sf):
     return d.select("scan_id", "adduct", R(sp.neutral_mass(F.col("precursor_mz"), F.col("adduct"))).alias("neutral_mass"))
 
 
-_COMP = f"""comp AS (SELECT c, h, n, o, s, p, c * 12.0::DOUBLE + n * {sp.MASSES['N']}::DOUBLE + o * {sp.MASSES['O']}::DOUBLE + s * {sp.MASSES['S']}::DOUBLE
-    + p * {sp.MASSES['P']}::DOUBLE + h * {sp.MASSES['H']}::DOUBLE AS mass, c - (h + s) / 2.0 + n / 2.0 + 1 - p AS rdbe
-    FROM range(0, 26) a(c), range(0, 61) b(h), range(0, 5) d(n), range(0, 11) e(o), range(0, 2) f(s), range(0, 2) g(p) WHERE c + h + n + o + s + p > 0),
-  cv AS (SELECT *, (rdbe < 0)::INT + (rdbe > 40)::INT + (c > 0 AND h > 0 AND h > 3.5 * c)::INT + (c > 0 AND n > 3 * c)::INT + (c > 0 AND o > 4 * c)::INT
+_L = sp.LIMITS
+# every composition up to the heaviest mass that is asked for; queries meet it in mass buckets of 1 mDa
+_COMP = f"""heavy AS (SELECT c, n, o, s, p, c * 12.0::DOUBLE + n * {sp.MASSES['N']}::DOUBLE + o * {sp.MASSES['O']}::DOUBLE + s * {sp.MASSES['S']}::DOUBLE + p * {sp.MASSES['P']}::DOUBLE AS hm
+    FROM range(0, {_L['max_c'] + 1}) a(c), range(0, {_L['max_n'] + 1}) d(n), range(0, {_L['max_o'] + 1}) e(o), range(0, {_L['max_s'] + 1}) f(s), range(0, {_L['max_p'] + 1}) g(p)),
+  light AS (SELECT * FROM heavy, (SELECT max(precursor_mz) + 25 AS top FROM spec) WHERE hm <= top),
+  comp AS (SELECT c, h, n, o, s, p, hm + h * {sp.MASSES['H']}::DOUBLE AS mass, c - (h + s) / 2.0 + n / 2.0 + 1 - p AS rdbe
+    FROM light, range(0, {_L['max_h'] + 1}) b(h) WHERE hm + h * {sp.MASSES['H']}::DOUBLE <= top AND c + h + n + o + s + p > 0),
+  cv AS (SELECT *, floor(mass * 1000)::BIGINT AS mda, (rdbe < 0)::INT + (rdbe > 40)::INT + (c > 0 AND h > 0 AND h > 3.5 * c)::INT + (c > 0 AND n > 3 * c)::INT + (c > 0 AND o > 4 * c)::INT
     + (s > 2 * greatest(c, 1))::INT + (c = 0 AND (o > 3 OR n > 3 OR p > 1))::INT + (p > c + 1)::INT + (s > c + 2)::INT + (n > c + 3)::INT AS hard,
     (4 * c + h + 3 * n + 2 * o + 2 * s + 3 * p) % 2 AS par FROM comp)"""
+_MDA = lambda src, ppm: f"""(SELECT neutral, unnest(range(floor(neutral * (1 - {ppm * 1.01e-6}) * 1000)::BIGINT, floor(neutral * (1 + {ppm * 1.01e-6}) * 1000)::BIGINT + 1)) AS mda FROM {src})"""
 _FORM = lambda src, ppm: f"""fm AS (SELECT neutral, c, h, n, o, s, p, mass, rdbe, hard, par + (h > 0 AND (round_even(neutral, 0) + n) % 2 <> 0)::INT AS soft,
-    abs(mass - neutral) / neutral * 1e6 AS ppm FROM {src} JOIN cv ON mass BETWEEN neutral * (1 - {ppm * 1.01e-6}) AND neutral * (1 + {ppm * 1.01e-6})
-    WHERE abs(mass - neutral) / neutral * 1e6 <= {ppm})"""
+    abs(mass - neutral) / neutral * 1e6 AS ppm FROM {_MDA(src, ppm)} JOIN cv USING (mda) WHERE abs(mass - neutral) / neutral * 1e6 <= {ppm})"""
 _FTEXT = "concat(" + ", ".join(f"CASE WHEN {x} > 0 THEN '{x.upper()}' || {x} ELSE '' END" for x in "chnosp") + ")"
 
 
@@ -145,9 +149,8 @@ _ION = f"""tr0 AS (SELECT scan_id, precursor_mz, coalesce(polarity, '') AS pol,
     WHEN polarity = 'positive' THEN {_ORD('positive')} ELSE {_ORD('')} END AS o FROM spec),
   tr AS (SELECT scan_id, precursor_mz, pol, len(o) AS n, generate_subscripts(o, 1) AS pos, unnest(o) AS ad FROM tr0),
   tn AS (SELECT *, {_neutral('precursor_mz', 'ad')} AS neutral FROM tr), dn AS (SELECT DISTINCT neutral FROM tn WHERE neutral > 0),
-  cb AS (SELECT mass, floor(ln(mass) / 2.01e-5)::BIGINT AS bkt FROM cv WHERE hard = 0),
-  db AS (SELECT neutral, floor(ln(neutral) / 2.01e-5)::BIGINT + d AS bkt FROM dn, range(-1, 2) r(d)),
-  okn AS (SELECT DISTINCT neutral FROM db JOIN cb USING (bkt) WHERE abs(mass - neutral) / neutral * 1e6 <= {TOL}),
+  cb AS (SELECT DISTINCT mass, mda FROM cv WHERE hard = 0),
+  okn AS (SELECT DISTINCT neutral FROM {_MDA('dn', TOL)} JOIN cb USING (mda) WHERE abs(mass - neutral) / neutral * 1e6 <= {TOL}),
   ion0 AS (SELECT scan_id, any_value(precursor_mz) AS precursor_mz, any_value(pol) AS pol, any_value(n) AS n, max(ad) FILTER (pos = 1) AS head,
     min((pos, ad)) FILTER (okn.neutral IS NOT NULL) AS hit FROM tn LEFT JOIN okn ON tn.neutral = okn.neutral GROUP BY 1),
   ion AS (SELECT scan_id, precursor_mz, hit IS NOT NULL AS formula_ok, CASE WHEN hit IS NOT NULL THEN hit[2] WHEN n = 1 THEN head WHEN pol = 'negative' THEN '[M-H]-' ELSE '[M+H]+' END AS adduct FROM ion0)"""
