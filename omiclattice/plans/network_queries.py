@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from omiclattice.functions.materialise import settle
-from omiclattice.operators import clean, corr, latent, network
+from omiclattice.operators import clean, communities, corr, latent, network
 from omiclattice.plans.matrix_queries import R
 from omiclattice.plans.registry import query
 from omiclattice.plans.views import (
@@ -263,6 +263,23 @@ def label_communities(spark, sf):
     return network.label_communities(*_graph(spark, sf))
 
 
+@query("modularity_communities")
+def modularity_communities(spark, sf):
+    return communities.modularity_communities(*_graph(spark, sf))
+
+
+@query("label_modularity", f"""WITH {_EDGES}, la AS (SELECT 'V' || vec_id AS feature_id, label FROM embeddings), tot AS (SELECT sum(weight) AS t FROM bw),
+  x AS (SELECT a.label AS community, sum(weight) AS strength, coalesce(sum(weight) FILTER (a.label = b.label), 0) AS twice
+    FROM bw JOIN la a ON a.feature_id = src JOIN la b ON b.feature_id = dst GROUP BY 1)
+  SELECT la.label AS community, count(*) AS size, round(coalesce(any_value(twice), 0) / 2, 6) AS inside, round(coalesce(any_value(strength), 0), 6) AS strength,
+    round(coalesce(any_value(twice) / any_value(t) - (any_value(strength) / any_value(t)) ^ 2, 0), 8) AS modularity
+  FROM la LEFT JOIN x ON x.community = la.label, tot GROUP BY 1""")
+def label_modularity(spark, sf):
+    edges, _ = _graph(spark, sf)
+    lab = table(spark, sf, "embeddings").select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("feature_id"), F.col("label").alias("community"))
+    return communities.modularity(edges, lab).withColumns({"inside": R("inside"), "strength": R("strength"), "modularity": R("modularity", 8)})
+
+
 @query("betweenness")
 def betweenness(spark, sf):
     return network.betweenness(*_graph(spark, sf)).withColumn("betweenness", R("betweenness"))
