@@ -7,6 +7,8 @@ flat and a lost executor costs one round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -16,7 +18,8 @@ from omiclattice.functions.ranks import benjamini_hochberg
 from omiclattice.operators.corr import BLOCK, _matrix, block_pairs, correlated_pairs, gram, unit_vectors
 
 POWERS = list(range(1, 21))
-LOCAL_LINKAGE = 2000  # clusters one task may hold as a dense matrix (32 MB)
+LOCAL_LINKAGE = 512  # clusters of a connected part that one task may hold as a dense matrix (2 MB)
+DIGITS = 12  # decimal digits of similarities that linkage compares
 
 
 # --- weighted co-expression -------------------------------------------------
@@ -25,8 +28,8 @@ def _adjacency(r: np.ndarray, power: float) -> np.ndarray:
 
 
 def connectivity(unit: DataFrame, powers: list[int], labels: DataFrame | None = None,
-                 size: int = BLOCK) -> DataFrame:
-    """``feature_id, power, k``: row sums of the signed adjacency, self excluded.
+                 size: int = BLOCK, signed: bool = True) -> DataFrame:
+    """``feature_id, power, k``: row sums of the signed adjacency (else of |r| to the power), self excluded.
 
     With ``labels`` (feature_id, module) only partners in the same module
     count. Blocks return one partial sum per feature and power.
@@ -45,7 +48,7 @@ def connectivity(unit: DataFrame, powers: list[int], labels: DataFrame | None =
             if by_module:
                 use &= pa["module"].to_numpy()[:, None] == pb["module"].to_numpy()[None, :]
             for p in powers:
-                adj = _adjacency(r, p) * use
+                adj = (_adjacency(r, p) if signed else np.abs(np.clip(r, -1.0, 1.0)) ** p) * use
                 out.append(pd.DataFrame({"feature_id": ia, "power": p, "k": adj.sum(axis=1)}))
                 if key[0] != key[1]:
                     out.append(pd.DataFrame({"feature_id": ib, "power": p, "k": adj.sum(axis=0)}))
@@ -93,126 +96,161 @@ def pick_power(fit: DataFrame) -> DataFrame:
     return fit.orderBy(F.desc("is_acceptable"), F.desc(F.round("r2", 9)), "power").limit(1)
 
 
-def tom_edges(unit: DataFrame, power: float, min_tom: float, size: int = 256) -> DataFrame:
-    """Topological overlap pairs with overlap >= min_tom.
+def tom_edges(unit: DataFrame, power: float, min_tom: float, size: int = 512) -> DataFrame:
+    """Topological overlap pairs with overlap >= min_tom, over every middle feature.
 
-    Shared-neighbour sums run over triples of blocks: a task holds three
-    blocks of vectors, recomputes their adjacencies and returns one partial
-    row segment per feature; Spark adds the segments.
+    A task holds one pair of blocks and their sums of shared neighbours; the
+    middle features are streamed past them and their adjacencies recomputed, so
+    no partial sums are exchanged. Sparse networks: see :func:`sparse_overlap`.
     """
-    k = settle(connectivity(unit, [power], size=BLOCK).select("feature_id", "k"))
+    k = connectivity(unit, [power], size=BLOCK).select("feature_id", "k")
     base = settle(unit.join(k, "feature_id"))
-    placed = block_pairs(base, None, size).withColumnRenamed("side", "role")
-    blocks = placed.select("ba", "bb").distinct()
-    nb = blocks.agg(F.max("bb") + 1).scalar()
-    ends = placed.withColumn("_n", nb).select(
-        "ba", "bb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("bk"),
-        "role", "feature_id", "z",
-    )
-    # middle block: every vector goes to each pair of end blocks
-    mids = (
-        placed.where("role = 0 AND bb = ba").select(F.col("ba").alias("bk"), "feature_id", "z")
-        .withColumn("_n", nb)
-        .select("bk", "feature_id", "z", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("ba"))
-        .select("ba", F.explode(F.sequence(F.col("ba"), F.col("_n") - 1)).alias("bb"), "bk",
-                F.lit(2).alias("role"), "feature_id", "z")
-    )
-
-    def partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("feature_id", kind="stable")
-        part = [pdf[pdf["role"] == r] for r in (0, 1, 2)]
-        if not all(len(p) for p in part):
-            return pd.DataFrame({"ba": [], "bb": [], "feature_a": [], "seg": []})
-        (ia, za), (ib, zb), (im, zm) = [(p["feature_id"].to_numpy(), _matrix(p["z"])) for p in part]
-        left = _adjacency(za @ zm.T, power) * (ia[:, None] != im[None, :])
-        right = _adjacency(zm @ zb.T, power) * (im[:, None] != ib[None, :])
-        return pd.DataFrame({
-            "ba": key[0], "bb": key[1], "feature_a": ia, "seg": list(left @ right)
-        })
-
-    shared = (
-        ends.unionByName(mids).groupBy("ba", "bb", "bk")
-        .applyInPandas(partial, "ba bigint, bb bigint, feature_a string, seg array<double>")
-        .groupBy("ba", "bb", "feature_a").agg(F.collect_list("seg").alias("segs"))
-        .select("ba", "bb", "feature_a", F.aggregate(
-            F.slice("segs", 2, F.size("segs")), F.element_at("segs", 1),
-            lambda s, v: F.zip_with(s, v, lambda x, y: x + y),
-        ).alias("seg"))
-    )
-    cols = placed.select("ba", "bb", "role", "feature_id", "z", "k", F.lit(None).cast("array<double>").alias("seg"))
-    segs = placed.where("role = 0").join(
-        shared.withColumnRenamed("feature_a", "feature_id"), ["ba", "bb", "feature_id"]
-    ).select("ba", "bb", "role", "feature_id", "z", "k", "seg")
-    both = cols.where("role = 1").unionByName(segs)
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("feature_id", kind="stable")
-        pa, pb = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if not len(pa) or not len(pb):
-            return pd.DataFrame({"src": [], "dst": [], "weight": []})
-        ia, ib = pa["feature_id"].to_numpy(), pb["feature_id"].to_numpy()
-        adj = _adjacency(_matrix(pa["z"]) @ _matrix(pb["z"]).T, power)
-        den = np.minimum(pa["k"].to_numpy()[:, None], pb["k"].to_numpy()[None, :]) + 1.0 - adj
-        tom = (_matrix(pa["seg"]) + adj) / np.where(den > 0, den, 1.0)
-        keep = (tom >= min_tom) & (den > 0)
-        keep &= (ia[:, None] < ib[None, :]) if key[0] == key[1] else (ia[:, None] != ib[None, :])
-        i, j = np.nonzero(keep)
-        a, b = ia[i], ib[j]
-        return pd.DataFrame({
-            "src": np.where(a < b, a, b), "dst": np.where(a < b, b, a), "weight": tom[i, j]
-        })
-
-    return both.groupBy("ba", "bb").applyInPandas(finish, "src string, dst string, weight double")
+    nb = max(1, -(-base.count() // size))
+    numbers = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    placed = block_pairs(base, None, size)
+    pairs = placed.select("ba", "bb").distinct().agg(F.max("bb")).first()[0] or 0
+    last = F.lit(pairs).cast("bigint")
+    mids = base.withColumn("ba", numbers(F.lit(0).cast("bigint"), last)).withColumn("bb", numbers(F.col("ba"), last))
+    rows = placed.unionByName(mids.withColumn("side", F.lit(2))).select("ba", "bb", "side", "feature_id", "z", "k")
+    dealt = rows.repartition(min(nb * (nb + 1) // 2, 4096), "ba", "bb").sortWithinPartitions("ba", "bb", "side", "feature_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, ends, shared = None, [[], []], None
+
+        def side(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            got = pd.concat(ends[i]) if len(ends[i]) > 1 else ends[i][0]
+            return got["feature_id"].to_numpy(), _matrix(got["z"]), got["k"].to_numpy()
+
+        def finish() -> pd.DataFrame:
+            (ia, za, ka), (ib, zb, kb) = side(0), side(1)
+            adj = _adjacency(za @ zb.T, power)
+            den = np.minimum(ka[:, None], kb[None, :]) + 1.0 - adj
+            tom = (shared + adj) / np.where(den > 0, den, 1.0)
+            keep = (tom >= min_tom) & (den > 0)
+            keep &= (ia[:, None] < ib[None, :]) if pair[0] == pair[1] else (ia[:, None] != ib[None, :])
+            i, j = np.nonzero(keep)
+            x, y = ia[i], ib[j]
+            return pd.DataFrame({"src": np.where(x < y, x, y), "dst": np.where(x < y, y, x), "weight": tom[i, j]})
+
+        for pdf in batches:
+            for (p, q, s), part in pdf.groupby(["ba", "bb", "side"], sort=False):
+                if (p, q) != pair:
+                    if shared is not None:
+                        yield finish()
+                    pair, ends, shared = (p, q), [[], []], None
+                if s < 2:
+                    ends[s].append(part)
+                    continue
+                if not ends[0] or not ends[1]:
+                    continue
+                (ia, za, _), (ib, zb, _) = side(0), side(1)
+                im, zm = part["feature_id"].to_numpy(), _matrix(part["z"])
+                left = _adjacency(za @ zm.T, power) * (ia[:, None] != im[None, :])
+                right = _adjacency(zm @ zb.T, power) * (im[:, None] != ib[None, :])
+                shared = left @ right if shared is None else shared + left @ right
+        if shared is not None:
+            yield finish()
+
+    return dealt.mapInPandas(run, "src string, dst string, weight double")
+
+
+#: Neighbours of a feature that meet in one task; more are dealt into tiles that meet two by two.
+NEIGHBOURS = 2000
+
+
+def sparse_overlap(edges: DataFrame, min_tom: float = 0.0) -> DataFrame:
+    """Topological overlap of a sparse network: pairs that are linked or share a neighbour.
+
+    ``edges`` has weights in (0, 1], one row an undirected edge. Pairs come from
+    wedges at the middle feature; a hub's neighbours are dealt into tiles, so
+    that no feature is one join key with all of its pairs.
+    """
+    edges = settle(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight"))
+    ends = both_ways(edges)
+    k = settle(ends.groupBy("src").agg(F.sum("weight").alias("k"), F.ceil(F.count(F.lit(1)) / NEIGHBOURS).cast("int").alias("tiles")))
+    arms = settle(ends.join(k.select("src", "tiles"), "src").withColumn("tile", F.pmod(F.xxhash64("dst"), F.col("tiles")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = arms.withColumn("t2", other).select("src", F.col("tile").alias("t1"), "t2", F.col("dst").alias("i"), F.col("weight").alias("wi"))
+    right = arms.withColumn("t1", other).select("src", "t1", F.col("tile").alias("t2"), F.col("dst").alias("j"), F.col("weight").alias("wj"))
+    wedges = left.join(right, ["src", "t1", "t2"]).where("i < j")
+    shared = wedges.groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("l"))
+    both = shared.join(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("a")), ["i", "j"], "full_outer")
+    ki, kj = (k.select(F.col("src").alias(x), F.col("k").alias(f"k{x}")) for x in "ij")
+    l, a = F.coalesce("l", F.lit(0.0)), F.coalesce("a", F.lit(0.0))
+    tom = (l + a) / (F.least("ki", "kj") + 1.0 - a)
+    return both.join(ki, "i").join(kj, "j").select(F.col("i").alias("src"), F.col("j").alias("dst"), tom.alias("weight")).where(F.col("weight") >= min_tom)
 
 
 # --- average linkage ----------------------------------------------------------
 def _upgma_local(ids: np.ndarray, sizes: np.ndarray, sim: np.ndarray) -> list[tuple]:
-    """Average-linkage merges ``(kept, gone, height)`` of a dense similarity.
+    """Average-linkage merges ``(kept, gone, height)`` of a dense similarity, as long as pairs have any.
 
     The most similar pair first, ties to the smaller ids. Each row keeps its
     best later partner, so a merge looks again only at rows that it touches.
     """
     order = np.argsort(ids, kind="stable")
     ids, n = ids[order], sizes[order].astype(float)
-    s = np.triu(sim[np.ix_(order, order)] + 2.0, 1)  # 0: no partner
-    full = np.maximum(s, s.T)
-    mate = full.shape[0] and np.triu(full, 1).argmax(1)
-    best = np.array([full[i, mate[i]] if mate[i] > i else 0.0 for i in range(len(ids))])
+    full = np.round(sim[np.ix_(order, order)], DIGITS)
+    np.fill_diagonal(full, 0.0)
+    upper = np.triu(full, 1)
+    mate = upper.argmax(1) if len(ids) else np.zeros(0, int)
+    best = upper.max(1) if len(ids) else np.zeros(0)
     merges = []
-    for _ in range(len(ids) - 1):
+    while len(best) and best.max() > 0:
         a = int(best.argmax())
         b = int(mate[a])
-        merges.append((ids[a], ids[b], 3.0 - float(best[a])))
-        new = (n[a] * full[a] + n[b] * full[b]) / (n[a] + n[b])
+        merges.append((ids[a], ids[b], 1.0 - float(best[a])))
+        new = np.round((n[a] * full[a] + n[b] * full[b]) / (n[a] + n[b]), DIGITS)
         new[[a, b]] = 0.0
-        new[full[a] == 0] = 0.0
         full[a, :], full[:, a] = new, new
         full[b, :], full[:, b] = 0.0, 0.0
         n[a] += n[b]
         best[b] = 0.0
         touched = (mate == a) | (mate == b) | (new > best) | ((new == best) & (a < mate))
         touched[a], touched[b] = True, False
-        for i in np.flatnonzero(touched & ((best > 0) | (np.arange(len(ids)) == a))):
+        for i in np.flatnonzero(touched):
             row = full[i, i + 1:]
-            k = int(row.argmax()) if len(row) else 0
-            mate[i], best[i] = i + 1 + k, row[k] if len(row) else 0.0
+            j = int(row.argmax()) if len(row) else 0
+            mate[i], best[i] = i + 1 + j, row[j] if len(row) else 0.0
     return merges
 
 
 def average_linkage(edges: DataFrame, nodes: DataFrame, local_limit: int = LOCAL_LINKAGE) -> DataFrame:
-    """Exact average-linkage merge table ``kept, gone, height``.
-
-    Pairs without an edge have similarity 0. Each round merges every pair of
-    clusters that are each other's best (reducible linkage, so the tree equals
-    the one-at-a-time tree). Once at most ``local_limit`` clusters remain, one
-    task finishes them; larger inputs stay distributed.
+    """Exact average-linkage merge table ``kept, gone, height``; a cluster is known by its smallest id.
+
+    Pairs without an edge have similarity 0, so every connected part has a tree
+    of its own and the trees are joined at height 1. Each round merges all pairs of
+    clusters that are each other's best (reducible linkage: the tree equals
+    the one-at-a-time tree; similarities hold ``DIGITS`` digits, so that ties are ties
+    in whatever order they are summed, and go to the smaller ids). A part
+    that is down to ``local_limit`` clusters is finished in a task of its
+    own, which then holds at most ``local_limit`` squared pairs.
     """
-    pairs = settle(edges.select("src", "dst", F.col("weight").alias("s")))
-    sizes = settle(nodes.select("feature_id").distinct().withColumn("n", F.lit(1.0)))
-    merged = None
-    while True:
-        if sizes.count() <= local_limit or pairs.isEmpty():
-            break
+    names = nodes.select("feature_id").distinct()
+    linked = edges.where("src <> dst AND weight > 0").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.round("weight", DIGITS).alias("s"))
+    pairs = settle(linked.groupBy("src", "dst").agg(F.max("s").alias("s")))
+    part = components(pairs.select("src", "dst", F.col("s").alias("weight")), names)
+    roots = settle(part.select("component").distinct())
+    sizes = settle(part.select("feature_id", "component", F.lit(1.0).alias("n")))
+    merged = []
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.r_[pdf["src"].to_numpy(), pdf["dst"].to_numpy()].astype(str))
+        i, j = np.searchsorted(ids, pdf["src"].to_numpy().astype(str)), np.searchsorted(ids, pdf["dst"].to_numpy().astype(str))
+        sim, n = np.zeros((len(ids), len(ids))), np.ones(len(ids))
+        sim[i, j] = sim[j, i] = pdf["s"].to_numpy()
+        n[i], n[j] = pdf["ni"].to_numpy(), pdf["nj"].to_numpy()
+        return pd.DataFrame(_upgma_local(ids, n, sim), columns=["kept", "gone", "height"])
+
+    while not pairs.isEmpty():
+        small = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= local_limit).select("component")
+        placed = settle(
+            pairs.join(sizes.select(F.col("feature_id").alias("src"), "component", F.col("n").alias("ni")), "src")
+            .join(sizes.select(F.col("feature_id").alias("dst"), F.col("n").alias("nj")), "dst")
+            .join(small.withColumn("local", F.lit(True)), "component", "left")
+        )
+        merged.append(settle(placed.where("local").groupBy("component").applyInPandas(finish, "kept string, gone string, height double")))
+        pairs = placed.where("local IS NULL").select("src", "dst", "s")
         key = F.struct((-F.col("s")).alias("d"), F.col("src").alias("lo"), F.col("dst").alias("hi"))
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("c"), key.alias("e"))
         best = ends.groupBy("c").agg(F.min("e").alias("e"))
@@ -220,47 +258,32 @@ def average_linkage(edges: DataFrame, nodes: DataFrame, local_limit: int = LOCAL
             best.groupBy("e").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
             .select(F.col("e.lo").alias("kept"), F.col("e.hi").alias("gone"), (1.0 + F.col("e.d")).alias("height"))
         )
-        merged = mutual if merged is None else merged.unionByName(mutual)
+        if mutual.isEmpty():
+            break
+        merged.append(mutual)
         to = mutual.select(F.col("gone").alias("c"), F.col("kept").alias("new"))
+        open_parts = sizes.join(small, "component", "left_anti")
         sized = (
-            sizes.join(to, sizes.feature_id == to.c, "left")
-            .select(F.coalesce("new", "feature_id").alias("new_id"), F.col("feature_id").alias("old"), "n")
+            open_parts.join(to, open_parts.feature_id == to.c, "left")
+            .select(F.coalesce("new", "feature_id").alias("new_id"), F.col("feature_id").alias("old"), "component", "n")
         )
         total = sized.groupBy("new_id").agg(F.sum("n").alias("tot"))
-        share = settle(sized.join(total, "new_id").select("old", "new_id", (F.col("n") / F.col("tot")).alias("w")))
+        share = settle(sized.join(total, "new_id").select("old", "new_id", "component", "tot", (F.col("n") / F.col("tot")).alias("w")))
         a = share.select(F.col("old").alias("src"), F.col("new_id").alias("na"), F.col("w").alias("wa"))
         b = share.select(F.col("old").alias("dst"), F.col("new_id").alias("nb"), F.col("w").alias("wb"))
         pairs = settle(
             pairs.join(a, "src").join(b, "dst").where("na <> nb")
             .select(F.least("na", "nb").alias("src"), F.greatest("na", "nb").alias("dst"),
                     (F.col("s") * F.col("wa") * F.col("wb")).alias("s"))
-            .groupBy("src", "dst").agg(F.sum("s").alias("s"))
+            .groupBy("src", "dst").agg(F.round(F.sum("s"), DIGITS).alias("s")).where("s > 0")
         )
-        sizes = settle(total.select(F.col("new_id").alias("feature_id"), F.col("tot").alias("n")))
-    rest = sizes.count()
-    if rest <= local_limit:
-        tail = pairs.select("src", "dst", "s", F.lit(0.0).alias("n")).unionByName(
-            sizes.select(F.col("feature_id").alias("src"), F.col("feature_id").alias("dst"), F.lit(1.0).alias("s"), "n")
-        )
-
-        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = pdf[pdf["src"] == pdf["dst"]].sort_values("src")
-            ids = own["src"].to_numpy()
-            at = {v: i for i, v in enumerate(ids)}
-            sim = np.zeros((len(ids), len(ids)))
-            off = pdf[pdf["src"] != pdf["dst"]]
-            i, j = off["src"].map(at).to_numpy(), off["dst"].map(at).to_numpy()
-            sim[i, j] = sim[j, i] = off["s"].to_numpy()
-            return pd.DataFrame(_upgma_local(ids, own["n"].to_numpy(), sim), columns=["kept", "gone", "height"])
-
-        last = tail.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(finish, "kept string, gone string, height double")
-        merged = last if merged is None else merged.unionByName(last)
-    else:
-        # no edges left between many clusters: all remaining merges sit at 1
-        first = sizes.agg(F.min("feature_id")).scalar()
-        last = sizes.select(first.alias("kept"), F.col("feature_id").alias("gone"), F.lit(1.0).alias("height")).where("kept <> gone")
-        merged = merged.unionByName(last)
-    return settle(merged)
+        sizes = settle(share.groupBy(F.col("new_id").alias("feature_id")).agg(F.first("component").alias("component"), F.first("tot").alias("n")))
+    # the parts' roots, their smallest ids, meet at height 1
+    first = roots.agg(F.min("component")).scalar()
+    out = roots.select(first.alias("kept"), F.col("component").alias("gone"), F.lit(1.0).alias("height")).where("kept <> gone")
+    for m in merged:
+        out = out.unionByName(m)
+    return settle(out)
 
 
 def cut_tree(merges: DataFrame, nodes: DataFrame, height: Column) -> DataFrame:
@@ -287,16 +310,53 @@ def number_modules(labels: DataFrame, min_size: int = 10) -> DataFrame:
     )
 
 
-def tom_modules(unit: DataFrame, power: float, min_tom: float = 0.0, min_size: int = 10,
-                deep_split: int = 2, local_limit: int = LOCAL_LINKAGE) -> DataFrame:
-    """Modules from average linkage on 1 - overlap, cut at a height percentile."""
+def overlap_modules(edges: DataFrame, nodes: DataFrame, min_size: int = 10, deep_split: int = 2,
+                    height: float | None = None, local_limit: int = LOCAL_LINKAGE) -> DataFrame:
+    """Modules from average linkage on 1 - overlap, cut at a fixed ``height`` or at a height percentile."""
     from omiclattice.functions.ranks import exact_quantile
 
+    merges = average_linkage(edges, nodes, local_limit=local_limit)
+    cut = F.lit(float(height)) if height is not None else exact_quantile(merges, [], "height", max(55, 95 - deep_split * 12) / 100.0).scalar()
+    return number_modules(cut_tree(merges, nodes, cut), min_size)
+
+
+def tom_modules(unit: DataFrame, power: float, min_tom: float = 0.0, min_size: int = 10, deep_split: int = 2,
+                height: float | None = None, local_limit: int = LOCAL_LINKAGE) -> DataFrame:
+    """:func:`overlap_modules` of the dense overlap of unit vectors."""
     unit = settle(unit)
-    edges = tom_edges(unit, power, min_tom)
-    merges = average_linkage(edges, unit.select("feature_id"), local_limit=local_limit)
-    cut = exact_quantile(merges, [], "height", max(55, 95 - deep_split * 12) / 100.0).scalar()
-    return number_modules(cut_tree(merges, unit.select("feature_id"), cut), min_size)
+    return overlap_modules(settle(tom_edges(unit, power, min_tom)), unit.select("feature_id"), min_size, deep_split, height, local_limit)
+
+
+def greedy_modules(edges: DataFrame, nodes: DataFrame, min_size: int = 10) -> DataFrame:
+    """``feature_id, seed, module``: features in falling order of ``score``, each taking its free neighbours along.
+
+    ``nodes`` has (feature_id, score), ties to the smaller id. A feature opens a
+    group if no earlier neighbour did, and everything else belongs to its earliest
+    neighbour that did: this is decided in rounds, each for all features whose
+    earlier neighbours are decided, and equals going through them one by one.
+    Modules are numbered in order of their seeds, groups below ``min_size`` are 0.
+    """
+    order = F.struct((-F.col("score")).alias("less"), F.col("feature_id").alias("id"))
+    named = settle(nodes.groupBy("feature_id").agg(F.max("score").alias("score")).select("feature_id", order.alias("o")))
+    at = lambda side, name: named.select(F.col("feature_id").alias(side), F.col("o").alias(name))
+    ends = both_ways(edges.where("src <> dst").withColumn("weight", F.lit(1.0))).join(at("src", "os"), "src").join(at("dst", "od"), "dst").where("od < os")
+    before = settle(ends.select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("od").alias("ou")).distinct())
+    state = settle(named.select("feature_id", F.lit(None).cast("boolean").alias("opens")))
+    while True:
+        known = before.join(state.select(F.col("feature_id").alias("u"), "opens"), "u")
+        seen = known.groupBy("v").agg(F.bool_or(F.coalesce("opens", F.lit(False))).alias("taken"), F.bool_and(F.coalesce(~F.col("opens"), F.lit(False))).alias("free"))
+        joined = state.join(seen, F.col("feature_id") == F.col("v"), "left")
+        ruled = F.when(F.col("v").isNull() | F.col("free"), True).when(F.col("taken"), False)
+        new = settle(joined.select("feature_id", F.coalesce("opens", ruled).alias("opens")))
+        state = new
+        if new.where("opens IS NULL").isEmpty():
+            break
+    seeds = state.where("opens").select("feature_id")
+    mine = before.join(seeds.select(F.col("feature_id").alias("u")), "u", "left_semi").groupBy("v").agg(F.min("ou").alias("first"))
+    member = state.join(mine, F.col("feature_id") == F.col("v"), "left").select("feature_id", F.when(F.col("opens"), F.col("feature_id")).otherwise(F.col("first.id")).alias("seed"))
+    sizes = member.groupBy("seed").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    ranked = sizes.join(at("seed", "o"), "seed").select("seed", F.row_number().over(W.orderBy("o")).alias("module"))  # one row a module
+    return member.join(ranked, "seed", "left").select("feature_id", "seed", F.coalesce("module", F.lit(0)).alias("module"))
 
 
 # --- module summaries --------------------------------------------------------------
@@ -522,9 +582,11 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     Runs all sources side by side as rows ``(source, node)``: distances by
     relaxation rounds, then path counts and dependencies along shortest-path
     edges. With ``sources`` (feature_id) only those start nodes are used and
-    the result is scaled up; work grows with sources x nodes.
+    the result is scaled up; work grows with sources x nodes. Lengths must be positive.
     """
     e = settle(both_ways(edges))
+    if e.where("weight IS NULL OR NOT (weight > 0)").limit(1).count():
+        raise ValueError("shortest paths need positive lengths")
     total = nodes.count()
     starts = (sources if sources is not None else nodes).select(F.col("feature_id").alias("s"))
     n_starts = starts.count()

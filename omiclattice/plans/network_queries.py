@@ -309,6 +309,37 @@ def topological_overlap(spark, sf):
     return network.tom_edges(_unit(spark, sf), 6, 0.04).withColumn("weight", R("weight"))
 
 
+@query("sparse_overlap", f"""WITH {_EDGES}, k AS (SELECT src, sum(weight) AS k FROM bw GROUP BY 1),
+  l AS (SELECT x.dst AS src, y.dst AS dst, sum(x.weight * y.weight) AS l FROM bw x JOIN bw y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2)
+  SELECT src, dst, round((coalesce(l, 0) + coalesce(weight, 0)) / (least(k1.k, k2.k) + 1 - coalesce(weight, 0)), 6) AS weight
+  FROM l FULL JOIN ed USING (src, dst) JOIN k k1 USING (src) JOIN (SELECT src AS dst, k FROM k) k2 USING (dst)""")
+def sparse_overlap(spark, sf):
+    return network.sparse_overlap(_graph(spark, sf)[0]).withColumn("weight", R("weight"))
+
+
+@query("greedy_modules", f"""WITH RECURSIVE {_VPAIR}, ab AS (SELECT feature_a AS src, feature_b AS dst, abs(r) AS r FROM pr UNION ALL SELECT feature_b, feature_a, abs(r) FROM pr),
+  nd AS (SELECT src AS id, round(sum(r ^ 6), 9) AS k, coalesce(list(dst) FILTER (r >= {THR}), []) AS near FROM ab GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY k DESC, id) AS i FROM nd),
+  g AS (SELECT 0::BIGINT AS step, []::VARCHAR[] AS seeds UNION ALL SELECT step + 1, CASE WHEN list_has_any(near, seeds) THEN seeds ELSE list_append(seeds, id) END FROM g JOIN o ON o.i = g.step + 1),
+  s AS (SELECT unnest(seeds) AS seed FROM g WHERE step = (SELECT count(*) FROM o)), m AS (SELECT o.id AS feature_id, coalesce(
+    any_value(o.id) FILTER (s0.seed IS NOT NULL), arg_min(x.id, x.i)) AS seed FROM o LEFT JOIN s s0 ON s0.seed = o.id
+    LEFT JOIN (SELECT o.*, unnest(near) AS to_id FROM o WHERE id IN (SELECT seed FROM s)) x ON x.to_id = o.id GROUP BY 1),
+  z AS (SELECT seed, row_number() OVER (ORDER BY any_value(o.i)) AS module FROM m JOIN o ON o.id = seed GROUP BY 1 HAVING count(*) >= 5)
+  SELECT feature_id, seed, coalesce(module, 0)::INT AS module FROM m LEFT JOIN z USING (seed)""")
+def greedy_modules(spark, sf):
+    """Neighbours: |r| of 0.3 or more; order: row sums of |r| to the 6th."""
+    u = settle(_unit(spark, sf))
+    score = network.connectivity(u, [6], signed=False).select("feature_id", F.round("k", 9).alias("score"))
+    near = corr.correlated_pairs(u, min_abs_r=THR).where(F.abs("r") >= THR).select(F.col("feature_a").alias("src"), F.col("feature_b").alias("dst"))
+    return network.greedy_modules(near, score, min_size=5)
+
+
+@query("fixed_cut_modules")
+def fixed_cut_modules(spark, sf):
+    """Average linkage of the overlap, cut at dissimilarity 0.8."""
+    return network.tom_modules(_unit(spark, sf), 6, height=0.8)
+
+
 @query("coexpression_modules")
 def coexpression_modules(spark, sf):
     return network.tom_modules(_unit(spark, sf), 6)
