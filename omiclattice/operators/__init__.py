@@ -6,7 +6,7 @@ def catalog() -> dict:
     import importlib
     import inspect
 
-    names = ["align", "clean", "communities", "corr", "enrich", "evidence", "knowledge", "latent", "motifs", "network", "spectra", "stats", "text"]
+    names = ["align", "clean", "communities", "corr", "enrich", "evidence", "knowledge", "latent", "motifs", "network", "spectra", "stats", "subspace", "text"]
     out = {}
     for n in names:
         mod = importlib.import_module(f"omiclattice.operators.{n}")

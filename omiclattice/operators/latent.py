@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from omiclattice.operators.corr import _matrix, gram
+from omiclattice.operators.subspace import leading_directions
 
 MAX_SAMPLES = 2048  # side of the sample matrix the driver may hold (32 MB)
 
@@ -41,31 +42,27 @@ def standardise_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("feature_id", scale("vec").alias("vec"))
 
 
-def pca_samples(vectors: DataFrame, n_comp: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Sample scores (samples x n_comp) and explained-variance ratios.
+def pca_samples(vectors: DataFrame, n_comp: int = 2) -> tuple[DataFrame, list[float]]:
+    """(i, scores): the samples' scores, and the explained-variance ratios.
 
     Signs: the entry of largest magnitude of each component is positive.
     """
-    k = sample_matrix(vectors)
-    values, basis = np.linalg.eigh(k)
-    order = np.argsort(values)[::-1][:n_comp]
-    values_top, u = np.clip(values[order], 0, None), basis[:, order]
-    flip = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-    scores = u * np.where(flip == 0, 1, flip) * np.sqrt(values_top)
-    return scores, values_top / max(np.clip(values, 0, None).sum(), 1e-300)
+    found, values, total = leading_directions(vectors, n_comp)
+    lengths = F.array(*[F.lit(float(np.sqrt(max(v, 0.0)))) for v in values]).cast("array<double>")
+    scores = found.select("i", F.zip_with("u", lengths, lambda x, s: x * s).alias("scores"))
+    return scores, [v / max(total, 1e-300) for v in values]
 
 
 def pca_table(vectors: DataFrame, samples: list[str], n_comp: int = 2) -> DataFrame:
-    scores, _ = pca_samples(vectors, n_comp)
-    rows = [(s, *[float(v) for v in row]) for s, row in zip(samples, scores)]
-    schema = "sample_id string, " + ", ".join(f"pc{i + 1} double" for i in range(scores.shape[1]))
-    return vectors.sparkSession.createDataFrame(rows, schema)
+    scores, ratio = pca_samples(vectors, n_comp)
+    names = vectors.sparkSession.createDataFrame(list(enumerate(samples)), "i long, sample_id string")
+    return names.join(scores, "i").select("sample_id", *[F.col("scores")[j].alias(f"pc{j + 1}") for j in range(len(ratio))])
 
 
 def batch_score(vectors: DataFrame) -> DataFrame:
     """Share of variance on the first component, 3 digits."""
     _, ratio = pca_samples(vectors, 1)
-    return vectors.sparkSession.createDataFrame([(round(float(ratio[0]), 3),)], "batch_score double")
+    return vectors.sparkSession.createDataFrame([(round(ratio[0], 3) if ratio else 0.0,)], "batch_score double")
 
 
 # --- PLS in sample space ---------------------------------------------------------

@@ -362,19 +362,47 @@ def module_hub_genes(spark, sf):
     return network.hub_genes(_unit(spark, sf), _labels(spark, sf), 6).withColumn("kim", R("kim"))
 
 
-@query("module_eigengenes")
+def _power(name, gram, keys="", steps=14):
+    """SQL for the leading eigenvector of each matrix (keys, i, j, g): squared until one direction is left."""
+    k = f"{keys}, " if keys else ""
+    on = f"a.{keys} = b.{keys} AND " if keys else ""
+    own = f"a.{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}" if keys else ""
+    out = [f"{name}0 AS MATERIALIZED (SELECT {k}i, j, g / max(abs(g)) OVER ({part}) AS g FROM {gram})"]
+    for t in range(1, steps + 1):
+        group = "1, 2, 3" if keys else "1, 2"
+        out.append(f"{name}s{t} AS MATERIALIZED (SELECT {own}a.i, b.j, sum(a.g * b.g) AS g FROM {name}{t - 1} a JOIN {name}{t - 1} b ON {on}a.j = b.i GROUP BY {group})")
+        out.append(f"{name}{t} AS MATERIALIZED (SELECT {k}i, j, g / max(abs(g)) OVER ({part}) AS g FROM {name}s{t})")
+    pick = f"SELECT {k}arg_max(j, g) AS j FROM {name}{steps} WHERE i = j" + (f" GROUP BY {keys}" if keys else "")
+    using = f"{k}j"
+    out.append(f"{name}c AS (SELECT {k}i, g FROM {name}{steps} JOIN ({pick}) USING ({using}))")
+    out.append(f"{name} AS MATERIALIZED (SELECT {k}i, g / sqrt(sum(g * g) OVER ({part})) AS u FROM {name}c)")
+    return ", ".join(out)
+
+
+_EIG = f"""{VEC}, lm AS (SELECT 'V' || vec_id AS feature_id, label AS module FROM embeddings WHERE label <> 0),
+  cen AS (SELECT feature_id, sample_id::INT AS i, value - avg(value) OVER (PARTITION BY feature_id) AS v FROM vecl),
+  gm AS MATERIALIZED (SELECT module, a.i, b.i AS j, sum(a.v * b.v) AS g FROM cen a JOIN cen b USING (feature_id) JOIN lm USING (feature_id) GROUP BY 1, 2, 3), {_power("em", "gm", "module")},
+  km AS (SELECT feature_id, lm.module, corr(v, u) AS k FROM cen JOIN lm USING (feature_id) JOIN em ON em.module = lm.module AND em.i = cen.i GROUP BY 1, 2),
+  sg AS (SELECT module, CASE WHEN avg(k) < 0 THEN -1 ELSE 1 END AS s FROM km GROUP BY 1)"""
+
+
+@query("module_eigengenes", f"WITH {_EIG} SELECT module, list(round(s * u, 6) ORDER BY i) AS vec FROM em JOIN sg USING (module) GROUP BY 1")
 def module_eigengenes(spark, sf):
     eig = network.eigengenes(vectors(spark, sf), _labels(spark, sf))
     return eig.select("module", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
 
 
-@query("module_membership")
+@query("module_membership", f"WITH {_EIG} SELECT feature_id, module, round(s * k, 6) AS kme FROM km JOIN sg USING (module)")
 def module_membership(spark, sf):
     v, lab = settle(vectors(spark, sf)), _labels(spark, sf)
     return network.membership(v, lab, network.eigengenes(v, lab)).withColumn("kme", R("kme"))
 
 
-@query("module_trait_correlation")
+@query("module_trait_correlation", f"""WITH {_EIG}, tr AS (SELECT 'V' || vec_id AS trait FROM embeddings WHERE label = 0),
+  pr AS (SELECT module, trait, any_value(s) * corr(u, v) AS r, count(*) AS n FROM em JOIN sg USING (module) JOIN cen USING (i) JOIN tr ON trait = feature_id GROUP BY 1, 2),
+  pp AS (SELECT *, {_P()} AS p FROM pr), q AS ({sql_bh('pp', 'p')})
+  SELECT module, trait, round(r, 6) AS r, round(p, 6) AS p_value, round(q_raw, 6) AS q_value FROM q""")
 def module_trait_correlation(spark, sf):
     """Traits: the vectors of the unassigned label."""
     v, lab = settle(vectors(spark, sf)), _labels(spark, sf)
@@ -390,14 +418,30 @@ def sample_gram(spark, sf):
     return corr.gram(vectors(spark, sf)).withColumn("g", R("g"))
 
 
-@query("pca_samples")
+def _components(n, gram="g0"):
+    """Eigenvectors e1..en of a matrix in SQL, each taken out before the next; lambda in l1..ln."""
+    out = []
+    for c in range(1, n + 1):
+        out.append(_power(f"e{c}", gram))
+        out.append(f"l{c} AS MATERIALIZED (SELECT sum(a.u * g * b.u) AS l FROM {gram} JOIN e{c} a USING (i) JOIN e{c} b ON b.i = j)")
+        out.append(f"g{c} AS MATERIALIZED (SELECT i, j, g - l * a.u * b.u AS g FROM {gram} JOIN e{c} a USING (i) JOIN e{c} b ON b.i = j, l{c})")
+        gram = f"g{c}"
+    return ", ".join(out)
+
+
+_GRAM0 = f"""{VEC}, cen AS (SELECT feature_id, sample_id::INT AS i, value - avg(value) OVER (PARTITION BY feature_id) AS v FROM vecl),
+  g0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS g FROM cen a JOIN cen b USING (feature_id) GROUP BY 1, 2)"""
+_SCORE = ", ".join(f"round((SELECT CASE WHEN arg_max(u, abs(u)) < 0 THEN -1 ELSE 1 END FROM e{c}) * e{c}.u * sqrt((SELECT l FROM l{c})), 6) AS pc{c}" for c in (1, 2, 3))
+
+
+@query("pca_samples", f"WITH {_GRAM0}, {_components(3)} SELECT e1.i::VARCHAR AS sample_id, {_SCORE} FROM e1 JOIN e2 USING (i) JOIN e3 USING (i)")
 def pca_samples(spark, sf):
     n = vectors(spark, sf).select(F.max(F.size("vec"))).first()[0]
     t = latent.pca_table(vectors(spark, sf), [str(i) for i in range(n)], 3)
     return t.select("sample_id", *[R(c).alias(c) for c in ("pc1", "pc2", "pc3")])
 
 
-@query("batch_score")
+@query("batch_score", f"WITH {_GRAM0}, {_components(1)} SELECT round((SELECT l FROM l1) / sum(g), 3) AS batch_score FROM g0 WHERE i = j")
 def batch_score(spark, sf):
     return latent.batch_score(vectors(spark, sf))
 

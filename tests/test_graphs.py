@@ -131,7 +131,8 @@ def test_communities_split_two_cliques(spark):
 
 def test_pca_matches_svd(spark):
     x = np.random.default_rng(7).normal(size=(40, 9))
-    scores, ratio = latent.pca_samples(vecs(spark, x), 3)
+    found, ratio = latent.pca_samples(vecs(spark, x), 3)
+    scores = np.array([r.scores for r in found.orderBy("i").collect()])
     c = (x - x.mean(axis=1, keepdims=True)).T
     u, s, _ = np.linalg.svd(c, full_matrices=False)
     assert np.allclose(np.abs(scores), np.abs(u[:, :3] * s[:3]), atol=1e-8)
