@@ -362,7 +362,7 @@ def module_hub_genes(spark, sf):
     return network.hub_genes(_unit(spark, sf), _labels(spark, sf), 6).withColumn("kim", R("kim"))
 
 
-def _power(name, gram, keys="", steps=14):
+def _power(name, gram, keys="", steps=14, pick=None):
     """SQL for the leading eigenvector of each matrix (keys, i, j, g): squared until one direction is left."""
     k = f"{keys}, " if keys else ""
     on = f"a.{keys} = b.{keys} AND " if keys else ""
@@ -373,7 +373,7 @@ def _power(name, gram, keys="", steps=14):
         group = "1, 2, 3" if keys else "1, 2"
         out.append(f"{name}s{t} AS MATERIALIZED (SELECT {own}a.i, b.j, sum(a.g * b.g) AS g FROM {name}{t - 1} a JOIN {name}{t - 1} b ON {on}a.j = b.i GROUP BY {group})")
         out.append(f"{name}{t} AS MATERIALIZED (SELECT {k}i, j, g / max(abs(g)) OVER ({part}) AS g FROM {name}s{t})")
-    pick = f"SELECT {k}arg_max(j, g) AS j FROM {name}{steps} WHERE i = j" + (f" GROUP BY {keys}" if keys else "")
+    pick = pick or f"SELECT {k}arg_max(j, g) AS j FROM {name}{steps} WHERE i = j" + (f" GROUP BY {keys}" if keys else "")
     using = f"{k}j"
     out.append(f"{name}c AS (SELECT {k}i, g FROM {name}{steps} JOIN ({pick}) USING ({using}))")
     out.append(f"{name} AS MATERIALIZED (SELECT {k}i, g / sqrt(sum(g * g) OVER ({part})) AS u FROM {name}c)")
@@ -446,6 +446,47 @@ def batch_score(spark, sf):
     return latent.batch_score(vectors(spark, sf))
 
 
+_FOLDS = 5
+
+
+def _pls_sql(comps, folds):
+    """PLS of the two blocks in SQL for every fold (fold -1: all samples), by inner products of samples.
+
+    Scores t, weights u (over samples) and wn of each component as t1.., u1.., n1..;
+    xc and yc are the blocks around the training means. ``folds``: SQL rows (fold, i, train).
+    """
+    tr = "fd.train"
+    out = [f"""{_TWO}, fd AS MATERIALIZED ({folds}), st AS (SELECT feature_id AS f, label < 5 AS is_x, sample_id::INT AS i,
+    (z - avg(z) OVER w) / CASE WHEN stddev_samp(z) OVER w < 1e-10 THEN 1 ELSE stddev_samp(z) OVER w END AS v FROM unit JOIN lab USING (feature_id) WINDOW w AS (PARTITION BY feature_id)),
+  bc AS MATERIALIZED (SELECT fold, f, is_x, i, train, v - avg(v) FILTER (train) OVER (PARTITION BY fold, f) AS v FROM st JOIN fd USING (i)),
+  kk AS MATERIALIZED (SELECT a.fold, a.is_x, a.i, b.i AS j, any_value(a.train) AS ti, any_value(b.train) AS tj, sum(a.v * b.v) AS g FROM bc a JOIN bc b USING (fold, f) GROUP BY 1, 2, 3, 4),
+  x0 AS (SELECT * FROM kk WHERE is_x), y0 AS (SELECT * FROM kk WHERE NOT is_x)"""]
+    for c in range(1, comps + 1):
+        x, y = f"x{c - 1}", f"y{c - 1}"
+        out.append(f"m{c} AS MATERIALIZED (SELECT a.fold, a.i, b.j, sum(a.g * b.g) AS g FROM {x} a JOIN {y} b ON a.fold = b.fold AND a.j = b.i WHERE a.ti AND a.tj AND b.tj GROUP BY 1, 2, 3)")
+        out.append(_power(f"d{c}", f"m{c}", "fold", pick=f"SELECT fold, arg_max(i, g) AS j FROM {y} WHERE i = j AND ti GROUP BY fold"))
+        out.append(f"v{c} AS (SELECT k.fold, k.i, sum(k.g * d.u) AS u FROM {y} k JOIN d{c} d ON d.fold = k.fold AND d.i = k.j WHERE k.ti AND k.tj GROUP BY 1, 2)")
+        out.append(f"u{c} AS MATERIALIZED (SELECT fold, i, u / sqrt(sum(u * u) OVER (PARTITION BY fold)) AS u FROM v{c})")
+        out.append(f"n{c} AS MATERIALIZED (SELECT k.fold, sqrt(sum(a.u * k.g * b.u)) AS wn FROM {x} k JOIN u{c} a ON a.fold = k.fold AND a.i = k.i JOIN u{c} b ON b.fold = k.fold AND b.i = k.j GROUP BY 1)")
+        out.append(f"r{c} AS MATERIALIZED (SELECT k.fold, k.i, any_value(k.ti) AS train, sum(k.g * b.u) / any_value(wn) AS t FROM {x} k JOIN u{c} b ON b.fold = k.fold AND b.i = k.j JOIN n{c} n ON n.fold = k.fold GROUP BY 1, 2)")
+        out.append(f"t{c} AS MATERIALIZED (SELECT *, sum(t * t) FILTER (train) OVER (PARTITION BY fold) AS tt FROM r{c})")
+        for z in "xy":
+            k = f"{z}{c - 1}"
+            out.append(f"s{z}{c} AS MATERIALIZED (SELECT k.fold, k.i, sum(k.g * t) / any_value(tt) AS s FROM {k} k JOIN t{c} b ON b.fold = k.fold AND b.i = k.j WHERE train GROUP BY 1, 2)")
+            out.append(f"p{z}{c} AS MATERIALIZED (SELECT fold, sum(t * s) / any_value(tt) AS pp FROM t{c} JOIN s{z}{c} USING (fold, i) WHERE train GROUP BY 1)")
+            out.append(f"""{z}{c} AS MATERIALIZED (SELECT k.fold, k.i, k.j, k.ti, k.tj, g - b.t * sa.s - a.t * sb.s + a.t * b.t * pp AS g FROM {k} k JOIN t{c} a ON a.fold = k.fold AND a.i = k.i
+      JOIN t{c} b ON b.fold = k.fold AND b.i = k.j JOIN s{z}{c} sa ON sa.fold = k.fold AND sa.i = k.i JOIN s{z}{c} sb ON sb.fold = k.fold AND sb.i = k.j JOIN p{z}{c} p ON p.fold = k.fold)""")
+    return ", ".join(out)
+
+
+def _fold_rows(n=64):
+    """(fold, sample, in training) of the seeded folds for the samples of the tables."""
+    rows = [(-1, i, True) for i in range(n)]
+    for k, test in enumerate(latent._folds(n, _FOLDS, 42)):
+        rows += [(k, i, i not in set(test.tolist())) for i in range(n)]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({f}, {i}, {str(t).lower()})" for f, i, t in rows) + ") fd(fold, i, train)"
+
+
 def _joint(spark, sf, **kw):
     a, b = _two_blocks(spark, sf)
     as_vec = lambda d: d.select("feature_id", F.col("z").alias("vec"))
@@ -457,7 +498,27 @@ def joint_pls_summary(spark, sf):
     return _joint(spark, sf)["summary"]
 
 
-@query("joint_pls_variables")
+_PRESS = """SELECT c.fold, {c} AS n_comp, sum((v - {fit}) ^ 2) AS press FROM bc c {joins} WHERE NOT is_x AND (fold < 0 OR NOT c.train) GROUP BY 1"""
+_SLOPES = ", ".join(f"q{c} AS MATERIALIZED (SELECT bc.fold, f, sum(v * t) / any_value(tt) AS b FROM bc JOIN t{c} t ON t.fold = bc.fold AND t.i = bc.i WHERE NOT is_x AND bc.train GROUP BY 1, 2)" for c in (1, 2))
+_JOIN = lambda c: f"JOIN q{c} ON q{c}.fold = c.fold AND q{c}.f = c.f JOIN t{c} ON t{c}.fold = c.fold AND t{c}.i = c.i"
+
+
+@query("pls_fold_press", f"""WITH {_pls_sql(2, _fold_rows())}, {_SLOPES},
+  pr1 AS ({_PRESS.format(c=1, fit="t1.t * q1.b", joins=_JOIN(1)).replace("(fold < 0", "(c.fold < 0")}),
+  pr2 AS ({_PRESS.format(c=2, fit="t1.t * q1.b - t2.t * q2.b", joins=_JOIN(1) + " " + _JOIN(2)).replace("(fold < 0", "(c.fold < 0")})
+  SELECT fold, n_comp, round(press, 4) AS press FROM pr1 UNION ALL SELECT fold, n_comp, round(press, 4) FROM pr2""")
+def pls_fold_press(spark, sf):
+    """Squared prediction errors of each fold with one and two components; fold -1: of the fit to all samples."""
+    xs, ys = (latent.standardise_vectors(d.select("feature_id", F.col("z").alias("vec"))) for d in _two_blocks(spark, sf))
+    n = ys.agg(F.max(F.size("vec"))).first()[0]
+    return latent.fold_states(settle(xs), settle(ys), 2, latent._folds(n, _FOLDS, 42)).select("fold", "n_comp", R("press", 4).alias("press"))
+
+
+@query("joint_pls_variables", f"""WITH {_pls_sql(2, "SELECT -1 AS fold, range AS i, true AS train FROM range(64)")},
+  ld AS (SELECT f, sum(v * t) / any_value(tt) AS loading, any_value(tt) AS tt1, sum(v * u) / any_value(wn) AS w1 FROM bc JOIN t1 USING (i) JOIN u1 USING (i), n1 WHERE is_x GROUP BY 1),
+  w2 AS (SELECT f, sum((v - t1.t * loading) * u) / any_value(wn) AS w2, any_value(t2.tt) AS tt2 FROM bc JOIN ld USING (f) JOIN t1 USING (i) JOIN t2 USING (i) JOIN u2 USING (i), n2 WHERE is_x GROUP BY 1)
+  SELECT f AS feature_id, round(loading, 6) AS loading, round(sqrt((SELECT count(*) FROM ld) * (w1 * w1 * tt1 + w2 * w2 * tt2) / (tt1 + tt2)), 6) AS vip
+  FROM ld JOIN w2 USING (f) ORDER BY abs(loading) DESC, f LIMIT 30""")
 def joint_pls_variables(spark, sf):
     out = latent.top_loadings(_joint(spark, sf, n_joint=2)["x_variables"], 30)
     return out.select("feature_id", R("loading").alias("loading"), R("vip").alias("vip"))
