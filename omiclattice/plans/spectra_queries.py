@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from omiclattice.functions.materialise import settle
+from omiclattice.functions.materialise import settle, shared_dir
 from omiclattice.operators import spectra as sp
 from omiclattice.plans.matrix_queries import R
 from omiclattice.plans.registry import query
@@ -215,7 +217,7 @@ def _record_lines(spark, sf, sep):
     line = lambda m, i: F.concat(F.format_string("%.4f", m), F.lit(sep), F.format_string("%.1f", i))
     return li.select(
         F.concat_ws("-", F.lit("S"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("title"),
-        F.format_string("%.4f", F.round(120 + (F.col("l_extendedprice") * 7) % 300, 4)).alias("pm"), "l_returnflag",
+        F.format_string("%.4f", F.round(120 + (F.col("l_extendedprice") * 7) % 300, 4)).alias("pm"), "l_returnflag", "l_orderkey", "l_extendedprice",
         F.concat(line(mz, F.col("l_quantity")), F.lit("\n"), line(mz + 1.5, F.lit(7.0))).alias("body"),
     )
 
@@ -269,6 +271,56 @@ def parse_fragment_rows(spark, sf):
     return spectra.join(n, "scan_id").select("scan_id", "precursor_mz", "polarity", "n_peaks")
 
 
+# --- the same records written to files and read back by byte range ---------------
+def _folder(spark):
+    return f"{shared_dir(spark)}/omiclattice/files-{uuid.uuid4().hex}"
+
+
+def _mixed_ends(text):
+    """Every other order with carriage returns, every third with markers in small letters."""
+    ends = F.when(F.col("l_orderkey") % 2 == 0, F.regexp_replace(text, "\n", "\r\n")).otherwise(text)
+    return F.when(F.col("l_orderkey") % 3 == 0, F.regexp_replace(F.regexp_replace(ends, "BEGIN IONS", "begin ions"), "END IONS", "end ions")).otherwise(ends)
+
+
+@query("spectra_files_mgf", _PARSED.format(extra="CASE l_returnflag WHEN 'A' THEN 'positive' ELSE 'negative' END AS polarity, CASE l_returnflag WHEN 'R' THEN 2 END AS precursor_charge"))
+def spectra_files_mgf(spark, sf):
+    r = _record_lines(spark, sf, " ")
+    charge = F.when(F.col("l_returnflag") == "A", "1+").when(F.col("l_returnflag") == "R", "2").otherwise("1-")
+    text = F.concat(
+        F.lit("BEGIN IONS\nTITLE="), "title", F.lit("\nPEPMASS="), "pm", F.lit(" 100.0\nCHARGE="), charge, F.lit("\n"), "body", F.lit("\nEND IONS"),
+    )
+    path = _folder(spark)
+    r.select(_mixed_ends(text).alias("value")).write.text(path)
+    got = src.load_spectra(spark, path, "mgf", split_bytes=1 << 20)
+    return _parsed(got, F.coalesce("polarity", F.lit("negative")).alias("polarity"), "precursor_charge")
+
+
+@query("spectra_files_msp", _PARSED.format(extra="CASE l_returnflag WHEN 'A' THEN 'positive' ELSE 'negative' END AS polarity, '[M+H]+' AS adduct"))
+def spectra_files_msp(spark, sf):
+    r = _record_lines(spark, sf, "\t")
+    text = F.concat(
+        F.lit("Name: "), "title", F.lit("\nPrecursorMZ: "), "pm", F.lit("\nPrecursor_type: '[M+H]+'\nIon_mode: "),
+        F.when(F.col("l_returnflag") == "A", "P").otherwise("N"), F.lit("\nNum Peaks: 2\n"), "body", F.when(F.col("l_orderkey") % 5 == 0, "\n \t").otherwise("\n"),
+    )
+    path = _folder(spark)
+    r.select(_mixed_ends(text).alias("value")).write.text(path)
+    return _parsed(src.load_spectra(spark, path, "msp", split_bytes=1 << 20), "polarity", "adduct")
+
+
+@query("spectra_files_csv", _PARSED.replace("l_partkey)", "l_partkey, printf('%.2f', l_extendedprice))").format(extra="CASE l_returnflag WHEN 'A' THEN 'positive' WHEN 'R' THEN 'negative' END AS polarity"))
+def spectra_files_csv(spark, sf):
+    r = _record_lines(spark, sf, ",")
+    r = r.withColumn("title", F.concat_ws("-", "title", F.format_string("%.2f", "l_extendedprice")))  # one scan a line item
+    peaks = r.select("title", "pm", "l_returnflag", F.explode(F.split("body", "\n")).alias("line"))
+    rows = peaks.withColumn("peak", F.split("line", ",")).select(
+        F.col("peak")[0].alias("mz"), F.col("peak")[1].alias("intensity"), F.col("title").alias("scan_id"), F.col("pm").alias("precursor_mz"),
+        F.when(F.col("l_returnflag") == "A", "Positive").when(F.col("l_returnflag") == "R", "neg").otherwise("?").alias("polarity"),
+    )
+    path = _folder(spark)
+    rows.write.csv(path, header=True)
+    return _parsed(src.load_spectra(spark, path, split_bytes=1 << 20), "polarity")
+
+
 def _library_text(spark, sf):
     """One payload per order: an array of its record, every third one cut off."""
     o = table(spark, sf, "orders")
