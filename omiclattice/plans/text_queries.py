@@ -304,6 +304,27 @@ def session_snapshot(spark, sf):
     return spark.read.parquet(path).groupBy("session_id", "block").agg(F.count(F.lit(1)).alias("n"), R(F.sum("value"), 2).alias("total"))
 
 
+@query("upload_stream", """WITH u AS (SELECT 's' || (l_suppkey % 3) AS session_id, l_returnflag AS block, l_linenumber % 4 AS pos, l_quantity FROM lineitem
+    WHERE NOT (l_returnflag = 'A' AND l_linenumber % 4 = 3))
+  SELECT session_id, block, pos::BIGINT AS pos, count(*) AS n, sum(l_quantity) AS total FROM u
+  WHERE pos = (SELECT max(pos) FROM u v WHERE v.session_id = u.session_id AND v.block = u.block) GROUP BY 1, 2, 3""")
+def upload_stream(spark, sf):
+    """Four uploads of every block (block A has three) arrive one a batch, out of order: the newest of each stays."""
+    arrived, path = _scratch(spark, "arrived"), _scratch(spark, "uploads")
+    li = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("session_id"), F.col("l_returnflag").alias("block"),
+        F.col("l_partkey").cast("string").alias("feature_id"), F.col("l_orderkey").cast("string").alias("sample_id"),
+        F.col("l_quantity").alias("value"), (F.col("l_linenumber") % 4).cast("long").alias("pos"),
+    ).where("NOT (block = 'A' AND pos = 3)")
+    for k, pos in enumerate((1, 3, 2, 0)):
+        li.where(F.col("pos") == pos).write.parquet(f"{arrived}/batch={k}")
+        # one batch for each arrival; the progress of the stream is kept between them
+        stream = spark.readStream.schema(li.schema).option("basePath", arrived).parquet(f"{arrived}/batch=*")
+        ingest.start_upload_stream(stream.select(*li.columns), path, f"{path}-state").awaitTermination()
+    kept = spark.read.parquet(path)
+    return kept.groupBy("session_id", "block", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 # --- streams ----------------------------------------------------------------------------
 def _events(spark, sf):
     e = ingest.file_stream(spark, sf, "events", table(spark, sf, "events").schema)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from omiclattice.functions.materialise import shared_dir
+from omiclattice.functions.materialise import settle, shared_dir
 from omiclattice.sources.sinks import write_snapshot
 
 
@@ -47,15 +48,39 @@ def deduplicated(cells: DataFrame, ts: str, delay: str, keys: list[str]) -> Data
     return cells.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def stored_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(session_id, block, stored): the upload that each block of a snapshot comes from; None before the first."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND" or e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
+    return found.groupBy(F.col("session_id").cast("string").alias("session_id"), F.col("block").cast("string").alias("block")).agg(F.max("pos").alias("stored"))
+
+
+def merge_uploads(batch: DataFrame, path: str) -> None:
+    """Blocks of a batch replace older ones of the snapshot; an older upload that comes late changes nothing.
+
+    A block's rows keep the number ``pos`` of their upload, so versions and data
+    are written together: a batch that is run again writes the same blocks again.
+    """
+    newest = batch.groupBy("session_id", "block").agg(F.max("pos").alias("pos"))
+    stored = stored_versions(batch.sparkSession, path)
+    if stored is not None:
+        newest = newest.join(stored, ["session_id", "block"], "left").where("stored IS NULL OR pos >= stored").drop("stored")
+    won = settle(newest)  # read before its folder is written to
+    write_snapshot(batch.join(won, ["session_id", "block", "pos"]), path)
+
+
 def start_upload_stream(uploads: DataFrame, path: str, checkpoint: str):
-    """Merge uploads into a session snapshot: a block replaces its predecessor.
+    """Merge uploads into a session snapshot, whatever order and batches they come in: :func:`merge_uploads`.
 
-    ``uploads``: session_id, block, feature_id, sample_id, value, pos. Within
-    a batch the newest upload of a block wins.
+    ``uploads``: session_id, block, feature_id, sample_id, value, pos; the
+    upload with the highest ``pos`` is a block's newest.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("session_id", "block").agg(F.max("pos").alias("pos"))
-        write_snapshot(batch.join(newest, ["session_id", "block", "pos"]).drop("pos"), path)
+        merge_uploads(batch, path)
 
     return uploads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 

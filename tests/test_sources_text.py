@@ -78,6 +78,13 @@ def test_snapshot_stream_replaces_blocks(spark, tmp_path):
     ingest.start_upload_stream(stream(), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = {r.block: r.value for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"expr": 9.0, "metab": 2.0}
+    upload("expr", 5.0, 0), upload("metab", 4.0, 1), upload("new", 7.0, 0)  # older ones that come late
+    ingest.start_upload_stream(stream(), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.block: (r.value, r.pos) for r in kept.collect()} == {"expr": (9.0, 3), "metab": (2.0, 2), "new": (7.0, 0)}
+    again = spark.createDataFrame([("s", "expr", "g", "x", 9.0, 3)], schema)
+    ingest.merge_uploads(again, f"{tmp_path}/out")  # a batch that is run again
+    assert kept.sparkSession.read.parquet(f"{tmp_path}/out").where("block = 'expr'").count() == 1
 
 
 def test_safe_step_and_catalog(spark):
