@@ -12,7 +12,6 @@ PATH = tokens.tokenizer_path()
 
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t
 
 
