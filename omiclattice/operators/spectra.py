@@ -380,6 +380,37 @@ def annotate(spectra: DataFrame, peaks: DataFrame, classes: DataFrame, fragments
     )
 
 
+def target_markers(hits: DataFrame, markers: DataFrame, target: str = "") -> DataFrame:
+    """Marker hits with ``label`` and whether it names the ``target`` metabolite (any case; no target, no match)."""
+    match = F.contains(F.lower("label"), F.lit(target.lower())) if target else F.lit(False)
+    return hits.join(markers.select("name", "label"), "name").withColumn("target_match", match)
+
+
+def marker_names(annotated: DataFrame, hits: DataFrame, markers: DataFrame, classes: DataFrame) -> DataFrame:
+    """Annotated candidates with the names, formulas and masses of the markers seen in their scans.
+
+    ``markers`` has name (its key in ``hits``), label, formula, marker_mz and pos. A marker names
+    the candidates whose class contains its label (of a class without a name: whose known
+    metabolites do); of several the last by ``pos`` names, and the last that has one gives formula and
+    mass. Without a marker a candidate that fits its class mass has the class's formula and
+    mass. ``species_anchor`` tells the scans with any marker.
+    """
+    known = classes.select("class", F.col("formula").alias("_cf"), F.col("class_mass").alias("_cm"), F.lower(F.array_join("known_metabolites", " ")).alias("_known"))
+    seen = hits.select("scan_id", "name").join(markers.select("name", "label", F.col("formula").alias("_mf"), "marker_mz", "pos"), "name").drop("name")
+    text = F.when(F.coalesce("class", F.lit("")) != "", F.lower("class")).otherwise(F.col("_known"))
+    met = annotated.select("scan_id", "class").join(known, "class").join(seen, "scan_id").where(F.contains(text, F.lower("label")))
+    last = lambda c, has: F.max_by(c, F.when(has, F.col("pos")))
+    named = met.groupBy("scan_id", "class").agg(
+        F.max_by("label", "pos").alias("_label"), last("_mf", F.col("_mf") != "").alias("_lf"), last("marker_mz", F.col("marker_mz") > 0).alias("_lm"))
+    anchors = hits.select("scan_id").distinct().withColumn("_anchor", F.lit(True))
+    rows = annotated.join(known.drop("_known"), "class").join(named, ["scan_id", "class"], "left").join(anchors, "scan_id", "left")
+    fits = F.col("name").isNotNull()
+    return rows.withColumns({
+        "formula": F.coalesce("_lf", F.when(fits, F.col("_cf"))), "mass": F.coalesce("_lm", F.when(fits, F.col("_cm"))),
+        "name": F.coalesce("_label", "name"), "species_anchor": F.coalesce("_anchor", F.lit(False)),
+    }).drop("_cf", "_cm", "_label", "_lf", "_lm", "_anchor")
+
+
 def annotation_table(annotated: DataFrame) -> DataFrame:
     """Best class per scan, as written to the annotation file."""
     return annotated.where("rank = 1").drop("rank")

@@ -209,6 +209,44 @@ def marker_anchors(spark, sf):
     return sp.marker_hits(ions, markers, TOL).withColumn("ppm", R("ppm", 4))
 
 
+_MARK = f"""mk AS (SELECT p_partkey::VARCHAR AS name, substr(p_brand, 1, 1 + p_partkey % 8) AS label, CASE WHEN p_partkey % 3 > 0 THEN 'C' || p_size ELSE '' END AS formula,
+    round(120 + (p_partkey * 13.7::DOUBLE) % 300, 4) AS mz, p_partkey AS pos FROM part),
+  mh AS (SELECT DISTINCT scan_id, mk.name FROM im JOIN mk ON mz - {sp.PROTON!r} BETWEEN neutral_mass * (1 - 2.1e-5) AND neutral_mass * (1 + 2.1e-5)
+      WHERE abs(neutral_mass - (mz - {sp.PROTON!r})) / (mz - {sp.PROTON!r}) * 1e6 <= {TOL}
+    UNION SELECT scan_id, mk.name FROM im JOIN mk ON mz BETWEEN precursor_mz * (1 - 2.1e-5) AND precursor_mz * (1 + 2.1e-5)
+      WHERE NOT suffix(adduct, '2+') AND abs(precursor_mz - mz) / mz * 1e6 <= {TOL})"""
+
+
+def _labelled_markers(spark, sf):
+    """Parts as markers whose labels are beginnings of their brands."""
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        k.cast("string").alias("name"), F.col("p_brand").substr(F.lit(1), (1 + k % 8).cast("int")).alias("label"),
+        F.when(k % 3 > 0, F.concat(F.lit("C"), F.col("p_size").cast("string"))).otherwise("").alias("formula"),
+        F.round(120 + (k * F.lit(13.7)) % 300, 4).alias("marker_mz"), F.lit("[M+H]+").alias("marker_adduct"), k.alias("pos"),
+    )
+
+
+@query("marker_named_candidates", _ANN + f""", {_MARK}, nm AS (SELECT an.scan_id, an.class, arg_max(label, pos) AS label, arg_max(formula, pos) FILTER (formula <> '') AS lf, arg_max(mz, pos) AS lm
+    FROM an JOIN mh USING (scan_id) JOIN mk ON mk.name = mh.name WHERE rank <= 8 AND contains(lower(class), lower(mk.label)) GROUP BY 1, 2)
+  SELECT scan_id, class, rank, coalesce(label, CASE WHEN fit THEN class END) AS name, coalesce(lf, CASE WHEN fit THEN 'F' || class END) AS formula,
+    round(coalesce(lm, CASE WHEN fit THEN class_mass END), 4) AS mass, scan_id IN (SELECT scan_id FROM mh) AS species_anchor FROM an LEFT JOIN nm USING (scan_id, class) WHERE rank <= 8""")
+def marker_named_candidates(spark, sf):
+    cls, frag, loss = rules_view(spark, sf)
+    spec, markers = spectra_view(spark, sf), _labelled_markers(spark, sf)
+    hits = settle(sp.marker_hits(settle(sp.infer_adducts(spec, TOL)), markers, TOL))
+    got = sp.marker_names(settle(_annotated(spark, sf)), hits, markers, cls.withColumn("formula", F.concat(F.lit("F"), "class")))
+    return got.select("scan_id", "class", "rank", "name", "formula", R("mass", 4).alias("mass"), "species_anchor")
+
+
+@query("target_markers", f"""WITH {_SPEC}, {_COMP}, {_ION}, im AS (SELECT *, {_neutral('precursor_mz', 'adduct')} AS neutral_mass FROM ion), {_MARK}
+  SELECT scan_id, name, label, contains(lower(label), 'brand#2') AS target_match FROM mh JOIN mk USING (name)""")
+def target_markers(spark, sf):
+    markers = _labelled_markers(spark, sf)
+    hits = sp.marker_hits(settle(sp.infer_adducts(spectra_view(spark, sf), TOL)), markers, TOL)
+    return sp.target_markers(hits, markers, "Brand#2").select("scan_id", "name", "label", "target_match")
+
+
 # --- text formats: one record per line item, written as text and parsed back ------
 def _record_lines(spark, sf, sep):
     """Header fields and two peak lines per record."""

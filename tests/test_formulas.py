@@ -63,3 +63,16 @@ def test_no_table_of_whole_compositions(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], "neutral double")
     assert sp.formula_hits(none, 5.0).count() == 0 and sp.clean_masses(none, 5.0).count() == 0
+
+
+def test_markers_name_candidates(spark):
+    ann = spark.createDataFrame([("s", "flavonol", 1, "class name"), ("s", "", 2, None), ("t", "flavonol", 1, "class name"), ("u", "flavonol", 1, None)], "scan_id string, class string, rank int, name string")
+    cls = spark.createDataFrame([("flavonol", "CF", 302.0, ["x"]), ("", "CE", 9.0, ["Some Rutin here"])], "class string, formula string, class_mass double, known_metabolites array<string>")
+    markers = spark.createDataFrame([("1", "Flavo", "F1", 300.0, 1), ("2", "NOL", "", 301.0, 2), ("3", "rutin", "F3", 0.0, 3)], "name string, label string, formula string, marker_mz double, pos int")
+    hits = spark.createDataFrame([("s", "1"), ("s", "2"), ("s", "3"), ("u", "3")], "scan_id string, name string")
+    got = {(r.scan_id, r["class"]): (r.name, r.formula, r.mass, r.species_anchor) for r in sp.marker_names(ann, hits, markers, cls).collect()}
+    assert got == {
+        ("s", "flavonol"): ("NOL", "F1", 301.0, True), ("s", ""): ("rutin", "F3", None, True),
+        ("t", "flavonol"): ("class name", "CF", 302.0, False), ("u", "flavonol"): (None, None, None, True)}
+    flags = lambda target: {r.label for r in sp.target_markers(hits, markers, target).where("target_match").collect()}
+    assert flags("RUT") == {"rutin"} and flags("") == set()
