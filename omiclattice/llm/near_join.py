@@ -10,11 +10,17 @@ One tree over all documents would be searched almost whole, since large texts
 have similar counts. Trees are therefore built per bucket. Buckets lose no pair:
 sets at Jaccard >= t differ in at most d shingles, d known from their sizes,
 so of more than d non-empty groups at least one is the same in both, and equal
-groups meet on a key. In each bucket a tree finds the pairs that their points
-allow; what hangs together by such pairs is a block, whose texts are gathered
-and searched by a tree again, now with verification. Of equal sets, one
-takes part. Buckets and blocks above a size are searched in tiles: tiles with
-a common pivot first, then only the tile pairs that still hold unlinked parts.
+groups meet on a key. What hangs together by pairs that the points of 256
+coordinates allow is a block; blocks with large sets are split again by points
+with about a coordinate a shingle. Only then are the texts of what is left
+gathered and searched by a tree with verification. Buckets and blocks above a
+size are searched in tiles: tiles with a common pivot first, then the tile
+pairs that still hold unlinked parts, to which only texts go that their points
+allow to link with one of the other tile.
+
+Everything up to the components is keyed by the set (64 bits of its signature),
+not by document: equal sets take part once, and a document with several texts
+brings each. Equal sets themselves are told by 128 bits.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,12 +36,14 @@ from omiclattice.llm import words
 from omiclattice.llm.graph import components
 from omiclattice.llm.storage import picked, settle
 
-#: Coordinates of a point: with few, large sets of one size could not be told apart.
+#: Coordinates of a point; sets of twice as many shingles also have a point with a coordinate for one or two shingles.
 GROUPS = 256
 #: Points in a leaf.
 LEAF = 16
-#: In a tile, on average: shingles of sets, and points where only these are compared.
-TILE, POINTS = 1 << 18, 4096
+#: In a tile, on average: shingles of sets, and points and their coordinates where only these are compared.
+TILE, POINTS, COORDINATES = 1 << 18, 4096, 1 << 21
+#: Bits of the filter that tells which texts are needed: 4 MB in each task, whatever the input.
+MEMBERS = 1 << 25
 
 _K = words.mix(np.arange(1, 65, dtype=np.uint64))  # factors of the hashes below
 
@@ -102,19 +111,24 @@ def meeting_keys(s: np.ndarray, percent: int, classes: tuple[np.ndarray, np.ndar
     return np.concatenate(out)
 
 
+def name_of(s: np.ndarray) -> np.uint64:
+    """The set's name: the first half of its signature."""
+    return words.mix(s).sum(dtype=np.uint64)
+
+
 def meetings(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(bucket, doc): documents that share a key; buckets of the same documents are one."""
+    """(bucket, doc): sets, by name, that share a key; buckets of the same sets are one."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bounds = size_classes(percent), {}
         for rows, buf, offs in words.chunks(batches, text, 1 << 20):
-            ids = rows.column(doc_id).to_numpy(zero_copy_only=False)
-            sets = list(shingle_sets(buf, offs, size))
-            first, found = {}, []
-            for i, s in zip(ids, sets):  # equal sets are linked by their signatures: one of them brings keys
-                whole = words.mix(s).sum(dtype=np.uint64), len(s)
-                found.append(np.zeros(0, np.uint64) if first.setdefault(whole, i) != i else meeting_keys(s, percent, classes, bounds))
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(found).view(np.int64), "doc": np.repeat(ids, [len(x) for x in found]).astype(np.int64)})
+            found = {}  # equal sets are one
+            for x in shingle_sets(buf, offs, size):
+                if len(x) and (name := name_of(x)) not in found:
+                    found[name] = meeting_keys(x, percent, classes, bounds)
+            names, own = np.array(list(found), np.uint64), list(found.values())
+            key = np.concatenate(own) if own else names
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "doc": np.repeat(names, [len(x) for x in own]).view(np.int64)})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -138,10 +152,23 @@ def meetings(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -
     return named.mapInArrow(keys, "key long, doc long").repartition("key").mapInArrow(meet, "bucket long, doc long").distinct()
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Sizes of the set's groups by hash range."""
-    edges = np.array([(i << 64) // GROUPS for i in range(1, GROUPS)], np.uint64)
-    return np.diff(np.r_[0, np.searchsorted(s, edges), len(s)])
+def point(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Sizes of the set's groups by hash range; ``groups`` is a power of two."""
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine(n: int) -> int:
+    """Coordinates of the fine point of a set of ``n`` shingles."""
+    return max(GROUPS, 1 << n.bit_length() >> 1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    width = next(w for w in (1, 2, 4) if x.max() < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1)
 
 
 class Tree:
@@ -168,17 +195,20 @@ class Tree:
         return at
 
 
-def links_of(points: np.ndarray, label: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links that join labels: of all pairs that the points allow, or that the ``sets`` confirm. Pairs of one label are left out."""
+def near_pairs(points: np.ndarray, label: np.ndarray, rows: np.ndarray, lowest: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v): all pairs of ``rows`` that the points allow, a leaf pair at a time; pairs of one ``label`` and those without a ``lowest`` row are left out.
+
+    The caller may merge labels on the way.
+    """
     sizes = points.sum(1)
-    tree, label, out = Tree(points, sizes), label.copy(), []
+    tree = Tree(points, sizes)
     order = tree.order
 
     def far(overlap, a, b):
         return (100 + percent) * overlap < percent * (a + b)
 
     def whole(n):
-        own = label[order[n[3]:n[4]]]
+        own = label[rows[order[n[3]:n[4]]]]
         return own[0] if (own == own[0]).all() else None
 
     stack = [(0, 0)]
@@ -199,64 +229,119 @@ def links_of(points: np.ndarray, label: np.ndarray, percent: int, sets: list[np.
                 stack += [(i, k) for k in y[5]]
             continue
         left, right = order[x[3]:x[4]], order[y[3]:y[4]]
-        bound = np.minimum(points[left][:, None], points[right][None]).sum(2)
-        near = ~far(bound, sizes[left][:, None], sizes[right][None]) & (label[left][:, None] != label[right][None])
-        for p, q in zip(*np.nonzero(near)):
-            u, v = left[p], right[q]
-            if label[u] == label[v]:
-                continue
-            if sets is None or not far(len(np.intersect1d(sets[u], sets[v], assume_unique=True)), len(sets[u]), len(sets[v])):
-                out.append((int(u), int(v)))
-                label[label == label[v]] = label[u]
+        other = points[right]
+        bound = np.array([np.minimum(points[p], other).sum(1) for p in left])
+        near = ~far(bound, sizes[left][:, None], sizes[right][None]) & (label[rows[left]][:, None] != label[rows[right]][None])
+        p, q = np.nonzero(near & (lowest[left][:, None] | lowest[right][None]))
+        if len(p):
+            yield rows[left[p]], rows[right[q]]
+
+
+def levels(vectors: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(points, rows, lowest): each pair of sizes that may link meets once, at the coordinates of its smaller set."""
+    width = np.array([len(x) for x in vectors])
+    reach = 1 << max(0, int(np.ceil(np.log2(100 / percent))))
+    for w in np.unique(width):
+        rows = np.flatnonzero((width >= w) & (width <= w * reach))
+        if len(rows) > 1:
+            yield np.array([vectors[i].reshape(w, -1).sum(1) for i in rows], np.int32), rows, width[rows] == w
+
+
+def links_of(vectors: list[np.ndarray], label: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that join labels: of all pairs that the points allow, or that the ``sets`` confirm."""
+    label, out = label.copy(), []
+    for points, rows, lowest in levels(vectors, percent):
+        for us, vs in near_pairs(points, label, rows, lowest, percent):
+            for u, v in zip(us, vs):
+                if label[u] == label[v]:
+                    continue
+                n = 0 if sets is None else len(sets[u]) + len(sets[v])
+                if sets is None or (100 + percent) * len(np.intersect1d(sets[u], sets[v], assume_unique=True)) >= percent * n:
+                    out.append((int(u), int(v)))
+                    label[label == label[v]] = label[u]
     return out
 
 
+def wanted(vectors: list[np.ndarray], label: np.ndarray, tile: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows may link with one of another label and tile."""
+    keep = np.zeros(len(label), bool)
+    for points, rows, lowest in levels(vectors, percent):
+        for u, v in near_pairs(points, label, rows, lowest, percent):
+            apart = tile[u] != tile[v]
+            keep[u[apart]] = keep[v[apart]] = True
+    return keep
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """(key, columns) of each run of rows with equal keys that has more than one row."""
+    rows, name = {k: [] for k in names}, None
+    for batch in batches:
+        cols = {k: batch.column(k).to_pylist() for k in names}
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+            if key != name:
+                if len(rows[names[0]]) > 1:
+                    yield name, rows
+                rows, name = {k: [] for k in names}, key
+            for k in names:
+                rows[k].append(cols[k][i])
+    if len(rows[names[0]]) > 1:
+        yield name, rows
+
+
+def _dealt(tiles: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return tiles.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, "doc")
+
+
 def _search(tiles: DataFrame, keys: list[str], size: int, percent: int, held: str) -> DataFrame:
     """Links (a, b) inside each tile of (keys, doc, label, held): ``held`` is ``point`` or ``text``; ``label`` says what is linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(rows):
-            docs, sets = np.array(rows["doc"]), None
+        for _, rows in _tiles(batches, keys, ["doc", "label", held]):
+            docs, label, sets = np.array(rows["doc"]), np.unique(rows["label"], return_inverse=True)[1], None
             if held == "text":
                 buf, offs = words.buffers(pa.array(rows["text"], pa.large_string()))
                 sets = list(shingle_sets(buf, offs, size))
-                points = np.array([point(s) for s in sets], np.int32)
+                # rows of the same doc_id may hold another text, or the same one again
+                own = {int(x): i for i, x in enumerate(docs) if len(sets[i]) and name_of(sets[i]).astype(np.int64) == x}
+                mine = list(own.values())
+                docs, label, sets = docs[mine], label[mine], [sets[i] for i in mine]
+                vectors = [point(s, fine(len(s))) for s in sets]
             else:
-                points = np.array([np.frombuffer(x, f"<u{len(x) // GROUPS}") for x in rows["point"]], np.int32)
-            found = links_of(points, np.unique(rows["label"], return_inverse=True)[1], percent, sets)
-            a, b = (docs[[p[i] for p in found]].astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-        rows, name = {"doc": [], "label": [], held: []}, None
-        for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in rows}
-            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
-                if key != name:
-                    if len(rows["doc"]) > 1:
-                        yield tile(rows)
-                    rows, name = {k: [] for k in rows}, key
-                for k in rows:
-                    rows[k].append(cols[k][i])
-        if len(rows["doc"]) > 1:
-            yield tile(rows)
-
-    dealt = tiles.select(*keys, "doc", "label", held).repartition(*keys).sortWithinPartitions(*keys, "doc")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _joined(groups: DataFrame, holding: DataFrame, held: str, weight, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join all linked documents of each group of (group, doc, n); ``holding`` has (doc, held).
+                vectors = [unpacked(x) for x in rows[held]]
+            found = links_of(vectors, label, percent, sets)
+            if found:
+                a, b = (docs[[p[i] for p in found]].astype(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return _dealt(tiles, keys, ["doc", "label", held]).mapInArrow(run, "a long, b long")
+
+
+def _wanted(tiles: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """The rows (keys, doc, label) of tile pairs (keys, doc, label, tile, point) that may link across."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _tiles(batches, keys, ["doc", "label", "tile", "point"]):
+            label = np.unique(rows["label"], return_inverse=True)[1]
+            keep = np.flatnonzero(wanted([unpacked(x) for x in rows["point"]], label, np.array(rows["tile"]), percent))
+            if len(keep):
+                cols = {k: pa.array(np.full(len(keep), v, np.int64)) for k, v in zip(keys, key)}
+                yield pa.RecordBatch.from_pydict(cols | {k: pa.array(np.array(rows[k], np.int64)[keep]) for k in ("doc", "label")})
+
+    return _dealt(tiles, keys, ["doc", "label", "tile", "point"]).mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "doc", "label"]))
+
+
+def _joined(groups: DataFrame, holding: DataFrame, held: str, weight, size: int, percent: int, points: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join all linked sets of each group of (group, doc, ...); ``holding`` has (doc, held).
 
     A group of more than one tile (``weight`` tiles) meets in tiles that share a
-    pivot; tiles with parts not linked by then meet two by two.
+    pivot; tiles with parts not linked by then meet two by two, by ``points`` first if given.
     """
     total = groups.groupBy("group").agg(F.ceil(weight).cast("int").alias("tiles"), F.min("doc").alias("pivot"), F.count("*").alias("docs"))
     rows = groups.select("group", "doc").join(total.where("docs > 1").drop("docs"), "group")
     rows = settle(rows.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")).withColumn("label", F.col("doc")))
     pivots = rows.where("tiles > 1 and doc = pivot").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     firsts = rows.where("tiles = 1 or doc <> pivot").unionByName(pivots)
-    full = settle(firsts.join(holding, "doc").select("group", "tile", "tiles", "doc", "label", held))
-    links = settle(_search(full, ["group", "tile"], size, percent, held))
+    links = settle(_search(firsts.join(holding, "doc"), ["group", "tile"], size, percent, held))
     large = rows.where("tiles > 1")
     if not large.limit(1).count():
         return links
@@ -265,44 +350,92 @@ def _joined(groups: DataFrame, holding: DataFrame, held: str, weight, size: int,
     apart = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
     rest = settle(labelled.join(apart, "group", "left_semi"))
     pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
-    pairs = pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    own = full.where("tiles > 1").select("group", "tile", "doc", held)
-    return settle(links.union(_search(pairs.join(own, ["group", "tile", "doc"]), ["group", "i", "j"], size, percent, held)))
+    pairs = pairs.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc", "label", "tile")
+    keys = ["group", "i", "j"]
+    if points is not None:
+        pairs = settle(_wanted(pairs.join(points, "doc"), keys, percent))
+    return settle(links.union(_search(pairs.join(holding, "doc"), keys, size, percent, held)))
+
+
+def _members(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, ...) whose id may be among ``ids`` (doc_id): a bitmap of fixed size, so that other texts are not shuffled."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MEMBERS))
+    held = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits")).toArrow()
+    bits = np.zeros(MEMBERS >> 6, np.int64)
+    bits[held["w"].to_numpy()] = held["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def member(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.where(member(place))
 
 
 def signatures(docs: DataFrame, size: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, sig, point) of every row; equal signatures (128 bits) mean equal sets."""
+    """(doc_id, n_shingles, name, rest, point, fine) of every row; equal name and rest (128 bits) mean equal sets. ``fine`` is null where it equals ``point``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offs in words.chunks(batches, text):
-            n, sig, points = [], [], []
+            n, name, rest, points, finer = [], [], [], [], []
             for s in shingle_sets(buf, offs, size):
                 m = words.mix(s)
                 n.append(len(s))
-                x = point(s)
-                points.append(x.astype(next(t for t in ("<u1", "<u2", "<u4") if x.max() <= np.iinfo(t).max)).tobytes())
-                sig.append(np.array([m.sum(dtype=np.uint64), words.mix(m).sum(dtype=np.uint64)], "<u8").tobytes())
+                points.append(packed(point(s)))
+                finer.append(packed(point(s, fine(len(s)))) if fine(len(s)) > GROUPS else None)
+                name.append(m.sum(dtype=np.uint64))
+                rest.append(words.mix(m).sum(dtype=np.uint64))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "point": pa.array(points, pa.binary())})
+                "doc_id": rows.column(doc_id).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()),
+                "name": np.array(name, np.uint64).view(np.int64), "rest": np.array(rest, np.uint64).view(np.int64),
+                "point": pa.array(points, pa.binary()), "fine": pa.array(finer, pa.binary())})
+
+    return picked(docs, doc_id, text).mapInArrow(sign, "doc_id long, n_shingles long, name long, rest long, point binary, fine binary")
+
 
-    return picked(docs, doc_id, text).mapInArrow(sign, "doc_id long, n_shingles long, sig binary, point binary")
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, rest, head, doc): ``head`` is the smallest doc of this set in the partition."""
+    got = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    if got:
+        name, rest, doc = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((doc, rest, name))
+        name, rest, doc = name[order], rest[order], doc[order]
+        new = np.r_[True, (name[1:] != name[:-1]) | (rest[1:] != rest[:-1])]
+        yield pa.RecordBatch.from_pydict({"name": name, "rest": rest, "head": doc[new][np.cumsum(new) - 1], "doc": doc})
 
 
 def classes_of(docs: DataFrame, signed: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, component) for every document with a link; the smallest doc_id names a component. ``signed``: its :func:`signatures`."""
-    known = signed.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig", "point")
-    same = known.groupBy("sig").agg(F.min("doc").alias("rep"))
-    copies = settle(known.select("doc", "sig").join(same, "sig").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
-    # a document stands for its equals; rows of one doc_id with several texts bring all of them
-    stands = F.coalesce("a", "doc").alias("doc")
-    buckets = meetings(docs, size, percent, doc_id, text).join(copies, F.col("doc") == F.col("b"), "left").select(F.col("bucket").alias("group"), stands).distinct()
-    points = known.select("doc", "point").distinct()
-    near = _joined(settle(buckets), points, "point", F.count("*") / POINTS, size, percent)
-    blocks = settle(components(near)).select(F.col("component").alias("group"), F.col("node").alias("doc"))
-    sized = blocks.join(known.groupBy("doc").agg(F.max("n").alias("n")), "doc")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    links = _joined(settle(sized), texts, "text", F.sum("n") / TILE, size, percent)
-    return settle(components(links.union(copies)))
+    known = signed.where("doc_id is not null and n_shingles > 0")
+    # copies: linked to the smallest of their partition first, so that a very common text is not one task
+    heads = settle(known.select("name", "rest", F.col("doc_id").alias("doc")).mapInArrow(_heads, "name long, rest long, head long, doc long"))
+    firsts = settle(heads.where("head = doc").groupBy("name", "rest").agg(F.min("head").alias("rep")))
+    met = heads.where("head = doc").distinct().join(firsts, ["name", "rest"]).where("head <> rep")
+    copies = heads.where("head <> doc").select(F.col("head").alias("a"), F.col("doc").alias("b")).union(met.select("rep", "head"))
+
+    sets = known.select(F.col("name").alias("doc"), F.col("n_shingles").alias("n"))
+    points = known.select(F.col("name").alias("doc"), "point").distinct()
+    fines = known.select(F.col("name").alias("doc"), F.coalesce("fine", "point").alias("point")).distinct()
+    buckets = settle(meetings(docs, size, percent, doc_id, text).withColumnRenamed("bucket", "group"))
+    near = _joined(buckets, points, "point", F.count("*") / POINTS, size, percent)
+    blocks = components(near).select(F.col("component").alias("group"), F.col("node").alias("doc"))
+    sized = settle(blocks.join(sets.distinct(), "doc"))
+    # blocks with sets above GROUPS are split by their fine points
+    large = sized.groupBy("group").agg(F.max("n").alias("top")).where(F.col("top") >= 2 * GROUPS).select("group")
+    width = F.sum(F.greatest("n", F.lit(GROUPS))) / COORDINATES
+    finer = components(_joined(sized.join(large, "group", "left_semi"), fines, "point", width, size, percent))
+    split = finer.select(F.col("component").alias("group"), F.col("node").alias("doc")).join(sets.distinct(), "doc").select("doc", "group", "n")
+    sized = settle(sized.join(large, "group", "left_anti").select("doc", "group", "n").union(split))
+
+    reps = firsts.groupBy(F.col("name").alias("doc")).agg(F.min("rep").alias("doc_id"))
+    needed = settle(sized.select("doc").distinct().join(reps, "doc"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = settle(_members(texts, needed).join(needed, "doc_id").select("doc", "text"))
+    links = _joined(sized, texts, "text", F.sum("n") / TILE, size, percent, fines)
+    named = links.join(reps.select(F.col("doc").alias("a"), F.col("doc_id").alias("u")), "a").join(reps.select(F.col("doc").alias("b"), F.col("doc_id").alias("v")), "b")
+    ends = named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b")
+    return settle(components(ends.union(copies)))
 
 
 def near_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,8 +443,9 @@ def near_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "
 
     Documents link when ``100 * |A & B| >= percent * |A | B|``. A null or
     wordless text has no shingle and no link; texts below ``size`` words are one
-    shingle. Rows of one doc_id are one document for linking. A row with a null
-    doc_id links with nothing and has a null component. An empty table gives none.
+    shingle. Rows of one doc_id are one document: it links by each of its texts. A row with a null
+    doc_id links with nothing and has a null component. An empty table gives none;
+    columns besides doc_id and text are left aside, whatever their names.
     """
     signed = settle(signatures(docs, size, doc_id, text))
     found = classes_of(docs, signed, size, percent, doc_id, text)

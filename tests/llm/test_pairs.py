@@ -60,6 +60,46 @@ def test_near_join_equals_brute_force(spark, odd_docs, tile, monkeypatch):
             assert r.component_id == want[r.doc_id] and r.n_shingles == len(shingles(texts[r.doc_id]))
 
 
+@pytest.mark.parametrize("tile", [1 << 18, 40])
+def test_near_join_of_one_id_with_several_texts(spark, tile, monkeypatch):
+    monkeypatch.setattr(near_join, "TILE", tile)
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (5, one), (5, two), (9, two + " end"), (9, two + " end"), (12, "alone in this table"), (5, None), (7, "")]
+    got = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 12), (7, 7)}
+
+
+def test_near_join_of_large_sets(spark, monkeypatch):
+    # sets above GROUPS share long passages without a link, or are near copies in a chain
+    monkeypatch.setattr(near_join, "TILE", 1500)
+    monkeypatch.setattr(near_join, "COORDINATES", 4096)
+    rng, docs = random.Random(9), []
+    for k in range(6):
+        shared = [f"s{k}-{rng.randrange(10**6)}" for _ in range(900)]
+        for _ in range(4):
+            w = shared + [f"o{rng.randrange(10**9)}" for _ in range(rng.choice([100, 250, 700]))]
+            for _ in range(rng.choice([1, 3])):
+                docs.append((len(docs) * 7 % 101, " ".join(w)))
+                w = list(w)
+                for i in rng.sample(range(len(w)), 12):
+                    w[i] = f"x{rng.randrange(10**9)}"
+    got = {r.doc_id: r.component_id for r in near_join.near_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_components(docs, 4, 85)
+    assert len(set(want.values())) > 6 and got == want
+
+
+def test_coarser_points_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n in (300, 700, 1100, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[:int(n * 0.7)], rng.integers(0, 1 << 63, n // 2, np.uint64)])
+        points, rows, lowest = next(near_join.levels([near_join.point(s, near_join.fine(len(s))) for s in (a, b)], 80)) if near_join.fine(len(a)) == near_join.fine(len(b)) \
+            else next(near_join.levels([near_join.point(s) for s in (a, b)], 80))
+        assert (points.sum(1) == (len(a), len(b))).all() and np.minimum(*points).sum() >= len(np.intersect1d(a, b))
+        x = near_join.point(a, near_join.fine(len(a)))
+        assert (near_join.unpacked(near_join.packed(x)) == x).all() and (x.reshape(near_join.GROUPS, -1).sum(1) == near_join.point(a)).all()
+
+
 def test_near_join_of_nothing(no_docs):
     assert near_join.near_join(no_docs).count() == 0
 
