@@ -3,9 +3,10 @@
 The tokenizer never joins a non-space to a following space, so a text can be
 cut before every single space that stands between two non-spaces, and the ids
 of the parts follow one another. Parts repeat a lot: each task keeps the ids
-of parts it has met (about ``REMEMBER`` of them) and lets the tokenizer
-encode the new ones in one call. When the memory is full, the parts in use move
-to a new one, so that common words stay.
+of parts it has met (about ``REMEMBER`` of them). New parts are put together
+again, ``TOGETHER`` at a time, since a call costs as much as a word: the ids are
+told apart by the space that only the first token of a part opens with. When the
+memory is full, the parts in use move to a new one, so that common words stay.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from __future__ import annotations
 import array
 import os
 import re
-from itertools import filterfalse
+
+import numpy as np
 
 from omiclattice.llm.storage import process_cache
 
-REMEMBER = 600_000
+REMEMBER, TOGETHER = 600_000, 500
 _ODD = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -37,6 +39,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        #: Tokens that open with a space, as byte-level vocabularies write it.
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -44,21 +49,30 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known, self.older = {}, self.known
-        known, older, parts = self.known, self.older, set()
-        for t in texts:
-            parts.update(filterfalse(known.__contains__, t))
-        new = []
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without a space inside, each after a space."""
+        lots, out = [parts[i:i + TOGETHER] for i in range(0, len(parts), TOGETHER)], []
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast(["".join([" " + x for x in lot]) for lot in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(at) == len(lot):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+            else:  # the tokenizer has no such tokens
+                out += self._plain([" " + x for x in lot])
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        known, older, new, odd = self.known, self.older, [], []
         for x in parts:
             if x in older:
                 known[x] = older[x]
             else:
-                new.append(x)
+                (odd if " " in x else new).append(x)
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
-            known.update(zip(part, self._plain([" " + x for x in part])))
+            known.update(zip(part, self._spaced(part)))
+        known.update(zip(odd, self._plain([" " + x for x in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
@@ -73,9 +87,16 @@ class Encoder:
                 if len(p) > 1 and not p[-1]:  # and may end with one
                     p[-2:] = [p[-2] + " "]
                 cut.append((p[0], p[1:]))
-        self._learn([rest for _, rest in cut])
-        first, known = self._plain([f for f, _ in cut]), self.known
-        return [f + b"".join(map(known.__getitem__, rest)) for f, (_, rest) in zip(first, cut)]
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
+        known = self.known
+        found = [[*map(known.get, rest)] for _, rest in cut]
+        gaps = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in found]
+        self._learn({rest[i] for (_, rest), gap in zip(cut, gaps) for i in gap})
+        for (_, rest), got, gap in zip(cut, found, gaps):
+            for i in gap:
+                got[i] = known[rest[i]]
+        return [f + b"".join(got) for f, got in zip(self._plain([f for f, _ in cut]), found)]
 
 
 def encoder(path: str) -> Encoder:
