@@ -8,8 +8,10 @@ within ``k = floor(n * (1 - similarity))`` word edits of it.
    ``n - 1 - 2k`` word pairs with the item, so windows with fewer are passed over: counted first over the pairs of
    all items, then item by item. This loses nothing and leaves few windows.
 2. The CGK random walk maps windows and items to strings whose Hamming distance
-   follows the edit distance; several walks and several bit samples of each
-   give LSH keys, and equal keys give candidates. ``lsh_recall`` sets their number.
+   follows the edit distance; several walks and several samples of their symbols
+   give LSH keys, and windows that share a key with the item are candidates. Samples come from
+   steps at which the item's walk is still inside the item, so that equal keys mean equal words
+   and never two ended walks. ``lsh_recall`` sets the number of samples.
 3. Candidates are verified by the exact edit distance, with the passage's end left free.
 """
 
@@ -54,17 +56,21 @@ def edit_distances(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -
     return row[np.arange(m), end], end
 
 
-def embed(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """CGK walks of the rows of ``s`` (symbols, -1 beyond the end): (walks, rows, 3 n); a random bit of step and symbol moves on."""
+def embed(s: np.ndarray, bits: np.ndarray, steps: int | None = None) -> np.ndarray:
+    """CGK walks of the rows of ``s`` (symbols, -1 beyond the end): (walks, rows, steps); a random bit of step and symbol moves on.
+
+    Without ``steps``, three for each symbol of a row.
+    """
     m, n = s.shape
+    steps = 3 * n if steps is None else steps
     walk = np.repeat(np.arange(len(bits)), m)
     flat, row = np.c_[s, np.full((m, 1), -1)].ravel(), np.tile(np.arange(m) * (n + 1), len(bits))
-    at, out = row.copy(), np.empty((len(row), 3 * n), np.int64)
-    for j in range(3 * n):
+    at, out = row.copy(), np.empty((len(row), steps), np.int64)
+    for j in range(steps):
         out[:, j] = x = flat[at]
         at += (bits[walk, j // 64, x] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
         np.minimum(at, row + n, out=at)
-    return out.reshape(len(bits), m, 3 * n)
+    return out.reshape(len(bits), m, steps)
 
 
 class Items:
@@ -91,21 +97,29 @@ class Items:
         self.edits = np.array([int(n * (1 - similarity) + 1e-9) for n in self.sizes], np.int64)
         rng, top = np.random.default_rng(seed), int(self.sizes.max(initial=1))
         self.bits = rng.integers(0, np.iinfo(np.uint64).max, (WALKS, 3 * top // 64 + 1, v + 1), np.uint64, endpoint=True)
-        # sampled steps by item size, one row a key
-        self.steps = {int(n): rng.integers(0, 3 * n, (WALKS, samples_for(recall), SAMPLE)) for n in np.unique(self.sizes)}
-        self.own_keys = {}
+        #: Where each sample lies, as a share of the item's walk.
+        self.draws = rng.random((WALKS, samples_for(recall), SAMPLE))
+        self.own = {}
 
-    def keys(self, walks: np.ndarray, n: int) -> np.ndarray:
-        """(walks, rows, samples) keys: the sampled symbols in one number."""
-        key = np.zeros((len(walks), walks.shape[1], self.steps[n].shape[1]), np.int64)
+    def keys(self, walks: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """(walks, rows, samples) keys: the symbols at ``steps`` in one number."""
+        key = np.zeros((len(walks), walks.shape[1], steps.shape[1]), np.int64)
         for j in range(SAMPLE):
-            key = key * (self.base + 2) + np.take_along_axis(walks, self.steps[n][:, None, :, j], 2) + 1
+            key = key * (self.base + 2) + np.take_along_axis(walks, steps[:, None, :, j], 2) + 1
         return key
 
-    def item_keys(self, i: int) -> np.ndarray:
-        if i not in self.own_keys:
-            self.own_keys[i] = self.keys(embed(self.symbols[i][None], self.bits), int(self.sizes[i]))
-        return self.own_keys[i]
+    def item(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled steps and keys of an item; every step lies before the end of its walk."""
+        if i not in self.own:
+            walks = embed(self.symbols[i][None], self.bits)
+            steps = (self.draws * (walks[:, 0] >= 0).sum(1)[:, None, None]).astype(np.int64)
+            self.own[i] = steps, self.keys(walks, steps)
+        return self.own[i]
+
+    def alike(self, walks: np.ndarray, i: int) -> np.ndarray:
+        """Which of the embedded windows share a key with the item."""
+        steps, own = self.item(i)
+        return (self.keys(walks, steps) == own).any((0, 2))
 
     def windows(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, item, first word) of windows that share enough pairs with an item of their size."""
@@ -121,7 +135,7 @@ class Items:
         known[place + 1] = 1
         sums = np.cumsum(known, dtype=np.int32)  # known pairs that begin before each word
         inside, starts = np.zeros(len(h) + 1, np.int32), {}
-        for n in self.steps:
+        for n in map(int, np.unique(self.sizes)):
             k = int(self.edits[np.argmax(self.sizes == n)])
             m = len(h) - (n - k) + 1
             if m <= 0:
@@ -170,11 +184,10 @@ class Items:
             place = at[:, None] + np.arange(n)
             held = (place < np.minimum(at + self.sizes[own], len(h))[:, None]) & (row[np.minimum(place, len(h) - 1)] == row[at][:, None])
             window = np.where(held, sym[np.minimum(place, len(h) - 1)], -1)
-            walks = embed(window, self.bits)
+            walks = embed(window, self.bits, 1 + max(int(self.item(int(i))[0].max()) for i in np.unique(own)))
             for i in np.unique(own):
                 mine = np.flatnonzero(own == i)
-                near = (self.keys(walks[:, mine], int(self.sizes[i])) == self.item_keys(int(i))).any((0, 2))
-                mine = mine[near]
+                mine = mine[self.alike(walks[:, mine], int(i))]
                 same = (window[mine, :self.sizes[i]] == self.symbols[i]).all(1)
                 done = set(row[at[mine[same]]].tolist())  # an exact window leaves nothing to look for in its row
                 mine = mine[same | ~np.isin(row[at[mine]], list(done))]

@@ -139,6 +139,28 @@ def edits(a, b):
     return min(row)
 
 
+@pytest.mark.parametrize("n", [5, 8, 20, 60, 150])
+def test_lsh_keeps_edited_windows_and_few_others(n):
+    """Of 200 windows at the edit limit 0.95 or more share a key with their item, of unrelated ones of the same vocabulary
+    0.02 or fewer, and of those without its words none. The item's words in another order are counted, not bounded."""
+    rng, kept, unrelated, dealt, foreign = np.random.default_rng(n), 0, 0, 0, 0
+    for _ in range(200):
+        drawn = rng.integers(0, 3000, 2 * n)
+        items = decontaminate.Items([(1, " ".join(f"v{x}" for x in drawn[:n]))], 0.8, 0.99)
+        own = items.symbols[0]
+        symbol = dict(zip(drawn[:n].tolist(), own.tolist()))
+        near = own.tolist()
+        for _ in range(int(items.edits[0])):
+            at, what = int(rng.integers(len(near))), rng.integers(3)
+            near[at:at + (what < 2)] = [] if what == 0 and len(near) > 2 else [int(rng.integers(0, items.base))]
+        windows = np.array([own, (near + [0] * n)[:n], [symbol.get(x, 0) for x in drawn[n:].tolist()], rng.permutation(own), np.zeros(n, int)])
+        got = items.alike(decontaminate.embed(windows, items.bits), 0)
+        assert got[0]
+        kept, unrelated, dealt, foreign = kept + got[1], unrelated + got[2], dealt + got[3], foreign + got[4]
+    assert kept >= 190 and unrelated <= 4 and foreign == 0
+    print(f"{n} words: kept {kept}, unrelated {unrelated}, reordered {dealt} of 200")
+
+
 def test_decontamination_recall_and_verification():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
