@@ -128,6 +128,9 @@ def evolve(lengths: np.ndarray, size: int, seed: int, parents: list[np.ndarray],
     """Best packing that an island finds from its parents and fresh random ones."""
     rng, n, plain = np.random.default_rng(seed), len(lengths), lengths.tolist()
     least, pool = math.ceil(int(lengths.sum()) / size), list(parents)
+    for where in pool:
+        if _score(where, lengths, size)[0] == least:
+            return where  # nothing is left to save
     while len(pool) < population:
         noise = 0 if not pool else rng.normal(0, size / 40, n)
         where = np.zeros(n, np.int64)
