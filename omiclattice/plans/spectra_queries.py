@@ -302,7 +302,7 @@ def parse_fragment_rows(spark, sf):
         F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("scan"),
         F.round(100 + F.col("l_discount") * 1000, 2).cast("string").alias("precursor_mz"),
         F.when(F.col("l_returnflag") == "A", "Positive").when(F.col("l_returnflag") == "R", "neg").alias("polarity"),
-        F.struct("l_linenumber", "l_extendedprice").alias("pos"),
+        F.struct("l_linenumber", "l_extendedprice", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("pos"),  # of equal ones the first row
     )
     spectra, peaks = src.parse_fragment_rows(rows)
     n = peaks.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_peaks"))
