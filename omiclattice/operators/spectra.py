@@ -97,9 +97,16 @@ def best_reference(matches: DataFrame, keys: list[str], cols: list[str], ref_mz:
     return best.select(*keys, "m.*")
 
 
-def top_fragments(spectra: DataFrame, peaks: DataFrame, n: int = 20) -> DataFrame:
-    """The n strongest peaks below 0.98 of the precursor, per scan."""
-    rows = peaks.join(spectra.select("scan_id", "precursor_mz"), "scan_id").where(
+#: Peaks a task ranks: larger tables are dealt to more tasks than the session's setting.
+RANK_ROWS = 1 << 18
+
+
+def top_fragments(spectra: DataFrame, peaks: DataFrame, n: int = 20, extra: list[str] | None = None) -> DataFrame:
+    """The n strongest peaks below 0.98 of the precursor, per scan (with ``extra`` columns of the spectra)."""
+    scans, parts = spectra.select("scan_id", "precursor_mz", *(extra or [])), -(-peaks.count() // RANK_ROWS)
+    if parts > int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        scans, peaks = scans.repartition(parts, "scan_id"), peaks.repartition(parts, "scan_id")
+    rows = peaks.join(scans, "scan_id").where(
         (F.col("mz") > 0) & (F.col("mz") < F.col("precursor_mz") * 0.98)
     )
     w = W.partitionBy("scan_id").orderBy(F.desc("intensity"), "mz")
@@ -274,23 +281,27 @@ def infer_adducts(spectra: DataFrame, ppm: float = 10.0, **limits) -> DataFrame:
 
     A stated known adduct is kept; else the first of the polarity's order
     with a formula free of hard violations; else the polarity's default.
+    Scans of one precursor, polarity and stated adduct are tried once.
     """
     known = F.coalesce(F.col("adduct").isin(list(ADDUCTS)), F.lit(False))
-    pol = F.coalesce("polarity", F.lit(""))
-    order = F.when(pol == "negative", F.array(*map(F.lit, ADDUCT_ORDER["negative"]))).when(
-        pol == "positive", F.array(*map(F.lit, ADDUCT_ORDER["positive"]))
+    scans = spectra.select(
+        "scan_id", "precursor_mz", F.coalesce("polarity", F.lit("")).alias("pol"), F.when(known, F.col("adduct")).otherwise("").alias("given"))
+    kinds = settle(scans.select("precursor_mz", "pol", "given").distinct())
+    order = F.when(F.col("pol") == "negative", F.array(*map(F.lit, ADDUCT_ORDER["negative"]))).when(
+        F.col("pol") == "positive", F.array(*map(F.lit, ADDUCT_ORDER["positive"]))
     ).otherwise(F.array(*map(F.lit, ADDUCT_ORDER[""])))
-    tries = spectra.withColumn("_o", F.when(known, F.array("adduct")).otherwise(order)).select(
-        "scan_id", "precursor_mz", pol.alias("pol"), F.posexplode("_o").alias("pos", "try")
+    tries = kinds.withColumn("_o", F.when(F.col("given") != "", F.array("given")).otherwise(order)).select(
+        "precursor_mz", "pol", "given", F.posexplode("_o").alias("pos", "try")
     ).withColumn("neutral", neutral_mass(F.col("precursor_mz"), F.col("try")))
     tries = settle(tries)
     ok = clean_masses(tries.select("neutral"), ppm, **limits).withColumn("ok", F.lit(True))
-    tried = tries.join(ok, "neutral", "left")
-    best = tried.groupBy("scan_id").agg(
-        F.first("precursor_mz").alias("precursor_mz"), F.first("pol").alias("pol"),
+    tried = settle(tries.join(ok, "neutral", "left").groupBy("precursor_mz", "pol", "given").agg(
         F.min(F.when(F.col("ok"), F.struct("pos", "try"))).alias("hit"),
         F.max(F.when(F.col("pos") == 0, F.col("try"))).alias("head"), F.count(F.lit(1)).alias("n"),
-    )
+    ))
+    best = same_rows(scans, tried, ["precursor_mz", "pol", "given"]).groupBy("scan_id").agg(
+        F.min(F.struct("precursor_mz", "pol")).alias("of"), F.min("hit").alias("hit"), F.max("head").alias("head"), F.sum("n").alias("n"),
+    ).select("scan_id", "of.*", "hit", "head", "n")
     fallback = F.when(F.col("n") == 1, F.col("head")).when(F.col("pol") == "negative", "[M-H]-").otherwise("[M+H]+")
     return best.select(
         "scan_id", "precursor_mz", F.coalesce("hit.try", fallback).alias("adduct"),
@@ -298,71 +309,122 @@ def infer_adducts(spectra: DataFrame, ppm: float = 10.0, **limits) -> DataFrame:
     ).withColumn("neutral_mass", neutral_mass(F.col("precursor_mz"), F.col("adduct")))
 
 
+def same_rows(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns where NULL equals NULL; the columns of ``rows`` stay."""
+    other = other.withColumnsRenamed({c: f"_same_{c}" for c in on})
+    match = [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in on]
+    return rows.join(other, match, how).drop(*[f"_same_{c}" for c in on])
+
+
 # --- annotation --------------------------------------------------------------------
-def class_matches(top: DataFrame, fragments: DataFrame, tol: float = 10.0) -> DataFrame:
-    """Matched peaks per scan and class, each to its closest reference."""
-    m = ppm_join(top.select("scan_id", "mz"), fragments, "mz", "ref_mz", tol)
-    return best_reference(m, ["scan_id", "class", "mz"], ["ref_mz"], "ref_mz")
+def mass_matches(masses: DataFrame, fragments: DataFrame, tol: float = 10.0) -> DataFrame:
+    """The closest reference of each class to each distinct ``mz``."""
+    distinct = settle(masses.select("mz").distinct())
+    return best_reference(ppm_join(distinct, fragments, "mz", "ref_mz", tol), ["class", "mz"], ["ref_mz"], "ref_mz")
+
+
+def class_matches(top: DataFrame, fragments: DataFrame, tol: float = 10.0, masses: DataFrame | None = None) -> DataFrame:
+    """Matched peaks per scan and class, each to its closest reference.
+
+    What a peak matches depends on its m/z alone: distinct m/z are matched once and the scans' peaks look them up.
+    ``masses`` is a table with every ``mz`` of ``top``, where that is cheaper to read.
+    """
+    met = settle(mass_matches(top if masses is None else masses, fragments, tol))
+    return top.select("scan_id", "mz").distinct().join(met, "mz").select("scan_id", "class", "mz", "ppm", "ref_mz")
+
+
+def loss_counts(precursors: DataFrame, fragments: DataFrame, losses: DataFrame, tol: float = 10.0) -> DataFrame:
+    """Reference fragments of each class that a neutral loss explains, for each distinct ``precursor_mz``.
+
+    Fragment + loss is the precursor to look for: these sums are made where their fragment lies and
+    looked up at once, so they are never shuffled; only one row a fragment, precursor and task leaves.
+    """
+    asked = settle(precursors.select("precursor_mz").where("precursor_mz > 0").distinct())
+    near = asked.withColumn("_c", mass_bucket(F.col("precursor_mz"), tol)).select("precursor_mz", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_bkt"))
+    own = settle(fragments.select("class", "ref_mz").distinct()).repartition("class", "ref_mz")
+    sums = own.join(settle(losses.select("class", "delta").distinct()), "class").withColumn("expected", F.col("ref_mz") + F.col("delta")).where("expected > 0")
+    hit = sums.withColumn("_bkt", mass_bucket(F.col("expected"), tol)).join(settle(near), "_bkt")
+    # an error within tol of the loss is within tol of the larger sum
+    hit = hit.where(ppm_error(F.col("precursor_mz"), F.col("expected"), tol).isNotNull() & ppm_error(F.col("precursor_mz") - F.col("ref_mz"), F.col("delta"), tol).isNotNull())
+    return hit.select("class", "precursor_mz", "ref_mz").distinct().groupBy("class", "precursor_mz").agg(F.count(F.lit(1)).alias("n_losses"))
 
 
 def class_losses(cands: DataFrame, fragments: DataFrame, losses: DataFrame, tol: float = 10.0,
-                 observed: DataFrame | None = None) -> DataFrame:
+                 observed: DataFrame | None = None, precursors: DataFrame | None = None) -> DataFrame:
     """Neutral losses per scan and class, at most one per fragment.
 
     Losses are measured from the class's reference fragments, or from the
-    observed peaks when ``observed`` (scan_id, mz) is given.
+    observed peaks when ``observed`` (scan_id, mz) is given. ``precursors`` is a table
+    with every ``precursor_mz`` of ``cands``, where that is cheaper to read.
     """
     if observed is not None:
         rows = cands.select("scan_id", "class", "precursor_mz").join(observed, "scan_id")
         rows = rows.select("scan_id", "class", F.col("mz").alias("frag"), (F.col("precursor_mz") - F.col("mz")).alias("gap"))
         hit = ppm_join(rows, losses, "gap", "delta", tol, on=["class"])
         return hit.groupBy("scan_id", "class").agg(F.count_distinct("frag").alias("n_losses"))
-    # fragment + loss per rule is a fixed table of precursor masses to look for;
-    # an error within tol of the loss is within tol of the larger sum
-    sums = fragments.join(losses, "class").select("class", "ref_mz", "delta", (F.col("ref_mz") + F.col("delta")).alias("expected"))
-    near = ppm_join(cands.select("scan_id", "class", "precursor_mz"), sums, "precursor_mz", "expected", tol, on=["class"])
-    hit = near.where(ppm_error(F.col("precursor_mz") - F.col("ref_mz"), F.col("delta"), tol).isNotNull())
-    return hit.groupBy("scan_id", "class").agg(F.count_distinct("ref_mz").alias("n_losses"))
+    counts = settle(loss_counts(cands if precursors is None else precursors, fragments, losses, tol))
+    return cands.select("scan_id", "class", "precursor_mz").join(counts, ["class", "precursor_mz"]).select("scan_id", "class", "n_losses")
 
 
-def marker_hits(ions: DataFrame, markers: DataFrame, tol: float = 10.0) -> DataFrame:
-    """Species marker metabolites seen as precursors.
+#: What a marker hit depends on.
+ION = ["precursor_mz", "adduct", "neutral_mass"]
+
+
+def marker_ions(ions: DataFrame, markers: DataFrame, tol: float = 10.0) -> DataFrame:
+    """Species marker metabolites of each distinct ion (columns ``ION``), with ``name`` and ``ppm``.
 
     Neutral masses are compared first; a singly charged ion may also match
     the marker's own m/z.
     """
+    kinds = settle(ions.select(*ION).distinct())
     m = markers.withColumn("marker_neutral", F.coalesce(
         neutral_mass(F.col("marker_mz"), F.col("marker_adduct")), F.col("marker_mz") - F.lit(PROTON)
     ))
-    a = ppm_join(ions, m, "neutral_mass", "marker_neutral", tol).withColumn("way", F.lit(1))
-    b = ppm_join(ions.where(~F.col("adduct").endswith("2+")), m, "precursor_mz", "marker_mz", tol).withColumn("way", F.lit(2))
-    both = a.unionByName(b).groupBy("scan_id", "name").agg(F.min(F.struct("way", "ppm")).alias("h"))
-    return both.select("scan_id", "name", F.col("h.ppm").alias("ppm"))
+    a = ppm_join(kinds, m, "neutral_mass", "marker_neutral", tol).withColumn("way", F.lit(1))
+    b = ppm_join(kinds.where(~F.col("adduct").endswith("2+")), m, "precursor_mz", "marker_mz", tol).withColumn("way", F.lit(2))
+    both = a.unionByName(b).groupBy(*ION, "name").agg(F.min(F.struct("way", "ppm")).alias("h"))
+    return both.select(*ION, "name", F.col("h.ppm").alias("ppm"))
+
+
+def of_scans(ions: DataFrame, per_ion: DataFrame) -> DataFrame:
+    """Rows of distinct ions for every scan with that ion."""
+    return same_rows(ions.select("scan_id", *ION), per_ion, ION)
+
+
+def marker_hits(ions: DataFrame, markers: DataFrame, tol: float = 10.0) -> DataFrame:
+    """Species marker metabolites seen as precursors (``ions``: one row a scan).
+
+    Scans of one ion share its hits, which meet the scans last.
+    """
+    return of_scans(ions, settle(marker_ions(ions, markers, tol))).select("scan_id", "name", "ppm")
 
 
 def annotate(spectra: DataFrame, peaks: DataFrame, classes: DataFrame, fragments: DataFrame,
              losses: DataFrame, prior_classes: list[str] | None = None, tol: float = 10.0,
-             min_matched: int = 1, top: int = 8, **limits) -> DataFrame:
-    """Ranked compound-class candidates per scan.
+             min_matched: int = 1, top: int = 8, extra: list[str] | None = None, **limits) -> DataFrame:
+    """Ranked compound-class candidates per scan (with ``extra`` columns of the ion, such as ``precursor_mz``).
 
     Score: matched share x rule weight, +0.15 per neutral loss, +0.25 when
     the class mass fits, +0.1 for classes expected in the species; level 2
     needs two matches and a clean formula, else level 3.
     """
     ions = settle(infer_adducts(spectra, tol, **limits))
-    matched = class_matches(top_fragments(spectra, peaks), fragments, tol)
-    counts = matched.groupBy("scan_id", "class").agg(F.count(F.lit(1)).alias("n_matched")).where(
+    own = [*ION, "formula_ok"]
+    # each peak brings its ion, so that scans are dealt out once and candidates stay where they are made
+    peaks_of = top_fragments(ions, peaks, extra=own[1:]).select("scan_id", *own, "mz").distinct()
+    matched = peaks_of.join(settle(mass_matches(peaks, fragments, tol)).select("class", "mz"), "mz")
+    counts = matched.groupBy("scan_id", *own, "class").agg(F.count(F.lit(1)).alias("n_matched")).where(
         F.col("n_matched") >= min_matched
     )
     n_ref = fragments.groupBy("class").agg(F.count(F.lit(1)).alias("n_ref"))
-    cands = settle(counts.join(ions, "scan_id").join(classes, "class").join(n_ref, "class"))
-    lost = class_losses(cands, fragments, losses, tol)
+    cands = counts.join(settle(classes.join(n_ref, "class")), "class")
+    lost = settle(loss_counts(ions, fragments, losses, tol))
     weight = F.coalesce(
         F.create_map(*[F.lit(x) for kv in CONFIDENCE_WEIGHT.items() for x in kv])[F.col("confidence")], F.lit(0.7)
     )
     mass_fit = ppm_error(F.col("neutral_mass"), F.col("class_mass"), tol).isNotNull()
     one = F.lit(1.0)
-    scored = cands.join(lost, ["scan_id", "class"], "left").withColumn("n_losses", F.coalesce("n_losses", F.lit(0)))
+    scored = cands.join(lost, ["class", "precursor_mz"], "left").withColumn("n_losses", F.coalesce("n_losses", F.lit(0)))
     score = F.col("n_matched") / F.greatest("n_ref", F.lit(1)) * weight
     score = F.when(F.col("n_losses") > 0, F.least(score + 0.15 * F.col("n_losses"), one)).otherwise(score)
     score = F.when(mass_fit, F.least(score + 0.25, one)).otherwise(score)
@@ -376,7 +438,7 @@ def annotate(spectra: DataFrame, peaks: DataFrame, classes: DataFrame, fragments
         .withColumn("name", F.when(mass_fit, F.coalesce(named, F.col("class"))))
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
         .select("scan_id", "rank", "class", "msi_level", "score", "n_matched", "n_losses", "adduct",
-                "neutral_mass", "name")
+                "neutral_mass", "name", *(extra or []))
     )
 
 
@@ -386,24 +448,29 @@ def target_markers(hits: DataFrame, markers: DataFrame, target: str = "") -> Dat
     return hits.join(markers.select("name", "label"), "name").withColumn("target_match", match)
 
 
-def marker_names(annotated: DataFrame, hits: DataFrame, markers: DataFrame, classes: DataFrame) -> DataFrame:
+def marker_names(annotated: DataFrame, hits: DataFrame, markers: DataFrame, classes: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Annotated candidates with the names, formulas and masses of the markers seen in their scans.
 
     ``markers`` has name (its key in ``hits``), label, formula, marker_mz and pos. A marker names
     the candidates whose class contains its label (of a class without a name: whose known
     metabolites do); of several the last by ``pos`` names, and the last that has one gives formula and
     mass. Without a marker a candidate that fits its class mass has the class's formula and
-    mass. ``species_anchor`` tells the scans with any marker.
+    mass. ``species_anchor`` tells the scans with any marker. ``on``: the columns by which hits belong
+    to candidates (``scan_id``, or ``ION`` for hits of distinct ions).
     """
-    known = classes.select("class", F.col("formula").alias("_cf"), F.col("class_mass").alias("_cm"), F.lower(F.array_join("known_metabolites", " ")).alias("_known"))
-    seen = hits.select("scan_id", "name").join(markers.select("name", "label", F.col("formula").alias("_mf"), "marker_mz", "pos"), "name").drop("name")
+    on = on or ["scan_id"]
+    known = settle(classes.select("class", F.col("formula").alias("_cf"), F.col("class_mass").alias("_cm"), F.lower(F.array_join("known_metabolites", " ")).alias("_known")))
+    has = lambda c, cond: F.when(cond, F.struct(F.col("pos").alias("p"), F.col(c).alias("v")))
+    marks = markers.select("name", "label", "pos", has("formula", F.col("formula") != "").alias("_f"), has("marker_mz", F.col("marker_mz") > 0).alias("_m"))
+    best = [F.max("_l").alias("_l"), F.max("_f").alias("_f"), F.max("_m").alias("_m")]
+    # the last marker of each label, then of all labels that a class contains
+    labels = hits.select(*on, "name").join(marks, "name").withColumn("_l", F.struct(F.col("pos").alias("p"), F.col("label").alias("v"))).groupBy(*on, "label").agg(*best)
     text = F.when(F.coalesce("class", F.lit("")) != "", F.lower("class")).otherwise(F.col("_known"))
-    met = annotated.select("scan_id", "class").join(known, "class").join(seen, "scan_id").where(F.contains(text, F.lower("label")))
-    last = lambda c, has: F.max_by(c, F.when(has, F.col("pos")))
-    named = met.groupBy("scan_id", "class").agg(
-        F.max_by("label", "pos").alias("_label"), last("_mf", F.col("_mf") != "").alias("_lf"), last("marker_mz", F.col("marker_mz") > 0).alias("_lm"))
-    anchors = hits.select("scan_id").distinct().withColumn("_anchor", F.lit(True))
-    rows = annotated.join(known.drop("_known"), "class").join(named, ["scan_id", "class"], "left").join(anchors, "scan_id", "left")
+    fit = settle(markers.select("label").distinct().join(known.select("class", text.alias("_text")), F.contains("_text", F.lower("label"))).drop("_text"))
+    named = settle(labels.join(fit, "label").groupBy(*on, "class").agg(*best).select(
+        *on, "class", F.col("_l.v").alias("_label"), F.col("_f.v").alias("_lf"), F.col("_m.v").alias("_lm")))
+    anchors = settle(hits.select(*on).distinct().withColumn("_anchor", F.lit(True)))
+    rows = same_rows(same_rows(annotated.join(known.drop("_known"), "class"), named, [*on, "class"], "left"), anchors, on, "left")
     fits = F.col("name").isNotNull()
     return rows.withColumns({
         "formula": F.coalesce("_lf", F.when(fits, F.col("_cf"))), "mass": F.coalesce("_lm", F.when(fits, F.col("_cm"))),

@@ -91,8 +91,8 @@ def ppm_range_join(spark, sf):
 @query("class_fragment_matches", f"WITH {_SPEC}, {_TOP}, {_MATCH} SELECT scan_id, class, mz, round(ppm, 4) AS ppm FROM mt")
 def class_fragment_matches(spark, sf):
     _, frag, _ = rules_view(spark, sf)
-    top = sp.top_fragments(spectra_view(spark, sf), peaks_view(spark, sf))
-    return sp.class_matches(top, frag, TOL).select("scan_id", "class", "mz", R("ppm", 4).alias("ppm"))
+    peaks = peaks_view(spark, sf)
+    return sp.class_matches(sp.top_fragments(spectra_view(spark, sf), peaks), frag, TOL, peaks).select("scan_id", "class", "mz", R("ppm", 4).alias("ppm"))
 
 
 _LOSS = f"""cand AS (SELECT DISTINCT scan_id, class, precursor_mz FROM mt JOIN spec USING (scan_id)),
@@ -103,10 +103,10 @@ _LOSS = f"""cand AS (SELECT DISTINCT scan_id, class, precursor_mz FROM mt JOIN s
 @query("neutral_losses", f"WITH {_SPEC}, {_TOP}, {_MATCH}, {_LOSS} SELECT scan_id, class, n_losses FROM ls")
 def neutral_losses(spark, sf):
     _, frag, loss = rules_view(spark, sf)
-    spec = spectra_view(spark, sf)
-    m = sp.class_matches(sp.top_fragments(spec, peaks_view(spark, sf)), frag, TOL).select("scan_id", "class").distinct()
-    cands = settle(m.join(spec.select("scan_id", "precursor_mz"), "scan_id"))
-    return sp.class_losses(cands, frag, loss, TOL)
+    spec, peaks = spectra_view(spark, sf), peaks_view(spark, sf)
+    met = settle(sp.mass_matches(peaks, frag, TOL)).select("class", "mz")
+    cands = sp.top_fragments(spec, peaks).join(met, "mz").select("scan_id", "class", "precursor_mz").distinct()
+    return sp.class_losses(cands, frag, loss, TOL, precursors=spec)
 
 
 @query("adduct_neutral_mass", f"""WITH {_SPEC}, a AS (SELECT unnest([{', '.join(repr(a) for a in sp.ADDUCTS)}]) AS ad)
@@ -175,10 +175,10 @@ _ANN = f"""WITH {_SPEC}, {_TOP}, {_MATCH}, {_LOSS}, {_COMP}, {_ION}, im AS (SELE
   an AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, class) AS rank FROM s4)"""
 
 
-def _annotated(spark, sf):
+def _annotated(spark, sf, **kw):
     cls, frag, loss = rules_view(spark, sf)
     return sp.annotate(
-        spectra_view(spark, sf), peaks_view(spark, sf), cls, frag, loss, ["Brand#1", "Brand#2"], TOL
+        spectra_view(spark, sf), peaks_view(spark, sf), cls, frag, loss, ["Brand#1", "Brand#2"], TOL, **kw
     )
 
 
@@ -234,8 +234,8 @@ def _labelled_markers(spark, sf):
 def marker_named_candidates(spark, sf):
     cls, frag, loss = rules_view(spark, sf)
     spec, markers = spectra_view(spark, sf), _labelled_markers(spark, sf)
-    hits = settle(sp.marker_hits(settle(sp.infer_adducts(spec, TOL)), markers, TOL))
-    got = sp.marker_names(settle(_annotated(spark, sf)), hits, markers, cls.withColumn("formula", F.concat(F.lit("F"), "class")))
+    hits = settle(sp.marker_ions(sp.infer_adducts(spec, TOL), markers, TOL))
+    got = sp.marker_names(_annotated(spark, sf, extra=["precursor_mz"]), hits, markers, cls.withColumn("formula", F.concat(F.lit("F"), "class")), sp.ION)
     return got.select("scan_id", "class", "rank", "name", "formula", R("mass", 4).alias("mass"), "species_anchor")
 
 
@@ -243,8 +243,9 @@ def marker_named_candidates(spark, sf):
   SELECT scan_id, name, label, contains(lower(label), 'brand#2') AS target_match FROM mh JOIN mk USING (name)""")
 def target_markers(spark, sf):
     markers = _labelled_markers(spark, sf)
-    hits = sp.marker_hits(settle(sp.infer_adducts(spectra_view(spark, sf), TOL)), markers, TOL)
-    return sp.target_markers(hits, markers, "Brand#2").select("scan_id", "name", "label", "target_match")
+    ions = settle(sp.infer_adducts(spectra_view(spark, sf), TOL))
+    hits = settle(sp.target_markers(sp.marker_ions(ions, markers, TOL), markers, "Brand#2"))
+    return sp.of_scans(ions, hits).select("scan_id", "name", "label", "target_match")
 
 
 # --- text formats: one record per line item, written as text and parsed back ------
