@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-from omiclattice.llm.storage import process_cache
+from omiclattice.llm.storage import give_back, process_cache
 
 REMEMBER, TOGETHER = 600_000, 500
 _ODD = re.compile(r"\s\s")
@@ -109,11 +109,14 @@ def encoder(path: str) -> Encoder:
 
 def runs(rows, text: str, limit: int = 1 << 20):
     """(rows, texts) for runs of rows of about ``limit`` characters; null counts as empty."""
-    for batch in rows:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at:i + 1]
-                at, size = i + 1, 0
+    try:
+        for batch in rows:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            at = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= limit or i + 1 == len(texts):
+                    yield batch.slice(at, i + 1 - at), texts[at:i + 1]
+                    at, size = i + 1, 0
+    finally:
+        give_back()

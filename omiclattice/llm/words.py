@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from omiclattice.llm.storage import process_cache
+from omiclattice.llm.storage import give_back, process_cache
 
 #: Bytes of text handled at once; one longer text is a chunk by itself.
 CHUNK = 256 << 10
@@ -68,16 +68,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows whose texts stay below ``limit`` bytes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        buf, offs = buffers(batch.column(text))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-            yield batch.slice(at, to - at), buf[offs[at]:offs[to]], offs[at:to + 1] - offs[at]
-            at = to
+    """(rows, bytes, offsets) for runs of rows whose texts stay below ``limit`` bytes.
+
+    Who reads words needs no token ids: what a worker remembers of an earlier stage's is left.
+    """
+    give_back("encoders", "word_encoders")
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buf, offs = buffers(batch.column(text))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+                yield batch.slice(at, to - at), buf[offs[at]:offs[to]], offs[at:to + 1] - offs[at]
+                at = to
+    finally:
+        give_back()
 
 
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True, separators: np.ndarray = SPACE):
