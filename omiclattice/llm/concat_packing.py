@@ -12,11 +12,11 @@ that need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,12 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Runs of Latin letters and of these marks, where white space or the other kind follows, else all up to the next
 # white space. The tokenizer parts words from marks and drops white space, so the parts' ids follow one another.
 _PARTS = re.compile(rf"[{_LETTERS}]++(?=[ \n\t\r.,;:!?%&$]|\Z)|[.,;:!?%&$]++(?=[ \n\t\r{_LETTERS}]|\Z)|[^ \n\t\r]+")
+# How a tokenizer may change and part texts so that it leaves lower-case words of Latin letters as they are.
+_SAME = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _WORD = re.compile(rf"[{_LETTERS}]+")
-# Letters whose lower case depends on more than the letter, and texts in which case tells a special token apart.
-_CASED = re.compile(r"[İΣ]|<\|")
+# Letters whose lower case depends on more than the letter, and the opening of a special token, which case tells apart.
+_CASED = ("İ", "Σ", "<|")
 
 
 class WordEncoder:
@@ -53,12 +56,20 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        #: The tokenizer for lower-case words of Latin letters between single spaces, without the steps that leave these as they are.
+        self.words = self.tokenizer
+        if (made["normalizer"] or {}).get("normalizers") == _SAME and before.get("pretokenizers", [None])[0] == _SPLIT:
+            made["normalizer"], before["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+            self.words = Tokenizer.from_str(json.dumps(made))
 
     def _learn(self, new: list[str]) -> None:
         plain = [w for w in new if _WORD.fullmatch(w)]
         for i in range(0, len(plain), 2000):  # one call for many words, parted at the ids that close one
             part = plain[i:i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            found = self.words.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.dtype)
             ends = (np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize
             flat, ends = ids.tobytes(), ends.tolist()
             if len(ends) == len(part):
@@ -70,16 +81,19 @@ class WordEncoder:
             self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PARTS.findall(t if _CASED.search(t) else t.lower()) for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            new.update(filterfalse(self.known.__contains__, parts))
-        if len(self.known) + len(new) > REMEMBER:
+        cut = [_PARTS.findall(t if any(c in t for c in _CASED) else t.lower()) for t in texts]
+        get = self.known.get
+        found = [[*map(get, parts)] for parts in cut]
+        gaps = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in found]
+        new = {parts[i] for parts, gap in zip(cut, gaps) for i in gap}
+        if len(self.known) + len(new) > REMEMBER:  # what was found is at hand already
             self.known = {}
-            new = set().union(*cut)
         self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        known = self.known
+        for parts, got, gap in zip(cut, found, gaps):
+            for i in gap:
+                got[i] = known[parts[i]]
+        return [b"".join(got) for got in found]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -75,3 +75,15 @@ def test_nothing(no_docs):
 
 def test_the_last_window_is_cut_at_powers_of_two():
     assert concat_packing.tail_sizes(0) == [] and concat_packing.tail_sizes(1000) == [512, 256, 128, 64, 32, 8]
+
+
+def test_plain_words_skip_the_steps_that_leave_them_as_they_are():
+    from omiclattice.llm.concat_packing import WordEncoder
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    enc = WordEncoder(path)
+    assert enc.words is not enc.tokenizer
+    texts = ["Sorel éàß SOREL'S it's İx Σ <|endoftext|> ª 12 sorel.Arv", "<|endoftext|> SOREL Arv"]
+    found = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [e.ids for e in found]
