@@ -5,15 +5,19 @@ cut before every single space that stands between two non-spaces, and the ids
 of the parts follow one another. Parts repeat a lot: each task keeps the ids
 of parts it has met (about ``REMEMBER`` of them). New parts are put together
 again, ``TOGETHER`` at a time, since a call costs as much as a word: the ids are
-told apart by the space that only the first token of a part opens with. When the
-memory is full, the parts in use move to a new one, so that common words stay.
+told apart by the space that only the first token of a part opens with. New parts
+that are words with marks or a line end after them are put together from the ids of
+both, where the tokenizer always parts these. When the memory is full, the parts in
+use move to a new one, so that common words stay.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
+from operator import add
 
 import numpy as np
 
@@ -22,6 +26,8 @@ from omiclattice.llm.storage import give_back, process_cache
 REMEMBER, TOGETHER = 600_000, 500
 _ODD = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Marks that the tokenizer parts from a word before them; the apostrophe opens English endings.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,15 +50,30 @@ class Encoder:
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        #: Ids of marks, and of words that open a line.
+        self.marks: dict[str, bytes] = {"": b""}
+        self.opening: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        #: Whether words and the marks after them are always parted.
+        self.parts_marks = (made["normalizer"] is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex"))
+                            and all("<" in t["content"] or "|" in t["content"] for t in made["added_tokens"]))
+        #: The tokenizer for words of letters, each after a space.
+        self.words = self.tokenizer
+        if self.parts_marks:
+            made["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+                {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False}, {**before, "use_regex": False}]}
+            self.words = Tokenizer.from_str(json.dumps(made))
 
     def _plain(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def _spaced(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without a space inside, each after a space."""
+    def _spaced(self, parts: list[str], letters: bool = False) -> list[bytes]:
+        """Ids of parts without a space inside (of ``letters`` alone, if so), each after a space."""
+        by = self.words if letters else self.tokenizer
         lots, out = [parts[i:i + TOGETHER] for i in range(0, len(parts), TOGETHER)], []
-        for lot, e in zip(lots, self.tokenizer.encode_batch_fast(["".join([" " + x for x in lot]) for lot in lots], add_special_tokens=False)):
+        for lot, e in zip(lots, by.encode_batch_fast(["".join([" " + x for x in lot]) for lot in lots], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = (4 * np.flatnonzero(self.opens[ids])).tolist()
             if len(at) == len(lot):
@@ -62,17 +83,62 @@ class Encoder:
                 out += self._plain([" " + x for x in lot])
         return out
 
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a line end."""
+        out, line = [], array.array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        for i in range(0, len(words), TOGETHER):
+            lot = words[i:i + TOGETHER]
+            ids = np.array(self.tokenizer.encode("".join(["\n" + x for x in lot]), add_special_tokens=False).ids, "<u4")
+            at = (4 * np.flatnonzero(ids == line[0])).tolist() if len(line) == 1 else []
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])] if len(at) == len(lot) else self._plain(["\n" + x for x in lot])
+        return out
+
     def _learn(self, parts: set[str]) -> None:
-        known, older, new, odd = self.known, self.older, [], []
+        known, older, plain, new, odd = self.known, self.older, [], [], []
+        ended, words, marks = [], [], []  # words with marks after them
+        broken, befores, ends, lines, afters = [], [], [], [], []  # and with a line end and a word more
         for x in parts:
             if x in older:
                 known[x] = older[x]
-            else:
-                (odd if " " in x else new).append(x)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            known.update(zip(part, self._spaced(part)))
+                continue
+            if x.isalpha():
+                plain.append(x)
+                continue
+            if self.parts_marks:
+                w = x.rstrip(_MARKS)
+                if w.isalpha():
+                    ended.append(x)
+                    words.append(w)
+                    marks.append(x[len(w):])
+                    continue
+                first, end, line = w.partition("\n")
+                if end and line.isalpha() and (word := first.rstrip(_MARKS)).isalpha():
+                    broken.append(x)
+                    befores.append(word)
+                    ends.append(first[len(word):])
+                    lines.append(line)
+                    afters.append(x[len(w):])
+                    continue
+            (odd if " " in x else new).append(x)
+        more = {*words, *befores}.difference(known, plain)
+        known.update((w, older[w]) for w in more if w in older)
+        plain += more.difference(known)
+        for of, letters in ((plain, True), (new, False)):
+            for i in range(0, len(of), 20_000):
+                part = of[i:i + 20_000]
+                known.update(zip(part, self._spaced(part, letters)))
         known.update(zip(odd, self._plain([" " + x for x in odd])))
+        if len(self.marks) + len(self.opening) > REMEMBER // 4:
+            self.marks, self.opening = {"": b""}, {}
+        unknown = list({*marks, *ends, *afters}.difference(self.marks))
+        self.marks.update(zip(unknown, self._plain(unknown)))
+        unknown = list(set(lines).difference(self.opening))
+        self.opening.update(zip(unknown, self._lines(unknown)))
+        word, mark = known.__getitem__, self.marks.__getitem__
+        known.update(zip(ended, map(add, map(word, words), map(mark, marks))))
+        heads = map(add, map(word, befores), map(mark, ends))
+        known.update(zip(broken, map(add, map(add, heads, map(self.opening.__getitem__, lines)), map(mark, afters))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []

@@ -126,3 +126,16 @@ def test_token_counts(spark, odd_docs, no_docs):
         assert (got[r.doc_id].n_words, got[r.doc_id].n_tokens, got[r.doc_id].n_unknown) == (len(words), sum(map(greedy, words)), 0)
     assert got[7].n_tokens == got[6].n_tokens + greedy(b"end")
     assert wordpiece.token_counts(no_docs, PATH).count() == 0
+
+
+def test_words_with_marks_are_put_together():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    enc, asked = tokens.Encoder(path), []
+    plain = enc._spaced
+    enc._spaced = lambda parts, *more: asked.extend(parts) or plain(parts, *more)
+    texts = ["x sorel sorel. sorel,\nArv sorel!?\nArv. (sorel) sorel's sorel<|endoftext|> sorel.\n\nArv sorel.\n9 ª. 語。\nArv"]
+    ids = Tokenizer.from_file(path).encode(texts[0], add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(texts)[0], "<u4").tolist() == ids
+    assert "sorel" in asked and not {"sorel.", "sorel,\nArv", "sorel!?\nArv."} & set(asked)
