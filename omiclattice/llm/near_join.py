@@ -38,8 +38,8 @@ from omiclattice.llm.storage import picked, settle
 
 #: Coordinates of a point; sets of twice as many shingles also have a point with a coordinate for one or two shingles.
 GROUPS = 256
-#: Points in a leaf.
-LEAF = 16
+#: Points in a leaf; in buckets that are one leaf and compared side by side; and columns, for each coordinate, of points written as 0 and 1.
+LEAF, SIDE_BY_SIDE, ONES = 64, 16, 16
 #: In a tile, on average: shingles of sets, and points and their coordinates where only these are compared.
 TILE, POINTS, COORDINATES = 1 << 18, 4096, 1 << 21
 #: Bits of the filter that tells which texts are needed: 4 MB in each task, whatever the input.
@@ -195,6 +195,17 @@ class Tree:
         return at
 
 
+def _ones(points: np.ndarray) -> np.ndarray | None:
+    """Rows of 0 and 1 whose products are the sums of coordinate minima: a coordinate becomes a column for each count that two rows reach."""
+    if not len(points) or int(points.max(0).sum()) > ONES * points.shape[1]:
+        return None
+    out = []
+    for k in range(1, int(points.max()) + 1):
+        reach = points >= k
+        out.append(reach[:, reach.sum(0) > 1])
+    return np.concatenate(out, 1).astype(np.float32) if out else np.zeros((len(points), 0), np.float32)
+
+
 def near_pairs(points: np.ndarray, label: np.ndarray, rows: np.ndarray, lowest: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(u, v): all pairs of ``rows`` that the points allow, a leaf pair at a time; pairs of one ``label`` and those without a ``lowest`` row are left out.
 
@@ -202,7 +213,7 @@ def near_pairs(points: np.ndarray, label: np.ndarray, rows: np.ndarray, lowest:
     """
     sizes = points.sum(1)
     tree = Tree(points, sizes)
-    order = tree.order
+    order, ones = tree.order, _ones(points)
 
     def far(overlap, a, b):
         return (100 + percent) * overlap < percent * (a + b)
@@ -229,8 +240,11 @@ def near_pairs(points: np.ndarray, label: np.ndarray, rows: np.ndarray, lowest:
                 stack += [(i, k) for k in y[5]]
             continue
         left, right = order[x[3]:x[4]], order[y[3]:y[4]]
-        other = points[right]
-        bound = np.array([np.minimum(points[p], other).sum(1) for p in left])
+        if ones is None:
+            other = points[right]
+            bound = np.array([np.minimum(points[p], other).sum(1) for p in left])
+        else:
+            bound = (ones[left] @ ones[right].T).astype(np.int64)
         near = ~far(bound, sizes[left][:, None], sizes[right][None]) & (label[rows[left]][:, None] != label[rows[right]][None])
         p, q = np.nonzero(near & (lowest[left][:, None] | lowest[right][None]))
         if len(p):
@@ -292,28 +306,166 @@ def _dealt(tiles: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return tiles.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, "doc")
 
 
+def _rest(names: list[str], keys: list[str], held: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(held).select([*keys, *names]).combine_chunks()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, bounds): rows of whole runs with equal keys, and where each begins; a run longer than a batch comes alone."""
+    held: list[pa.RecordBatch] = []
+
+    def differ(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
+        return any(x.column(k)[-1] != y.column(k)[0] for k in keys)
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table) - 1, bool)
+        for k in keys:
+            at = table[k].to_numpy()
+            new |= at[1:] != at[:-1]
+        return np.r_[0, np.flatnonzero(new) + 1, len(table)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = {k: batch.column(k)[-1] for k in keys}
+        if held and all(batch.column(k)[0] == last[k] for k in keys) and not differ(held[-1], batch):
+            held.append(batch)  # the run goes on through the whole batch
+            continue
+        table = _rest(names, keys, [*held, batch])
+        at = bounds(table)
+        if len(at) > 2:
+            yield table.slice(0, int(at[-2])).combine_chunks(), at[:-1]
+        held = table.slice(int(at[-2])).combine_chunks().to_batches()
+    if held:
+        table = _rest(names, keys, held)
+        yield table, bounds(table)
+
+
+def _points(held: pa.ChunkedArray) -> np.ndarray | None:
+    """Packed points with ``GROUPS`` coordinates each as a matrix; None if one has more."""
+    raw = pa.concat_arrays([x.cast(pa.large_binary()) for x in held.chunks])
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8)
+    width = data[at[:-1]].astype(np.int64)
+    if (np.diff(at) != 1 + GROUPS * width).any():
+        return None
+    out = np.zeros((len(raw), GROUPS), np.uint8 if width.max() == 1 else np.uint32)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        cells = data[at[rows][:, None] + 1 + np.arange(GROUPS * w)]
+        out[rows] = cells.view(f"<u{w}")
+    return out
+
+
+def leaf_links(points: np.ndarray, label: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): which rows of groups no larger than a leaf hang together by pairs that the points allow, each row with the first of its part.
+
+    Groups are leaves of one node: those of one size are compared side by side. Rows of one ``label`` hang together already.
+    """
+    total = points.sum(1, dtype=np.int64)
+    us, vs = [], []
+    for m in np.unique(size):
+        every = first[size == m]
+        for some in np.array_split(every, max(1, -(-len(every) * m * GROUPS >> 22))):
+            at = some[:, None] + np.arange(m)
+            p, n, own = points[at], total[at], label[at]
+            near = own[:, :, None] == own[:, None, :]
+            for i in range(m - 1):
+                overlap = np.minimum(p[:, i:i + 1], p[:, i + 1:]).sum(2, dtype=np.int64)
+                near[:, i, i + 1:] |= (100 + percent) * overlap >= percent * (n[:, i:i + 1] + n[:, i + 1:])
+            near |= near.transpose(0, 2, 1)
+            root = np.broadcast_to(np.arange(m), at.shape)
+            while True:
+                low = np.where(near, root[:, None, :], m).min(2)
+                if np.array_equal(low, root):
+                    break
+                root = low
+            top = np.take_along_axis(at, root, 1)
+            g, i = np.nonzero(label[top] != own)
+            us.append(top[g, i])
+            vs.append(at[g, i])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+class Known:
+    """Labels that a task has found to hang together: groups of the same copies come again and again."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def _find(self, x: int) -> int:
+        top = x
+        while (up := self.root.get(top, top)) != top:
+            top = up
+        while x != top:
+            self.root[x], x = top, self.root.get(x, x)
+        return top
+
+    def of(self, labels: np.ndarray) -> np.ndarray:
+        """The label that each of these is known by."""
+        each, at = np.unique(labels, return_inverse=True)
+        return np.array([self._find(x) for x in each.tolist()], np.int64)[at]
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = self._find(a), self._find(b)
+            self.root[max(a, b)] = min(a, b)
+
+
 def _search(tiles: DataFrame, keys: list[str], size: int, percent: int, held: str) -> DataFrame:
-    """Links (a, b) inside each tile of (keys, doc, label, held): ``held`` is ``point`` or ``text``; ``label`` says what is linked already."""
+    """Links (a, b) inside each tile of (keys, doc, label, held): ``held`` is ``point`` or ``text``; ``label`` says what is linked already.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    By ``point`` they tell what hangs together, not which pair does it.
+    """
+
+    def linked(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        docs, label, sets = np.array(rows["doc"]), np.unique(rows["label"], return_inverse=True)[1], None
+        if held == "text":
+            buf, offs = words.buffers(pa.array(rows["text"], pa.large_string()))
+            sets = list(shingle_sets(buf, offs, size))
+            # rows of the same doc_id may hold another text, or the same one again
+            own = {int(x): i for i, x in enumerate(docs) if len(sets[i]) and name_of(sets[i]).astype(np.int64) == x}
+            mine = list(own.values())
+            docs, label, sets = docs[mine], label[mine], [sets[i] for i in mine]
+            vectors = [point(s, fine(len(s))) for s in sets]
+        else:
+            vectors = [unpacked(x) for x in rows[held]]
+        found = links_of(vectors, label, percent, sets)
+        if found:
+            a, b = (docs[[p[i] for p in found]].astype(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _tiles(batches, keys, ["doc", "label", held]):
-            docs, label, sets = np.array(rows["doc"]), np.unique(rows["label"], return_inverse=True)[1], None
-            if held == "text":
-                buf, offs = words.buffers(pa.array(rows["text"], pa.large_string()))
-                sets = list(shingle_sets(buf, offs, size))
-                # rows of the same doc_id may hold another text, or the same one again
-                own = {int(x): i for i, x in enumerate(docs) if len(sets[i]) and name_of(sets[i]).astype(np.int64) == x}
-                mine = list(own.values())
-                docs, label, sets = docs[mine], label[mine], [sets[i] for i in mine]
-                vectors = [point(s, fine(len(s))) for s in sets]
+            yield from linked(rows)
+
+    def by_point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known = ["doc", "label", held], Known()
+        for table, at in _runs(batches, keys, names):
+            label, count = known.of(table["label"].to_numpy()), np.diff(at)
+            apart = np.minimum.reduceat(label, at[:-1]) < np.maximum.reduceat(label, at[:-1])
+            small = apart & (count <= SIDE_BY_SIDE)
+            n = count[small]
+            rows = table.take(pa.array(np.repeat(at[:-1][small] - np.cumsum(n) + n, n) + np.arange(n.sum())))
+            points = _points(rows[held]) if len(n) else None
+            if points is None:
+                small[:] = False
             else:
-                vectors = [unpacked(x) for x in rows[held]]
-            found = links_of(vectors, label, percent, sets)
-            if found:
-                a, b = (docs[[p[i] for p in found]].astype(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                docs, own = rows["doc"].to_numpy(), rows["label"].to_numpy()
+                u, v = leaf_links(points, known.of(own), np.cumsum(n) - n, n, percent)
+                known.join(own[u], own[v])
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(docs[u], docs[v]), "b": np.maximum(docs[u], docs[v])})
+            for i in np.flatnonzero(apart & ~small):
+                rows = table.slice(int(at[i]), int(count[i])).select(names).to_pydict()
+                own, rows["label"] = np.array(rows["label"]), known.of(np.array(rows["label"]))
+                if (rows["label"] == rows["label"][0]).all():
+                    continue
+                place = {doc: label for doc, label in zip(rows["doc"], own)}
+                for found in linked(rows):
+                    known.join(*(np.array([place[x] for x in found.column(k).to_pylist()]) for k in (0, 1)))
+                    yield found
 
-    return _dealt(tiles, keys, ["doc", "label", held]).mapInArrow(run, "a long, b long")
+    return _dealt(tiles, keys, ["doc", "label", held]).mapInArrow(by_text if held == "text" else by_point, "a long, b long")
 
 
 def _wanted(tiles: DataFrame, keys: list[str], percent: int) -> DataFrame:

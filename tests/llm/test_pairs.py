@@ -88,6 +88,53 @@ def test_near_join_of_large_sets(spark, monkeypatch):
     assert len(set(want.values())) > 6 and got == want
 
 
+def test_leaves_compared_side_by_side_equal_a_tree_each():
+    rng = np.random.default_rng(3)
+    size = rng.integers(2, 17, 60)
+    first = np.cumsum(size) - size
+    base = rng.integers(0, 3, (8, near_join.GROUPS))
+    points = base[rng.integers(0, 8, size.sum())] + rng.binomial(1, 0.15, (size.sum(), near_join.GROUPS))
+    label = rng.integers(0, 200, len(points))
+    packed = pa.chunked_array([pa.array([near_join.packed(x * (300 if i % 7 == 0 else 1)) for i, x in enumerate(points)])])
+    points[::7] *= 300
+    read = near_join._points(packed)
+    assert np.array_equal(read, points)
+    u, v = near_join.leaf_links(read, label, first, size, 80)
+    parts = lambda a, b: {frozenset(np.flatnonzero(x == y)) for x in [joined(label, a, b)] for y in np.unique(x)}
+
+    def joined(label, a, b):
+        label = label.copy()
+        for i, j in zip(a, b):
+            label[label == label[j]] = label[i]
+        return label
+
+    pairs = []
+    for at, n in zip(first, size):
+        own = [x.astype(np.int64) for x in points[at:at + n]]
+        pairs += [(at + i, at + j) for i, j in near_join.links_of(own, label[at:at + n], 80)]
+    assert len(u) and parts(u, v) == parts(*zip(*pairs))
+
+
+def test_products_of_ones_are_overlaps(monkeypatch):
+    rng = np.random.default_rng(4)
+    points = rng.poisson(1.2, (150, 64))
+    points[75:] = np.maximum(points[:75] + rng.integers(-1, 2, (75, 64)) * (rng.random((75, 64)) < 0.1), 0)
+    ones = near_join._ones(points)
+    overlap = np.minimum(points[:, None], points[None]).sum(2)
+    assert np.array_equal(ones @ ones.T, np.where(np.eye(150, dtype=bool), ones.sum(1), overlap))
+    found = lambda: {(min(i, j), max(i, j)) for u, v in near_join.near_pairs(points, np.arange(150), np.arange(150), np.ones(150, bool), 80) for i, j in zip(u.tolist(), v.tolist()) if i != j}
+    fast = found()
+    monkeypatch.setattr(near_join, "ONES", 0)
+    assert fast == found() and len(fast) >= 60
+
+
+def test_runs_across_batches():
+    group, doc = np.repeat([3, 5, 6, 9], [2, 7, 1, 4]), np.arange(14)
+    batches = pa.table({"group": group, "doc": doc}).to_batches(3)
+    got = [x["doc"].to_pylist()[a:b] for x, at in near_join._runs(iter(batches), ["group"], ["doc"]) for a, b in zip(at[:-1], at[1:])]
+    assert got == [[0, 1], [2, 3, 4, 5, 6, 7, 8], [9], [10, 11, 12, 13]]
+
+
 def test_coarser_points_bound_the_overlap():
     rng = np.random.default_rng(3)
     for n in (300, 700, 1100, 5000):
